@@ -121,3 +121,51 @@ def _split_ctes(block: str) -> list[str]:
     if "".join(cur).strip():
         out.append("".join(cur).strip())
     return out
+
+
+# ---------------------------------------------------------------- pixel ---
+# One row per lineitem = one pixel observation of one scene.
+
+def pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_returnflag").alias("region_id"),
+        F.col("l_shipdate").alias("scene_ts"),
+        F.to_date("l_shipdate").alias("date"),
+        (F.col("l_partkey") % 100).alias("x"),
+        (F.col("l_suppkey") % 100).alias("y"),
+        (F.lit(-65.0) + (F.col("l_partkey") % 100) * 0.01).alias("lon"),
+        (F.lit(-38.0) + (F.col("l_suppkey") % 100) * 0.01).alias("lat"),
+        F.col("l_tax").alias("green"),
+        F.col("l_discount").alias("red"),
+        (F.col("l_quantity") / 50).alias("nir"),
+        (F.col("l_tax") / 2).alias("blue"),
+        (F.col("l_extendedprice") / 105000).alias("swir"),
+        ((F.col("l_partkey") * 37) % 4096).alias("qa"),
+        (F.col("l_suppkey") % 100).cast("double").alias("cloud_pct"),
+        (F.lit(40000.0) + F.col("l_quantity") * 100).alias("st_dn"),
+    )
+
+
+PIXEL_SQL = """
+pixel AS (
+  SELECT l_returnflag AS region_id, l_shipdate AS scene_ts, CAST(l_shipdate AS DATE) AS date,
+         l_partkey % 100 AS x, l_suppkey % 100 AS y,
+         -65.0 + (l_partkey % 100) * 0.01 AS lon, -38.0 + (l_suppkey % 100) * 0.01 AS lat,
+         l_tax AS green, l_discount AS red, l_quantity / 50 AS nir, l_tax / 2 AS blue,
+         l_extendedprice / 105000 AS swir, (l_partkey * 37) % 4096 AS qa,
+         CAST(l_suppkey % 100 AS DOUBLE) AS cloud_pct,
+         40000.0 + l_quantity * 100 AS st_dn
+  FROM lineitem
+)"""
+
+
+# Crop grown on each fixture series (one unknown crop exercises the fallbacks).
+def series_crop(series_col: str = "series_id"):
+    s = F.col(series_col)
+    return (F.when(s.startswith("A"), "soybean").when(s.startswith("N"), "corn")
+             .when(s == "RF", "wheat").otherwise("barley"))
+
+
+SERIES_CROP_SQL = ("CASE WHEN series_id LIKE 'A%' THEN 'soybean' WHEN series_id LIKE 'N%' THEN 'corn' "
+                   "WHEN series_id = 'RF' THEN 'wheat' ELSE 'barley' END")
