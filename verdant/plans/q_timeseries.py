@@ -72,14 +72,14 @@ from pyspark.sql.types import DoubleType, FloatType  # noqa: E402
 from verdant.plans import sqlgen as Q  # noqa: E402
 
 
-def out(df, keep=("series_id", "date"), cols=None):
-    """Select key columns + outputs, rounding doubles to 6 decimals."""
+def out(df, keep=("series_id", "date"), cols=None, digits=6):
+    """Select key columns + outputs, rounding doubles to ``digits`` decimals."""
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     cols = cols if cols is not None else [c for c in df.columns if c not in keep]
     sel = [F.col(k) for k in keep]
     for c in cols:
         if isinstance(types[c], (DoubleType, FloatType)):
-            sel.append(r6(c).alias(c))
+            sel.append(F.round(c, digits).alias(c))
         else:
             sel.append(F.col(c))
     return df.select(*sel)

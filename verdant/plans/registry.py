@@ -29,5 +29,6 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from verdant.plans import (  # noqa: F401
         q_features,
+        q_scenes,
         q_timeseries,
     )
