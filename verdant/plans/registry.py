@@ -30,5 +30,6 @@ def load_all() -> None:
     from verdant.plans import (  # noqa: F401
         q_features,
         q_scenes,
+        q_sources,
         q_timeseries,
     )

@@ -169,3 +169,55 @@ def series_crop(series_col: str = "series_id"):
 
 SERIES_CROP_SQL = ("CASE WHEN series_id LIKE 'A%' THEN 'soybean' WHEN series_id LIKE 'N%' THEN 'corn' "
                    "WHEN series_id = 'RF' THEN 'wheat' ELSE 'barley' END")
+
+
+# ------------------------------------------------------------ soil_long ---
+# part x 3 depths; parts with key % 7 == 0 report texture in g/kg, parts
+# with key % 13 == 0 have no bulk density, parts with key % 17 == 0 have no
+# soil rows at all (they get the default profile, S3).
+
+DEPTHS = [("0-5cm", 0, 5), ("5-15cm", 5, 15), ("15-30cm", 15, 30), ("30-60cm", 30, 60),
+          ("60-100cm", 60, 100), ("100-200cm", 100, 200)]
+
+
+def soil_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 17 != 0)
+    depth = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(lbl).alias("depth_label"),
+                                         F.lit(a).alias("depth_top_cm"), F.lit(b).alias("depth_bottom_cm"))
+                                for i, (lbl, a, b) in enumerate(DEPTHS)]))
+    x = p.select("p_partkey", "p_size", depth.alias("dd")).select("p_partkey", "p_size", "dd.*")
+    k = F.when(F.col("p_partkey") % 7 == 0, 10.0).otherwise(1.0)
+    sand = (F.col("p_size") + 5 * F.col("d")).cast("double")
+    clay = ((F.col("p_partkey") + F.col("d")) % 50).cast("double")
+    props = F.array(
+        F.struct(F.lit("sand").alias("property"), (sand * k).alias("value"), F.lit("%").alias("unit")),
+        F.struct(F.lit("clay").alias("property"), (clay * k).alias("value"), F.lit("%").alias("unit")),
+        F.struct(F.lit("silt").alias("property"), ((F.lit(100.0) - sand - clay) * k).alias("value"),
+                 F.lit("%").alias("unit")),
+        F.struct(F.lit("bdod").alias("property"),
+                 F.when(F.col("p_partkey") % 13 != 0, (F.lit(100.0) + F.col("p_size") + 10 * F.col("d")))
+                  .alias("value"), F.lit("cg/cm3").alias("unit")))
+    y = x.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("location_id"),
+                 "depth_label", "depth_top_cm", "depth_bottom_cm", F.explode(props).alias("pr"))
+    return y.select("location_id", "pr.property", "depth_label", "depth_top_cm", "depth_bottom_cm",
+                    "pr.value", "pr.unit").where(F.col("value").isNotNull())
+
+
+SOIL_LONG_SQL = """
+soil_depths(d, depth_label, depth_top_cm, depth_bottom_cm) AS (
+  VALUES (0, '0-5cm', 0, 5), (1, '5-15cm', 5, 15), (2, '15-30cm', 15, 30), (3, '30-60cm', 30, 60),
+         (4, '60-100cm', 60, 100), (5, '100-200cm', 100, 200)
+),
+soil_base AS (
+  SELECT 'p' || CAST(p_partkey AS VARCHAR) AS location_id, p_partkey, depth_label, depth_top_cm, depth_bottom_cm,
+         CAST(p_size + 5 * d AS DOUBLE) AS sand, CAST((p_partkey + d) % 50 AS DOUBLE) AS clay,
+         CASE WHEN p_partkey % 7 = 0 THEN 10.0 ELSE 1.0 END AS k,
+         CASE WHEN p_partkey % 13 <> 0 THEN 100.0 + p_size + 10 * d END AS bdod
+  FROM part, soil_depths WHERE p_partkey % 17 <> 0
+),
+soil_long AS (
+  SELECT location_id, 'sand' AS property, depth_label, depth_top_cm, depth_bottom_cm, sand * k AS value, '%' AS unit FROM soil_base
+  UNION ALL SELECT location_id, 'clay', depth_label, depth_top_cm, depth_bottom_cm, clay * k, '%' FROM soil_base
+  UNION ALL SELECT location_id, 'silt', depth_label, depth_top_cm, depth_bottom_cm, (100.0 - sand - clay) * k, '%' FROM soil_base
+  UNION ALL SELECT location_id, 'bdod', depth_label, depth_top_cm, depth_bottom_cm, bdod, 'cg/cm3' FROM soil_base WHERE bdod IS NOT NULL
+)"""
