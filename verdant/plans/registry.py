@@ -29,6 +29,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from verdant.plans import (  # noqa: F401
         q_features,
+        q_governance,
         q_quality,
         q_scenes,
         q_sources,

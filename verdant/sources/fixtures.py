@@ -221,3 +221,40 @@ soil_long AS (
   UNION ALL SELECT location_id, 'silt', depth_label, depth_top_cm, depth_bottom_cm, (100.0 - sand - clay) * k, '%' FROM soil_base
   UNION ALL SELECT location_id, 'bdod', depth_label, depth_top_cm, depth_bottom_cm, bdod, 'cg/cm3' FROM soil_base WHERE bdod IS NOT NULL
 )"""
+
+
+# -------------------------------------------------------- storage_index ---
+# Fixed mapping of order priority to a stored data type (priority 1 is the
+# only essential one).
+PRIORITY_TYPE = {"1-URGENT": "model_parameters", "2-HIGH": "raw_satellite_data",
+                 "3-MEDIUM": "intermediate_calculations", "4-NOT SPECIFIED": "temp_weather_data",
+                 "5-LOW": "debug_outputs"}
+
+
+def storage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    dt = F.element_at(F.create_map(*[x for k, v in PRIORITY_TYPE.items() for x in (F.lit(k), F.lit(v))]),
+                      F.col("o_orderpriority"))
+    return o.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("identifier"),
+                    dt.alias("data_type"), F.col("o_orderdate").alias("timestamp"),
+                    (F.col("o_totalprice") / 1000).alias("size_mb"),
+                    F.create_map(F.lit("status"), F.col("o_orderstatus"),
+                                 F.lit("customer"), F.col("o_custkey").cast("string")).alias("metadata"))
+
+
+STORAGE_SQL = """
+storage_records AS (
+  SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS identifier,
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'model_parameters' WHEN '2-HIGH' THEN 'raw_satellite_data'
+              WHEN '3-MEDIUM' THEN 'intermediate_calculations' WHEN '4-NOT SPECIFIED' THEN 'temp_weather_data'
+              WHEN '5-LOW' THEN 'debug_outputs' END AS data_type,
+         o_orderdate AS timestamp, o_totalprice / 1000 AS size_mb
+  FROM orders
+),
+storage_index AS (
+  SELECT *, data_type IN ('model_parameters', 'prescription_maps', 'alert_history', 'crop_parameters',
+                          'validation_results') AS is_essential,
+         CASE WHEN data_type IN ('model_parameters', 'prescription_maps', 'alert_history', 'crop_parameters',
+                                 'validation_results') THEN NULL ELSE 30 END AS retention_days
+  FROM storage_records
+)"""
