@@ -31,6 +31,7 @@ def load_all() -> None:
         q_features,
         q_governance,
         q_quality,
+        q_rollup,
         q_scenes,
         q_sources,
         q_timeseries,

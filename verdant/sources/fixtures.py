@@ -258,3 +258,100 @@ storage_index AS (
                                  'validation_results') THEN NULL ELSE 30 END AS retention_days
   FROM storage_records
 )"""
+
+
+# --------------------------------------------------------------- region ---
+# nation x region: one analysis region per nation.  The id starts with a
+# province token chosen by n_nationkey % 6 so every province rule fires;
+# the ring is a 4 x .4 degree rectangle holding the nation's suppliers.
+PROVINCE_TOKENS = ["buenos_aires", "cordoba", "santa_fe", "entre_rios", "la_pampa", "chaco"]
+REGION_CROPS = {0: ["soybean", "corn", "wheat"], 1: ["soybean", "corn"], 2: ["soybean"], 3: ["corn", "wheat"],
+                4: ["wheat"]}
+
+
+def region_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    tok = F.element_at(F.array(*[F.lit(t) for t in PROVINCE_TOKENS]), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    lat0 = F.lit(-36.2) + F.col("n_nationkey") * 0.4
+    x0, x1 = F.lit(-65.05), F.lit(-61.05)
+    ring = F.array(F.array(x0, lat0), F.array(x1, lat0), F.array(x1, lat0 + 0.4), F.array(x0, lat0 + 0.4),
+                   F.array(x0, lat0))
+    crops = F.element_at(F.create_map(*[x for k, v in REGION_CROPS.items()
+                                        for x in (F.lit(k), F.array(*[F.lit(c) for c in v]))]), F.col("n_regionkey"))
+    return n.select(
+        F.concat(tok, F.lit("_"), F.lower(F.regexp_replace("n_name", " ", "_"))).alias("region_id"),
+        F.col("n_name").alias("name"), F.col("n_nationkey").alias("region_order"), ring.alias("geometry"),
+        crops.alias("crops"),
+        F.when(F.col("n_regionkey") <= 2, "high").when(F.col("n_regionkey") == 3, "medium").otherwise("low")
+         .alias("priority"))
+
+
+REGION_SQL = """
+region_dim AS (
+  SELECT (['buenos_aires', 'cordoba', 'santa_fe', 'entre_rios', 'la_pampa', 'chaco'])[n_nationkey % 6 + 1]
+           || '_' || lower(replace(n_name, ' ', '_')) AS region_id,
+         n_name AS name, n_nationkey AS region_order, n_regionkey,
+         -36.2 + n_nationkey * 0.4 AS lat0,
+         CASE WHEN n_regionkey <= 2 THEN 'high' WHEN n_regionkey = 3 THEN 'medium' ELSE 'low' END AS priority
+  FROM nation
+)"""
+
+
+def region_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One alert per region: score = min(1, 5 x share of customers with a
+    negative balance); level by the alert cut-offs; nations with key % 8 == 7
+    failed (error row)."""
+    c = table(spark, sf_dir, "customer")
+    share = c.groupBy("c_nationkey").agg(
+        (F.count_if(F.col("c_acctbal") < 0) / F.count("*")).alias("share"))
+    r = region_dim(spark, sf_dir)
+    j = r.join(share, r.region_order == share.c_nationkey, "left")
+    err = (F.col("region_order") % 8) == 7
+    score = F.when(err, 0.0).otherwise(F.least(F.lit(1.0), 5 * F.coalesce(F.col("share"), F.lit(0.0))))
+    level = (F.when(err, "error").when(score >= 0.7, "critical").when(score >= 0.4, "warning").otherwise("normal"))
+    return j.select("region_id", "name", "region_order", "crops", "priority", level.alias("alert_level"),
+                    score.alias("alert_score"),
+                    F.when(err, F.lit("soil service read time-out")).alias("error"),
+                    F.date_sub(F.lit("1998-01-01").cast("date"), (F.col("region_order") * 2).cast("int"))
+                     .alias("alert_date"))
+
+
+REGION_ALERTS_SQL = REGION_SQL + """,
+region_alerts AS (
+  SELECT r.region_id, r.name, r.region_order, r.priority,
+         CASE WHEN r.region_order % 8 = 7 THEN 'error'
+              WHEN least(1.0, 5 * coalesce(s.share, 0.0)) >= 0.7 THEN 'critical'
+              WHEN least(1.0, 5 * coalesce(s.share, 0.0)) >= 0.4 THEN 'warning' ELSE 'normal' END AS alert_level,
+         CASE WHEN r.region_order % 8 = 7 THEN 0.0 ELSE least(1.0, 5 * coalesce(s.share, 0.0)) END AS alert_score,
+         CASE WHEN r.region_order % 8 = 7 THEN 'soil service read time-out' END AS error,
+         DATE '1998-01-01' - CAST(r.region_order * 2 AS INTEGER) AS alert_date
+  FROM region_dim r LEFT JOIN (
+    SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal < 0) / count(*) AS share FROM customer GROUP BY c_nationkey
+  ) s ON r.region_order = s.c_nationkey
+)"""
+
+
+# --------------------------------------------------------------- points ---
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stress sample points: one per supplier, inside its nation's region."""
+    s = table(spark, sf_dir, "supplier")
+    tok = F.element_at(F.array(*[F.lit(t) for t in PROVINCE_TOKENS]), (F.col("s_nationkey") % 6 + 1).cast("int"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    j = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
+    stress = F.when(F.col("s_acctbal").isNotNull(),
+                    F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("s_acctbal") / 10000)))
+    return j.select(F.concat(tok, F.lit("_"), F.lower(F.regexp_replace("n_name", " ", "_"))).alias("region_id"),
+                    F.col("s_suppkey").alias("point_id"),
+                    (F.lit(-65.0) + (F.col("s_suppkey") % 40) * 0.1).alias("lon"),
+                    (F.lit(-36.0) + F.col("s_nationkey") * 0.4).alias("lat"),
+                    stress.alias("stress"))
+
+
+POINTS_SQL = """
+points AS (
+  SELECT (['buenos_aires', 'cordoba', 'santa_fe', 'entre_rios', 'la_pampa', 'chaco'])[s_nationkey % 6 + 1]
+           || '_' || lower(replace(n_name, ' ', '_')) AS region_id,
+         s_suppkey AS point_id, -65.0 + (s_suppkey % 40) * 0.1 AS lon, -36.0 + s_nationkey * 0.4 AS lat,
+         least(1.0, greatest(0.0, s_acctbal / 10000)) AS stress
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey
+)"""
