@@ -30,6 +30,7 @@ def load_all() -> None:
     from verdant.plans import (  # noqa: F401
         q_features,
         q_governance,
+        q_prescription,
         q_quality,
         q_rollup,
         q_scenes,

@@ -291,7 +291,7 @@ region_dim AS (
   SELECT (['buenos_aires', 'cordoba', 'santa_fe', 'entre_rios', 'la_pampa', 'chaco'])[n_nationkey % 6 + 1]
            || '_' || lower(replace(n_name, ' ', '_')) AS region_id,
          n_name AS name, n_nationkey AS region_order, n_regionkey,
-         -36.2 + n_nationkey * 0.4 AS lat0,
+         CAST(-36.2 AS DOUBLE) + n_nationkey * CAST(0.4 AS DOUBLE) AS lat0,
          CASE WHEN n_regionkey <= 2 THEN 'high' WHEN n_regionkey = 3 THEN 'medium' ELSE 'low' END AS priority
   FROM nation
 )"""
@@ -351,7 +351,8 @@ POINTS_SQL = """
 points AS (
   SELECT (['buenos_aires', 'cordoba', 'santa_fe', 'entre_rios', 'la_pampa', 'chaco'])[s_nationkey % 6 + 1]
            || '_' || lower(replace(n_name, ' ', '_')) AS region_id,
-         s_suppkey AS point_id, -65.0 + (s_suppkey % 40) * 0.1 AS lon, -36.0 + s_nationkey * 0.4 AS lat,
+         s_suppkey AS point_id, CAST(-65.0 AS DOUBLE) + (s_suppkey % 40) * CAST(0.1 AS DOUBLE) AS lon,
+         CAST(-36.0 AS DOUBLE) + s_nationkey * CAST(0.4 AS DOUBLE) AS lat,
          least(1.0, greatest(0.0, s_acctbal / 10000)) AS stress
   FROM supplier JOIN nation ON s_nationkey = n_nationkey
 )"""
