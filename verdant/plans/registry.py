@@ -28,6 +28,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from verdant.plans import (  # noqa: F401
+        q_alerts,
         q_features,
         q_governance,
         q_prescription,
