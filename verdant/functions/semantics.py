@@ -101,9 +101,15 @@ def ffill(c, key: str = KEY, ts: str = TS) -> Column:
     return F.last(col(c), ignorenulls=True).over(running(key, ts))
 
 
+def running_desc(key: str = KEY, ts: str = TS) -> WindowSpec:
+    """Growing frame in descending time order: "this row and all later rows"
+    as an incrementally maintained frame.  (A ``[current, unbounded
+    following]`` frame is recomputed for every row, O(n^2) per series.)"""
+    return Window.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def bfill(c, key: str = KEY, ts: str = TS) -> Column:
-    frame = ordered(key, ts).rowsBetween(0, Window.unboundedFollowing)
-    return F.first(col(c), ignorenulls=True).over(frame)
+    return F.last(col(c), ignorenulls=True).over(running_desc(key, ts))
 
 
 def with_pct_change(df, c: str, n: int, out: str, key: str = KEY, ts: str = TS):
@@ -170,6 +176,21 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+def rnd(c, digits: int = 6) -> Column:
+    """Round half up to ``digits`` decimals as ``floor(x * 10^d + .5) / 10^d``.
+
+    Used for reported values compared across engines: the same IEEE
+    operations give the same result everywhere, while library ``round``
+    functions break exact decimal ties differently.  For 6 decimals, values
+    below 1000 are first snapped to 12 decimals so that sums taken in a
+    different order (last-bit differences) land on the same tie."""
+    m = float(10 ** digits)
+    x = col(c)
+    if digits == 6:
+        snapped = F.floor(x * 1e12 + 0.5) / 1e12
+        x = F.when(F.abs(x) < 1000.0, snapped).otherwise(x)
+    return F.floor(x * m + 0.5) / m
+
+
 def r6(c) -> Column:
-    """Round a double to 6 decimals (stable value comparison across engines)."""
-    return F.round(col(c), 6)
+    return rnd(c, 6)

@@ -368,13 +368,13 @@ def resample_interpolate(df: DataFrame, cols, *, key=KEY, ts=TS) -> DataFrame:
     day = F.datediff(F.col(ts), F.lit("1970-01-01")).cast("double")
     full_df = full_df.withColumn("__d", day)
     prev_w = S.running(key, ts)
-    next_w = S.ordered(key, ts).rowsBetween(0, S.Window.unboundedFollowing)
+    next_w = S.running_desc(key, ts)
     out = {}
     for c in cols:
         pd_ = F.last(F.when(F.col(c).isNotNull(), F.col("__d")), True).over(prev_w)
         pv = F.last(c, True).over(prev_w)
-        nd = F.first(F.when(F.col(c).isNotNull(), F.col("__d")), True).over(next_w)
-        nv = F.first(c, True).over(next_w)
+        nd = F.last(F.when(F.col(c).isNotNull(), F.col("__d")), True).over(next_w)
+        nv = F.last(c, True).over(next_w)
         lerp = F.when(nd == pd_, pv).otherwise(pv + (nv - pv) * (F.col("__d") - pd_) / (nd - pd_))
         out[c] = F.coalesce(F.col(c), lerp)
     return full_df.withColumns(out).drop("__d")

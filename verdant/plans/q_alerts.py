@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdant.functions import semantics as S
+
 from verdant.operators import alerts as AL
 from verdant.operators import timeseries as TSO
 from verdant.plans import sqlgen as Q
@@ -35,14 +37,14 @@ def flat(a):
     names = [n for n in AL.INDICATOR_ORDER if f"{n}_present" in a.columns]
     statuses = F.concat_ws(";", *[F.when(F.col(f"{n}_present"), F.concat(F.lit(f"{n}="), F.col(f"{n}_status")))
                                   for n in names])
-    return a.select("series_id", "timestamp", "crop_type", "alert_level", F.round("alert_score", 6).alias("alert_score"),
+    return a.select("series_id", "timestamp", "crop_type", "alert_level", S.rnd("alert_score", 6).alias("alert_score"),
                     "total_indicators", "critical_count", "warning_count", statuses.alias("statuses"),
                     AL.trend_word(F.col("slope_ndvi"), F.col("n_ndvi")).alias("ndvi_trend"),
                     F.array_join("recommendations", " | ").alias("recommendations"),
                     F.col("forecast.confidence").alias("forecast_confidence"),
                     F.col("forecast.risk_assessment").alias("forecast_risk"),
                     F.array_join("forecast.expected_conditions", " | ").alias("forecast_conditions"),
-                    "heat_stress_days", F.round("max_temp_7d", 6).alias("max_temp_7d"))
+                    "heat_stress_days", S.rnd("max_temp_7d", 6).alias("max_temp_7d"))
 
 
 # --------------------------------------------------------------- oracle ---

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdant.functions import semantics as S
+
 from verdant.operators import prescription as PM
 from verdant.operators import rollup as RU
 from verdant.plans.q_timeseries import out
@@ -191,5 +193,5 @@ def q_irrigation_rollup(spark, sf):
        "round(stress, 6) AS stress, round(rate, 6) AS rate, zone FROM rz")
 def q_prescription(spark, sf):
     c = cells(spark, sf).select("region_id", "row", "col", "lon", "lat", "stress", "rate", "zone")
-    c = c.withColumns({"lon": F.round("lon", 9), "lat": F.round("lat", 9)})
+    c = c.withColumns({"lon": S.rnd("lon", 9), "lat": S.rnd("lat", 9)})
     return out(c, keep=("region_id", "row", "col", "lon", "lat"))

@@ -79,7 +79,7 @@ def out(df, keep=("series_id", "date"), cols=None, digits=6):
     sel = [F.col(k) for k in keep]
     for c in cols:
         if isinstance(types[c], (DoubleType, FloatType)):
-            sel.append(F.round(c, digits).alias(c))
+            sel.append(S.rnd(c, digits).alias(c))
         else:
             sel.append(F.col(c))
     return df.select(*sel)
