@@ -268,7 +268,7 @@ def detect_anomalies(df: DataFrame, cols, method: str = "iqr", threshold: float
     elif method == "zscore":
         df = anomaly_zscore(df, cols, threshold, key=key)
     elif method == "isolation":
-        from verdant.operators.isolation import isolation_anomalies
+        from verdant.operators.stats import isolation_anomalies
         df = isolation_anomalies(df, cols, key=key)
     else:
         raise ValueError(method)

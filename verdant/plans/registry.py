@@ -69,10 +69,12 @@ def load_all() -> None:
         q_alerts,
         q_features,
         q_governance,
+        q_misc,
         q_models,
         q_prescription,
         q_quality,
         q_rollup,
+        q_stats,
         q_scenes,
         q_sources,
         q_timeseries,
