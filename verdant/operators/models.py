@@ -25,6 +25,7 @@ from verdant.functions import semantics as S
 from verdant.functions.semantics import KEY, TS
 from verdant.operators import features as FE
 from verdant.operators import timeseries as TSO
+from verdant.session import cut_lineage
 
 # Fixed values of the reference: candidate model inputs, in order.
 CANDIDATE_FEATURES = ["NDVI", "GNDVI", "NDWI_Gao", "EVI", "SAVI", "LAI", "T2M", "T2M_MAX", "T2M_MIN", "PRECTOTCORR",
@@ -180,7 +181,10 @@ def train(table: DataFrame, model: str = "random_forest", task: str = "classific
     optional k-fold CV, importances.  Returns (PipelineModel, metrics dict,
     test predictions DataFrame)."""
     feats = feature_columns(table, key, ts)
-    split = temporal_split(table, test_size, key=key, ts=ts)
+    # the feature table is read by every fit and evaluation: materialise it
+    # once (reliable checkpoint in the shared folder) instead of recomputing
+    # its window pipeline for each pass
+    split = cut_lineage(temporal_split(table, test_size, key=key, ts=ts))
     tr, te = split.where("is_train"), split.where(~F.col("is_train"))
     make = (lambda: random_forest(task)) if model == "random_forest" else (lambda: boosted_trees(task))
     pm = fit_pipeline(tr, feats, make())
@@ -245,7 +249,7 @@ def tune(table: DataFrame, model: str = "random_forest", task: str = "classifica
     maps to 30 (Spark's limit)."""
     grid = grid or (RF_GRID if model == "random_forest" else GBT_GRID)
     feats = feature_columns(table, key, ts)
-    d = forward_folds(table, n_splits, key=key, ts=ts)
+    d = cut_lineage(forward_folds(table, n_splits, key=key, ts=ts))
     keys = list(grid)
     results = []
     for combo in product(*[grid[k] for k in keys]):
@@ -352,6 +356,7 @@ def select_rfe(df: DataFrame, cols, k: int = 50, label: str = "label", step_tree
     """M7 recursive elimination: fit a forest, drop the least important
     feature, refit, until ``k`` remain."""
     keep = list(cols)
+    df = cut_lineage(df.select(*keep, label))
     while len(keep) > k:
         pm = Pipeline(stages=[_assembler(keep), RandomForestClassifier(featuresCol="features", labelCol=label,
                                                                        numTrees=step_trees, seed=42)]).fit(df)

@@ -258,7 +258,7 @@ def q_importance_rank(spark, sf):
 @query("score", None)
 def q_score(spark, sf):
     pm, _, _ = _fit(spark, sf, "random_forest", 5)
-    p = ML.predict(pm, model_table(spark, sf))
+    p = ML.predict(pm, model_table(spark, sf))   # scores every row of the full feature table
     return p.select("series_id", "date", "prediction", "confidence")
 
 
