@@ -219,12 +219,12 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
 
 
 def class_report(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """A23 precision / recall / f1 / support per class from one aggregate."""
-    classes = pred.select(F.col(label).cast("int").alias("c")).union(
-        pred.select(F.col(prediction).cast("int").alias("c"))).distinct()
+    """A23 precision / recall / f1 / support per class: each row counts
+    towards its true class and its predicted class (explode of the distinct
+    pair, no join), then one aggregate."""
     p = pred.select(F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("p"))
-    j = classes.join(p, (F.col("c") == F.col("y")) | (F.col("c") == F.col("p")))
-    g = j.groupBy("c").agg(F.count_if((F.col("y") == F.col("c")) & (F.col("p") == F.col("c"))).alias("tp"),
+    x = p.select(F.explode(F.array_distinct(F.array("y", "p"))).alias("c"), "y", "p")
+    g = x.groupBy("c").agg(F.count_if((F.col("y") == F.col("c")) & (F.col("p") == F.col("c"))).alias("tp"),
                            F.count_if(F.col("p") == F.col("c")).alias("pred_n"),
                            F.count_if(F.col("y") == F.col("c")).alias("support"))
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("pred_n")), F.lit(0.0))

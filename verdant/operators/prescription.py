@@ -137,7 +137,9 @@ def nearest_stress(cells: DataFrame, points: DataFrame, key: str = "region_id",
     for d in done[1:]:
         resolved = resolved.unionByName(d)
     near = cells.join(resolved, [key, "row", "col"]).withColumn("stress", S.clip("__s", 0.0, 1.0)).drop("__s")
-    return near.unionByName(fallback)
+    # the filled grid feeds rates, zones and several summaries: materialise it
+    # once so the level search is not repeated per consumer
+    return cut_lineage(near.unionByName(fallback))
 
 
 # ------------------------------------------------------------ G3 / G4 --

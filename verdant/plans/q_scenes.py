@@ -114,11 +114,12 @@ RING = [[-64.905, -37.895], [-64.215, -37.805], [-64.405, -37.215], [-64.805, -3
 
 
 def _clip_sql():
-    edges = ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(RING, RING[1:]))
+    edges = ", ".join(f"(CAST({a[0]} AS DOUBLE), CAST({a[1]} AS DOUBLE), CAST({b[0]} AS DOUBLE), CAST({b[1]} AS DOUBLE))"
+                      for a, b in zip(RING, RING[1:]))
     xs = [p[0] for p in RING]
     ys = [p[1] for p in RING]
-    cand = _psel(["lon", "lat", "red"], where=f"WHERE lon BETWEEN {min(xs)} AND {max(xs)} "
-                                              f"AND lat BETWEEN {min(ys)} AND {max(ys)}")
+    cand = _psel(["lon", "lat", "red"], where=f"WHERE lon BETWEEN CAST({min(xs)} AS DOUBLE) AND CAST({max(xs)} AS DOUBLE) "
+                                              f"AND lat BETWEEN CAST({min(ys)} AS DOUBLE) AND CAST({max(ys)} AS DOUBLE)")
     hits = ("SELECT c.region_id, c.date, c.x, c.y, c.red, sum(CASE WHEN ((ay > lat) <> (by_ > lat)) AND "
             "(lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax) THEN 1 ELSE 0 END) AS k "
             "FROM (SELECT *, row_number() OVER () AS rid FROM cand) c, e GROUP BY c.rid, c.region_id, c.date, c.x, c.y, c.red")

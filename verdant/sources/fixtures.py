@@ -51,10 +51,10 @@ DAILY_SQL = """
 daily AS (
   SELECT series_id, date,
          0.30 + 0.06 * a_disc AS NDVI,
-         8.0 + 0.56 * mx_qty AS T2M_MAX,
-         0.3 * mn_qty AS T2M_MIN,
-         ((8.0 + 0.56 * mx_qty) + (0.3 * mn_qty)) / 2 AS T2M,
-         greatest(0.9 * m_tax - 3.0, 0.0) AS PRECTOTCORR,
+         8.0 + 0.56 * CAST(mx_qty AS DOUBLE) AS T2M_MAX,
+         0.3 * CAST(mn_qty AS DOUBLE) AS T2M_MIN,
+         ((8.0 + 0.56 * CAST(mx_qty AS DOUBLE)) + (0.3 * CAST(mn_qty AS DOUBLE))) / 2 AS T2M,
+         greatest(0.9 * CAST(m_tax AS DOUBLE) - 3.0, 0.0) AS PRECTOTCORR,
          a_qty / 6 AS PET_PT_JPL,
          0.05 + 0.07 * a_tax AS NDWI_Gao,
          0.25 + 0.06 * a_disc AS GNDVI,
@@ -74,6 +74,9 @@ daily AS (
     GROUP BY 1, 2
   ) g
 )"""
+# (integer aggregates are cast to DOUBLE before they meet decimal literals,
+#  so DuckDB does the same double arithmetic as Spark instead of exact
+#  DECIMAL products)
 
 DAILY_VALUE_COLS = ["NDVI", "T2M_MAX", "T2M_MIN", "T2M", "PRECTOTCORR", "PET_PT_JPL",
                     "NDWI_Gao", "GNDVI", "EVI", "SAVI", "CWSI"]
@@ -151,7 +154,7 @@ PIXEL_SQL = """
 pixel AS (
   SELECT l_returnflag AS region_id, l_shipdate AS scene_ts, CAST(l_shipdate AS DATE) AS date,
          l_partkey % 100 AS x, l_suppkey % 100 AS y,
-         -65.0 + (l_partkey % 100) * 0.01 AS lon, -38.0 + (l_suppkey % 100) * 0.01 AS lat,
+         -65.0 + CAST(l_partkey % 100 AS DOUBLE) * 0.01 AS lon, -38.0 + CAST(l_suppkey % 100 AS DOUBLE) * 0.01 AS lat,
          l_tax AS green, l_discount AS red, l_quantity / 50 AS nir, l_tax / 2 AS blue,
          l_extendedprice / 105000 AS swir, (l_partkey * 37) % 4096 AS qa,
          CAST(l_suppkey % 100 AS DOUBLE) AS cloud_pct,
