@@ -71,3 +71,14 @@ def test_flag_and_clip_null(spark):
 def test_portable_rounding(spark):
     df = spark.createDataFrame([(0.2696625,), (-1.0000005,), (None,)], "v double")
     assert [r[0] for r in df.select(S.rnd("v", 6)).collect()][2] is None
+
+
+def test_class_report_counts(spark):
+    from verdant.operators.models import class_report, confusion_matrix
+    pred = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (1.0, 2.0), (2.0, 2.0), (2.0, 1.0), (2.0, 2.0)],
+                                 "label double, prediction double")
+    r = {x["class"]: x for x in class_report(pred).collect()}
+    assert r[0].precision == 1.0 and r[0].recall == 1.0 and r[0].support == 1
+    assert abs(r[2].precision - 2 / 3) < 1e-12 and abs(r[2].recall - 2 / 3) < 1e-12 and r[2].support == 3
+    assert abs(r[1].precision - 0.5) < 1e-12 and r[1].support == 2
+    assert sum(x["count"] for x in confusion_matrix(pred).collect()) == 6
