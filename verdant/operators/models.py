@@ -39,9 +39,15 @@ TIME_FEATURES = ["year", "month", "day_of_year", "week_of_year", "season", "mont
 # ------------------------------------------------------------- M1 / F4 / F5 --
 
 def fill_missing(df: DataFrame, cols, *, key=KEY, ts=TS) -> DataFrame:
-    """F5 forward fill, then backward fill, then 0, per series by date."""
-    return df.withColumns({c: F.coalesce(S.ffill(c, key, ts), S.bfill(c, key, ts), F.lit(0).cast(df.schema[c].dataType))
-                           for c in cols})
+    """F5 forward fill, then backward fill, then 0, per series by date.
+
+    Where the forward fill is still NULL no earlier value exists, so the
+    backward fill there is the series' first non-null value: a
+    whole-partition aggregate under the same ascending order (one Window
+    operator, no descending sort)."""
+    whole_asc = S.ordered(key, ts).rowsBetween(S.Window.unboundedPreceding, S.Window.unboundedFollowing)
+    return df.withColumns({c: F.coalesce(S.ffill(c, key, ts), F.first(c, ignorenulls=True).over(whole_asc),
+                                         F.lit(0).cast(df.schema[c].dataType)) for c in cols})
 
 
 def prepare_features(df: DataFrame, target: str = LABEL, lags=(1, 3, 7, 14), *, key=KEY, ts=TS) -> DataFrame:
