@@ -200,6 +200,10 @@ def q_trend_word(spark, sf):
     return a.select("series_id", AL.trend_word(F.col("slope_ndvi"), F.col("n_ndvi")).alias("ndvi_trend"))
 
 
-@query("export_alerts", None)
+@query("export_alerts", "SELECT CAST(timestamp AS VARCHAR) AS timestamp, series_id AS location_id, crop_type, alert_level, "
+                        "alert_score, CASE WHEN recommendations = '' THEN 0 ELSE len(string_split(recommendations, ' | ')) "
+                        "END AS num_recommendations, CAST(NULL AS INTEGER) AS model_prediction_stress, "
+                        "CAST(NULL AS DOUBLE) AS model_confidence FROM (" + ALERT_SQL + ")")
 def q_export_alerts(spark, sf):
-    return AL.export_alerts(alerts(spark, sf))
+    e = AL.export_alerts(alerts(spark, sf))
+    return e.withColumn("alert_score", S.rnd("alert_score", 6))
