@@ -60,7 +60,8 @@ def q_dim_lookup(spark, sf):
 
 
 # S8 ------------------------------------------------------------------------
-@query("sink_json", None)
+@query("sink_json", "SELECT * REPLACE (CAST(timestamp AS VARCHAR) AS timestamp), DATE '2001-11-04' AS run_date FROM ("
+                    + QAL.ALERT_SQL + ")")
 def q_sink_json(spark, sf):
     """Write the alert rows as JSON partitioned by run date into the shared
     folder and read them back."""
