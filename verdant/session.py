@@ -20,8 +20,8 @@ DEFAULT_CONF = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "verdant") -> SparkSession:
-    """Local/test session. On a cluster the submitter's config wins: we only
-    fill settings that are unset."""
+    """Session with this package's settings (AQE, UTC, Arrow); settings given by the
+    submitter for anything else are kept."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -39,8 +39,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present; only a session
-    without one (local tests) gets a fresh scratch folder.
+    The cluster's setting is always used when present.  Only a single-process
+    session (``local[...]``, as in tests) may go without: it gets a scratch
+    folder.  On a cluster an unset folder is an error, as executors would not
+    see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -48,6 +50,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     path = tempfile.mkdtemp(prefix="verdant-ckpt-")
     sc.setCheckpointDir(path)
     return path
