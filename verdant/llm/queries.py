@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate
+from verdant.llm import decontaminate, hyperminhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", decontaminate.n_in_spans().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op4_minhash_near_dedup", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, sh FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM pair JOIN n nu ON u = nu.doc_id JOIN n nv ON v = nv.doc_id WHERE 100 * i >= 80 * (nu.n + nv.n - i)),
+both_ways AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT both_ways.v, reach.c FROM reach JOIN both_ways ON both_ways.u = reach.id)
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, id = c AS kept
+FROM (SELECT id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN n ON n.doc_id = id
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
