@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, hyperminhash
+from verdant.llm import decontaminate, hyperminhash, substring, suffix_family
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,34 @@ FROM (SELECT id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN n ON n.doc_id = id
 """)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op5_substring_dedup", r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+place AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+twice AS (SELECT p FROM place GROUP BY p HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 35)) AS k FROM place JOIN twice USING (p))),
+word AS (SELECT doc_id, k, ws[k] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM word ANTI JOIN hit USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeated_spans(read(spark, sf_dir, "documents"), width=35).select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_words"), decontaminate.n_in_spans().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_suffix_array_dedup", r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+place AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS p FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 198)) AS i FROM b)),
+twice AS (SELECT p FROM place GROUP BY p HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 200)) AS k FROM place JOIN twice USING (p))),
+runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE new) AS n_spans FROM (SELECT doc_id, k - 1 IS DISTINCT FROM lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS new FROM hit) GROUP BY 1),
+byte AS (SELECT doc_id, k, substr(h, 2 * k - 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS k FROM b)),
+left_over AS (SELECT doc_id, string_agg(x, '' ORDER BY k) AS kept FROM byte ANTI JOIN hit USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN runs USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_family.remove_repeated_bytes(read(spark, sf_dir, "documents"), width=200).select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_bytes"), decontaminate.n_in_spans().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
