@@ -41,9 +41,9 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n, 2 * len(self.up), 1 << 16)
             for name, b in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, b, np.uint64)
+                steps = np.full(size, b, np.uint64)
                 steps[0] = 1
                 setattr(self, name, np.multiply.accumulate(steps))
         return self.up[:n], self.down[:n]
