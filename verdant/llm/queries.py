@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, hyperminhash, substring, suffix_family
+from verdant.llm import decontaminate, hyperminhash, language_id, substring, suffix_family
+from verdant.llm.sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +101,10 @@ FROM b LEFT JOIN runs USING (doc_id) LEFT JOIN left_over USING (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove_repeated_bytes(read(spark, sf_dir, "documents"), width=200).select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_bytes"), decontaminate.n_in_spans().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, remainder("doc_id", 4) != 2)
+    return language_id.identify(docs, model, ["doc_id"]).select("doc_id", language_id.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")

@@ -102,7 +102,7 @@ class Slice:
         return self.data[self.offsets[i]:self.offsets[i + 1]]
 
 
-def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(column: pa.Array, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 30) -> Iterator[Slice]:
     """Cut a string or binary column into slices of whole rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -119,7 +119,7 @@ def slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[Slice]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + max_rows)
         yield Slice(lo, hi, data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         lo = hi
 
