@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, hyperminhash, language_id, substring, suffix_family
+from verdant.llm import decontaminate, hyperminhash, language_id, quality, substring, suffix_family, toxicity
 from verdant.llm.sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(docs, remainder("doc_id", 4) != 2)
     return language_id.identify(docs, model, ["doc_id"]).select("doc_id", language_id.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return toxicity.grade(docs, model, ["doc_id"]).withColumn("held_out", language_id.held_out("doc_id", 5, 0))
+
+
+@query("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return quality.score(docs, model, ["doc_id"]).select("doc_id", language_id.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
