@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, hyperminhash, language_id, quality, substring, suffix_family, toxicity
+from verdant.llm import decontaminate, hyperminhash, language_id, licenses, mixing, quality, substring, suffix_family, toxicity
 from verdant.llm.sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     return quality.score(docs, model, ["doc_id"]).select("doc_id", language_id.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_license_scan", licenses.oracle_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).withColumns({c: F.concat_ws(",", c) for c in ("licenses", "unmatched")})
+
+
+@query("op3_source_mixing", r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(doc_id::VARCHAR, '-') AS id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS t FROM documents),
+s AS (SELECT source, sum(t)::BIGINT AS held FROM d GROUP BY source HAVING sum(t) > 0),
+p AS (SELECT list(held / total) AS p, any_value(total) AS total, 0.95 * ln(count(*)) AS want FROM s, (SELECT sum(held)::DOUBLE AS total FROM s)),
+flat(k, lo, hi) AS (
+  SELECT 0, CASE WHEN -list_sum(list_transform(p, lambda x: x * ln(x))) >= want THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE FROM p
+  UNION ALL
+  SELECT k + 1, CASE WHEN ln(z) - m * l / z >= want THEN m ELSE lo END, CASE WHEN ln(z) - m * l / z >= want THEN hi ELSE m END
+  FROM (SELECT k, lo, hi, m, want, list_sum(list_transform(p, lambda x: pow(x, m))) AS z, list_sum(list_transform(p, lambda x: pow(x, m) * ln(x))) AS l
+        FROM (SELECT k, lo, hi, (lo + hi) / 2 AS m FROM flat WHERE k < 48), p)),
+rare(k, lo, hi) AS (
+  SELECT 0, lo, CASE WHEN list_max(list_transform(p, lambda x: pow(x, lo - 1))) / list_sum(list_transform(p, lambda x: pow(x, lo))) <= 4 THEN lo ELSE 1.0::DOUBLE END FROM flat, p WHERE k = 48
+  UNION ALL
+  SELECT k + 1, CASE WHEN r <= 4 THEN lo ELSE m END, CASE WHEN r <= 4 THEN m ELSE hi END
+  FROM (SELECT k, lo, hi, m, list_max(list_transform(p, lambda x: pow(x, m - 1))) / list_sum(list_transform(p, lambda x: pow(x, m))) AS r
+        FROM (SELECT k, lo, hi, (lo + hi) / 2 AS m FROM rare WHERE k < 48), p)),
+a AS (SELECT hi AS a, list_sum(list_transform(p, lambda x: pow(x, hi))) AS z, total FROM rare, p WHERE k = 48),
+q AS (SELECT source, held, floor(pow(held / total, a) / z * total)::BIGINT AS quota, ceil(held / 1000000.0)::BIGINT AS blocks FROM s, a),
+placed AS (
+  SELECT doc_id, d.source, id, t, coalesce(quota, 0) AS quota, quota // held AS passes, quota % held AS rest, ('0x' || substr(md5(id), 1, 8))::BIGINT % blocks AS block
+  FROM d LEFT JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+b AS (SELECT source, block, sum(t)::BIGINT AS size, any_value(rest) AS rest, any_value(passes) AS passes FROM placed WHERE block IS NOT NULL GROUP BY 1, 2),
+visit AS (
+  SELECT source, block, size, least(size, greatest(0, rest - coalesce(sum(size) OVER (
+    PARTITION BY source ORDER BY md5(concat_ws('|', coalesce(source, ''), block, passes)), block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS take FROM b),
+told AS (
+  SELECT placed.*, size, take, coalesce(sum(t) OVER (PARTITION BY placed.source, placed.block ORDER BY md5(id), id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed LEFT JOIN visit ON placed.source IS NOT DISTINCT FROM visit.source AND placed.block = visit.block)
+SELECT doc_id, source, t AS n_tokens, block, quota, (coalesce(passes, 0) + CASE WHEN take > 0 AND (take = size OR before < take) THEN 1 ELSE 0 END)::BIGINT AS copies FROM told
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "_mix.n_tokens", "_mix.block", "_mix.quota", "_mix.copies")
