@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt_in_blocks(df: DataFrame, key: list[str], member: str, count: str, block: int) -> DataFrame:
+def dealt_in_blocks(df: DataFrame, key: list[str], member: str, count: str, block: int, once: bool = False) -> DataFrame:
     """Adds ``g``: rows of one ``g`` are to be compared with each other.
 
     A key with at most ``block`` rows is one group.  A larger key is split into
@@ -18,13 +18,17 @@ def dealt_in_blocks(df: DataFrame, key: list[str], member: str, count: str, bloc
     any two rows of the key meet in some task and no task gets more than about
     two blocks.  (Groups are named by a hash; should two names agree, some rows
     are compared without need.)
+
+    With ``once``, each pair of rows has exactly one place: a block is also a
+    group of its own, and in a group of two blocks, told apart by the column
+    ``block``, only pairs across them count.
     """
     blocks = F.ceil(F.col(count) / F.lit(float(block))).cast("int")
     own = F.pmod(F.xxhash64(member, F.lit(17)), F.col("_blocks")).cast("int")
     name = [*(F.col(k) for k in key), F.least("_own", "_other"), F.greatest("_own", "_other")]
     return (df.withColumn("_blocks", blocks).withColumn("_own", own)
-            .withColumn("_other", F.explode(other_blocks()))
-            .withColumn("g", F.xxhash64(*name)).drop("_blocks", "_own", "_other"))
+            .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1) if once else other_blocks()))
+            .withColumn("g", F.xxhash64(*name)).withColumn("block", F.col("_own")).drop("_blocks", "_own", "_other"))
 
 
 def other_blocks() -> Column:

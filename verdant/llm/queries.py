@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, hyperminhash, language_id, licenses, mixing, quality, substring, suffix_family, toxicity
+from verdant.llm import decontaminate, hyperminhash, language_id, licenses, mixing, pivot_dedup, quality, substring, suffix_family, toxicity
 from verdant.llm.sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,17 @@ SELECT doc_id, source, t AS n_tokens, block, quota, (coalesce(passes, 0) + CASE
 """)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "_mix.n_tokens", "_mix.block", "_mix.quota", "_mix.copies")
+
+
+@query("op2_embedding_near_dedup", """
+WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link.v, reach.c FROM reach JOIN link ON link.u = reach.id),
+n AS (SELECT u, count(*) AS n FROM link GROUP BY 1)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, id = c AS kept
+FROM (SELECT id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN n ON n.u = id
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
