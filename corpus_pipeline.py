@@ -1,20 +1,80 @@
-"""Corpus preparation: stages over ``documents``, each written and read again."""
+"""Corpus preparation: stages over ``documents``, each written and read again.
+
+Language identification drops documents without a language; near-duplicate
+groups keep one document; passages that repeat, and passages of the benchmark,
+are cut from the texts; sources are mixed to target weights.  Every stage but
+the last returns the columns of ``documents``, with ``n_chars`` brought up to
+date where a text has changed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from verdant.llm import decontaminate, hyperminhash, language_id, mixing, substring
+from verdant.llm.sampling import remainder
 from verdant.llm.shared import stage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Documents whose language is less certain than this are rejected.
+LEAST_SCORE = 0.1
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a recognised language."""
+    model = language_id.fit(docs, remainder("doc_id", 4) != 2)
+    told = language_id.identify(docs, model, docs.columns)
+    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate group, once."""
+    found = hyperminhash.near_duplicates(docs.select("doc_id", "text"))
+    copies = stage(found.where(~F.col("kept")).select("doc_id").distinct(), "copies")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+
+
+def changed(text, docs: DataFrame):
+    """``row`` with a new text; rows that lose all their words go."""
+    columns = {"text": text, "n_chars": F.length(text).cast("long")}
+    return [columns.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts every word that lies in a window that occurs more than once."""
+    told = substring.remove_repeated_spans(docs, keep=docs.columns, as_is=True)
+    left = F.col("size") > decontaminate.n_in_spans()
+    return told.where((F.size("spans") == 0) | left).select(*changed(F.when(F.size("spans") > 0, F.col("kept").cast("string")).otherwise(F.col("row.text")), docs))
+
+
+def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the words that lie in benchmark passages."""
+    told = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
+    left = F.col("n_words") > decontaminate.n_in_spans()
+    return told.where((F.size("spans") == 0) | left).select(*changed(decontaminate.cut("row.text", "spans"), docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a row for each pass over a document."""
+    return mixing.realise(mixing.mix(docs)).select(*docs.columns, F.col("_mix.n_tokens").alias("n_tokens"), "pass", "position")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", cut_benchmark_passages),
+    ("mixing sources to target weights", mix_sources),
+]
 
+#: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

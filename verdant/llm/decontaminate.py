@@ -13,12 +13,16 @@ bounded size, one pass over the documents per block.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from verdant.llm.shared import row_key, stage
+from verdant.llm.shared import row_key, schema, stage, whole
 from verdant.llm.text import ALNUM
 
 #: Words a shard holds before it is indexed (a longer document is a shard of its own).
@@ -183,10 +187,10 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def _search(phrases: Phrases):
-    """mapInArrow: (doc_id, key, text) -> (doc_id, key, n_words, spans, items)."""
+    """mapInArrow: (row, key, text) -> (row, key, n_words, spans, items)."""
     get = phrases.vocabulary.get
 
-    def rows(held: list[tuple], seq: list, kinds: list) -> pa.RecordBatch:
+    def rows(held: list[tuple], seq: list) -> pa.RecordBatch:
         starts = np.cumsum([0, *(n + 1 for *_, n in held)])[:-1]
         place, which = find_phrases(np.concatenate(seq) if seq else np.zeros(0, np.int64), phrases)
         doc = np.searchsorted(starts, place, "right") - 1
@@ -200,25 +204,23 @@ def _search(phrases: Phrases):
             spans.append([{"start": s, "stop": e} for s, e in merge_spans(begin, begin + phrases.length[which[hit]])])
             items.append(sorted({str(x) for w in set(which[hit].tolist()) for x in phrases.items[w]}))
         return pa.RecordBatch.from_arrays([
-            pa.array([x[0] for x in held], kinds[0]), pa.array([x[1] for x in held], kinds[1]), pa.array([x[2] for x in held], pa.int64()),
-            pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "key", "n_words", "spans", "items"])
+            pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held]), pa.array([x[2] for x in held], pa.int64()),
+            pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], ["row", "key", "n_words", "spans", "items"])
 
     def run(batches):
-        held, seq, total, kinds = [], [], 0, []
+        held, seq, total = [], [], 0
         stop = np.full(1, -1, np.int64)
         for batch in batches:
-            kinds = batch.schema.types[:2]
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc, key, text in zip(ids, keys, batch.column(2).cast(pa.binary()), strict=True):
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
                 found = split_words(text.as_py())
-                held.append((doc, key, len(found)))
+                held.append((batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), len(found)))
                 seq += [np.fromiter((get(w, -1) for w in found), np.int64, len(found)), stop]
                 total += len(found) + 1
                 if total >= SHARD_WORDS:
-                    yield rows(held, seq, kinds)
+                    yield rows(held, seq)
                     held, seq, total = [], [], 0
         if held:
-            yield rows(held, seq, kinds)
+            yield rows(held, seq)
 
     return run
 
@@ -236,31 +238,50 @@ def phrase_blocks(items: DataFrame, width: int):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id: str = "doc_id", text: str = "text",
-                  item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+                  item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per document: the words that lie in an occurrence of a test phrase.
 
     A phrase is ``width`` consecutive words of an item, or all words of a
-    shorter one.  Returns one row per document: its id, ``key`` (see
-    ``row_key``), ``n_words``, ``spans`` (merged word ranges) and ``items``
+    shorter one.  Returns one row per document: ``row`` (a struct of the
+    columns ``keep``, the id by default), ``n_words``, ``spans`` (merged word ranges) and ``items``
     (sorted ids of the items found).  A null or empty text has no words and no
     spans; a null item text gives no phrase; a null item id counts as "null";
     repeated rows each get their own row.  Other columns are neither read nor
     returned, so their names can't clash.
     """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(whole(keep or [doc_id]), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.encode(F.col(item_text).cast("string"), "UTF-8").alias("text")).where(F.col("text").isNotNull())
     out = None
     for phrases in phrase_blocks(items, width):
-        found = rows.mapInArrow(_search(phrases), f"doc_id {kind}, key struct<id:string,h:bigint>, n_words long, spans {SPANS}, items array<string>")
+        found = rows.mapInArrow(_search(phrases), schema(rows.schema["row"], f"key struct<id:string,h:bigint>, n_words long, spans {SPANS}, items array<string>"))
         if out is None:
             out = found
         else:
             more = stage(found.where(F.size("items") > 0), "found").groupBy("key").agg(F.first("spans").alias("spans2"), F.first("items").alias("items2"))
             out = stage(out, "found").join(more, "key", "left").select(
-                "doc_id", "key", "n_words", merged("spans", "spans2").alias("spans"),
+                "row", "key", "n_words", merged("spans", "spans2").alias("spans"),
                 F.array_sort(F.array_union("items", F.coalesce("items2", F.array().cast("array<string>")))).alias("items"))
-    return out
+    return out.drop("key")
+
+
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+@F.pandas_udf(T.StringType())
+def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The texts without the words of their spans (and what stands between those)."""
+    out = []
+    for t, found in zip(text, spans, strict=True):
+        if t is None or not len(found):
+            out.append(t)
+            continue
+        raw, parts, at = t.encode(), [], 0
+        place = [m.span() for m in _WORD.finditer(raw)]
+        for s in found:
+            parts.append(raw[at:place[s["start"]][0]])
+            at = place[s["stop"] - 1][1]
+        out.append(b"".join([*parts, raw[at:]]).decode())
+    return pd.Series(out)
 
 
 def merged(a: str, b: str):

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.sampling import per_class, remainder
+from verdant.llm.shared import schema, whole
 from verdant.llm.text import Slice, slices
 
 DIMENSIONS = 4096
@@ -171,21 +172,20 @@ def _predict(model: LanguageModel | None):
                     which, score = model.predict(letter_features(s))
                     names = [model.languages[k] if u else UNKNOWN for k, u in zip(which.tolist(), ok.tolist(), strict=True)]
                     score = np.where(ok, score, 0.0)
-                yield pa.RecordBatch.from_arrays([*(c.slice(s.lo, s.hi - s.lo) for c in batch.columns[2:]), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names[2:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(s.lo, s.hi - s.lo), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
     return run
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``lang_pred`` and ``score`` of every row's whole text.
+    """``row`` (a struct of the columns ``keep``), ``lang_pred`` and ``score`` of every row's whole text.
 
     A null text, one without letters, or any text if nothing could be learned
     gives ("und", 0).  Ties go to the first language in alphabetical order.
     Columns that are not asked for are not read.
     """
     t = F.col(text).cast("string")
-    rows = docs.select(t.alias("_text"), F.coalesce(F.regexp_like(t, F.lit(r"\p{L}")), F.lit(False)).alias("_usable"), *keep)
-    schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
-    return rows.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    rows = docs.select(t.alias("text"), F.coalesce(F.regexp_like(t, F.lit(r"\p{L}")), F.lit(False)).alias("usable"), whole(keep))
+    return rows.mapInArrow(_predict(model), schema(rows.schema["row"], "lang_pred string, score double"))
 
 
 def held_out(doc_id: str, of: int, which: int) -> Column:

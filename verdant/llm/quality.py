@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.language_id import counted, gram_codes
 from verdant.llm.sampling import per_class
+from verdant.llm.shared import schema, whole
 from verdant.llm.text import PLAIN, Slice, slices, word_hashes, words
 
 #: Labelled documents of each class in the sample.
@@ -131,14 +132,14 @@ def _score(model: QualityModel | None):
         for batch in batches:
             for s in slices(batch.column(0), max_rows=256):
                 value = np.full(s.hi - s.lo, 0.5) if model is None else model.score(term_features(s)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([*(c.slice(s.lo, s.hi - s.lo) for c in batch.columns[1:]), pa.array(value)], [*batch.schema.names[1:], "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(s.lo, s.hi - s.lo), pa.array(value)], ["row", "score"])
     return run
 
 
 def score(docs: DataFrame, model: QualityModel | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score`` (0 to 1, higher: label 1 likelier) of
-    every row's whole text.  A null or empty text, or one that is near no labelled
-    vector, scores the sample's share of label 1; without any labels all score 0.5.
-    Columns that are not asked for are not read."""
-    schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
-    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(_score(model), f"{schema}, score double")
+    """``row`` (a struct of the columns ``keep``) and ``score`` (0 to 1, higher: label 1
+    likelier) of every row's whole text.  A null or empty text, or one that is
+    near no labelled vector, scores the sample's share of label 1; without any
+    labels all score 0.5.  Columns that are not asked for are not read."""
+    rows = docs.select(F.col(text).cast("string").alias("text"), whole(keep))
+    return rows.mapInArrow(_score(model), schema(rows.schema["row"], "score double"))

@@ -50,7 +50,7 @@ FROM w LEFT JOIN word USING (doc_id) LEFT JOIN item USING (doc_id)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
-        "doc_id", "n_words", decontaminate.n_in_spans().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "row.doc_id", "n_words", decontaminate.n_in_spans().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
@@ -84,7 +84,7 @@ FROM w LEFT JOIN left_over USING (doc_id)
 """)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_spans(read(spark, sf_dir, "documents"), width=35).select(
-        F.col("id").alias("doc_id"), F.col("size").alias("n_words"), decontaminate.n_in_spans().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+        "row.doc_id", F.col("size").alias("n_words"), decontaminate.n_in_spans().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op7_suffix_array_dedup", r"""
@@ -100,28 +100,28 @@ FROM b LEFT JOIN runs USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove_repeated_bytes(read(spark, sf_dir, "documents"), width=200).select(
-        F.col("id").alias("doc_id"), F.col("size").alias("n_bytes"), decontaminate.n_in_spans().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        "row.doc_id", F.col("size").alias("n_bytes"), decontaminate.n_in_spans().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(docs, remainder("doc_id", 4) != 2)
-    return language_id.identify(docs, model, ["doc_id"]).select("doc_id", language_id.held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs, model, ["doc_id"]).select("row.doc_id", language_id.held_out("row.doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return toxicity.grade(docs, model, ["doc_id"]).withColumn("held_out", language_id.held_out("doc_id", 5, 0))
+    return toxicity.grade(docs, model, ["doc_id"]).select("row.doc_id", language_id.held_out("row.doc_id", 5, 0).alias("held_out"), "p_toxic", "severity", "grade", "toxic")
 
 
 @query("op10_quality_classifier")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.fit(docs, read(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
-    return quality.score(docs, model, ["doc_id"]).select("doc_id", language_id.held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return quality.score(docs, model, ["doc_id"]).select("row.doc_id", language_id.held_out("row.doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query("op1_license_scan", licenses.oracle_sql())

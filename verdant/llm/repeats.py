@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdant.llm.groups import together, whole_groups
-from verdant.llm.shared import stage
+from verdant.llm.shared import schema, stage, whole
 from verdant.llm.text import GRAMS, PLAIN, Slice, mix, prefix_sums, slices, span_hash, word_hashes, words
 
 #: An anchor with more distinct segments than this is dealt out window by window.
@@ -147,15 +148,15 @@ def _ranges(column: pa.Array, i: int):
     return column.values, column.value_offsets[i].as_py(), column.value_offsets[i + 1].as_py()
 
 
-def _apply(kind):
-    """(row id, k1, k2, text, whole[(s, n)], mixed[(a, s, n)]) -> spans and kept
+def _apply(kind, as_is: bool):
+    """(row, k1, k2, text, plain[(s, n)], mixed[(a, s, n)]) -> spans and kept
     text; of a row with mixed anchors the text and their segments instead."""
     def run(batches):
         for batch in batches:
             texts = batch.column(3).cast(pa.binary())
-            whole, mixed = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            plain, mixed = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             size, spans, kept, text, segments = [], [], [], [], []
-            for t, w, m in zip(texts, whole, mixed, strict=True):
+            for t, w, m in zip(texts, plain, mixed, strict=True):
                 raw = t.as_py() or b""
                 symbols = kind.symbols(raw)
                 size.append(len(symbols))
@@ -164,15 +165,15 @@ def _apply(kind):
                 spans.append([{"start": a, "stop": b} for a, b in found])
                 text.append(raw if m else None)
                 segments.append([{"a": x["a"], "s": x["s"], "segment": kind.join(symbols[x["s"]:x["s"] + x["n"] + kind.width - 1])} for x in m or ()])
-                kept.append(None if m else kind.join(without(symbols, found) if found else symbols))
+                kept.append(None if m else raw if as_is and not found else kind.join(without(symbols, found) if found else symbols))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary()),
-                pa.array(text, pa.binary()), pa.array(segments, pa.list_(_SEGMENT))], ["id", "k1", "k2", "size", "spans", "kept", "text", "segments"])
+                pa.array(text, pa.binary()), pa.array(segments, pa.list_(_SEGMENT))], ["row", "k1", "k2", "size", "spans", "kept", "text", "segments"])
     return run
 
 
-def _finish(kind):
-    """(row id, size, spans, text, more spans) -> (row id, size, spans, kept)."""
+def _finish(kind, as_is: bool):
+    """(row, size, spans, text, more spans) -> (row, size, spans, kept)."""
     def run(batches):
         for batch in batches:
             spans, kept = [], []
@@ -180,8 +181,8 @@ def _finish(kind):
                 every = [*old, *(more or ())]
                 found = merge(np.array([x["start"] for x in every], np.int64), np.array([x["stop"] for x in every], np.int64))
                 spans.append([{"start": a, "stop": b} for a, b in found])
-                kept.append(kind.join(without(kind.symbols(t.as_py()), found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["id", "size", "spans", "kept"])
+                kept.append(t.as_py() if as_is and not found else kind.join(without(kind.symbols(t.as_py()), found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["row", "size", "spans", "kept"])
     return run
 
 
@@ -215,18 +216,21 @@ def _index_rows(index: Callable, shard: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: str, text: str) -> DataFrame:
-    """Rows (id, size, spans, kept): symbols of each text, the merged ranges of
-    those covered by a window that also starts elsewhere, and what is left."""
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col(doc_id).cast("string")).alias("k2"), F.col(text).cast("string").alias("text"))
+def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: str, text: str, keep: list[str], as_is: bool) -> DataFrame:
+    """Rows (row, size, spans, kept): a struct of the columns ``keep``, the number
+    of symbols of the text, the merged ranges of those covered by a window that
+    also starts elsewhere, and what is left (with ``as_is``, the text itself where
+    nothing is removed)."""
+    rows = docs.select(whole(keep), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col(doc_id).cast("string")).alias("k2"), F.col(text).cast("string").alias("text"))
+    row_type = T.StructField("row", rows.schema["row"].dataType)
     places = stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(kind), "a long, g long, k1 long, k2 long, s int, n int"), "anchors")
-    twice = places.groupBy("a").agg(F.count("*").alias("times"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("times > 1").select("a", (F.col("g0") != F.col("g1")).alias("mixed"))
+    # written out, so that the join below is between two fresh exchanges and a hot anchor's rows are split
+    twice = stage(places.groupBy("a").agg(F.count("*").alias("times"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("times > 1").select("a", (F.col("g0") != F.col("g1")).alias("mixed")), "twice")
     told = places.select("a", "k1", "k2", "s", "n").join(twice, "a")
     flagged = told.groupBy("k1", "k2").agg(
-        F.collect_set(F.when(~F.col("mixed"), F.struct("s", "n"))).alias("whole"), F.collect_set(F.when(F.col("mixed"), F.struct("a", "s", "n"))).alias("mixed"))
-    first = stage(rows.join(flagged, ["k1", "k2"], "left").select("id", "k1", "k2", "text", "whole", "mixed").mapInArrow(
-        _apply(kind), f"id {id_type}, k1 long, k2 long, size long, spans {SPANS}, kept binary, text binary, segments array<struct<a:long,s:int,segment:binary>>"), "first")
+        F.collect_set(F.when(~F.col("mixed"), F.struct("s", "n"))).alias("plain"), F.collect_set(F.when(F.col("mixed"), F.struct("a", "s", "n"))).alias("mixed"))
+    flags = schema(row_type, f"k1 long, k2 long, size long, spans {SPANS}, kept binary, text binary, segments array<struct<a:long,s:int,segment:binary>>")
+    first = stage(rows.join(flagged, ["k1", "k2"], "left").select("row", "k1", "k2", "text", "plain", "mixed").mapInArrow(_apply(kind, as_is), flags), "first")
     segments = first.where("text is not null").select("k1", "k2", F.explode("segments").alias("x")).select("k1", "k2", "x.*")
     segments = segments.withColumns({"x1": F.xxhash64("segment"), "x2": F.xxhash64(F.lit("segment"), F.col("segment"))})
     distinct = stage(segments.groupBy("a", "x1", "x2", "segment").agg(F.count("*").alias("weight")), "segments")
@@ -243,5 +247,5 @@ def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: s
     spans = segments.select("a", "x1", "x2", "k1", "k2", "s").join(found, ["a", "x1", "x2"]).select(
         "k1", "k2", F.transform("runs", lambda r: F.struct((F.col("s") + r["lo"]).alias("start"), (F.col("s") + r["lo"] + r["n"] + (kind.width - 1)).alias("stop"))).alias("more"))
     spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("more")).alias("more"))
-    rest = first.where("text is not null").join(spans, ["k1", "k2"], "left").select("id", "size", "spans", "text", "more").mapInArrow(_finish(kind), f"id {id_type}, size long, spans {SPANS}, kept binary")
-    return first.where("text is null").select("id", "size", "spans", "kept").unionByName(rest)
+    rest = first.where("text is not null").join(spans, ["k1", "k2"], "left").select("row", "size", "spans", "text", "more").mapInArrow(_finish(kind, as_is), schema(row_type, f"size long, spans {SPANS}, kept binary"))
+    return first.where("text is null").select("row", "size", "spans", "kept").unionByName(rest)

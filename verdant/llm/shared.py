@@ -6,8 +6,9 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdant.session import ensure_checkpoint_dir
 
@@ -27,8 +28,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(doc_id).cast("string").alias("id"), F.xxhash64(F.col(text)).alias("h"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def schema(first: T.StructField, rest: str) -> T.StructType:
+    """A field and the fields of a DDL string."""
+    return T.StructType([first, *T.StructType.fromDDL(rest).fields])
+
+
+def whole(columns: list[str]) -> Column:
+    """The named columns as one struct, so that no other column's name can clash with theirs."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
 
 
 def _forest(batches):

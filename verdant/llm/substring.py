@@ -104,15 +104,17 @@ def automaton_flags(width: int):
     return index
 
 
-def remove_repeated_spans(docs: DataFrame, width: int = 35, gram: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, width: int = 35, gram: int = 8, doc_id: str = "doc_id", text: str = "text",
+                          keep: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """Removes every word covered by a window of ``width`` consecutive words that
     also starts anywhere else, same document included; all windows are judged on
     the input.
 
-    Returns per row: id, ``size`` (words), ``spans`` (maximal removed word
+    Returns per row: ``row`` (a struct of the columns ``keep``, the id by default), ``size`` (words), ``spans`` (maximal removed word
     ranges) and ``kept`` (binary: kept words joined by one space).  Words are
     split at ASCII white space and compared as they are.  Null, empty and blank
     texts have no words; texts shorter than a window keep all; repeated rows
     count as several occurrences.  Other columns are not read.
+    With ``as_is`` a text of which nothing is removed is kept as it is.
     """
-    return remove_repeats(docs, WordKind(width, gram), automaton_flags(width), SHARD_BYTES, doc_id, text)
+    return remove_repeats(docs, WordKind(width, gram), automaton_flags(width), SHARD_BYTES, doc_id, text, keep or [doc_id], as_is)

@@ -80,13 +80,15 @@ def family_flags(width: int):
     return index
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 32, doc_id: str = "doc_id", text: str = "text",
+                          keep: list[str] | None = None, as_is: bool = False) -> DataFrame:
     """Removes every byte covered by a string of ``width`` bytes that also starts
     anywhere else, same document included; all strings are judged on the input.
 
-    Returns per row: id, ``size`` (bytes of the UTF-8 text), ``spans`` (maximal
+    Returns per row: ``row`` (a struct of the columns ``keep``, the id by default), ``size`` (bytes of the UTF-8 text), ``spans`` (maximal
     removed byte ranges) and ``kept`` (binary: the remaining bytes, which may cut
     a character in two).  A null text counts as empty; shorter texts keep all;
     repeated rows count as several occurrences.  Other columns are not read.
+    With ``as_is`` a text of which nothing is removed is kept as it is.
     """
-    return remove_repeats(docs, ByteKind(width, gram), family_flags(width), SHARD_BYTES, doc_id, text)
+    return remove_repeats(docs, ByteKind(width, gram), family_flags(width), SHARD_BYTES, doc_id, text, keep or [doc_id], as_is)

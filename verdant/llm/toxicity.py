@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.quality import labelled
-from verdant.llm.text import GRAMS, Slice, WordRule, mix, prefix_sums, slices, span_hash, word_hashes, words, ALNUM
+from verdant.llm.shared import schema, whole
+from verdant.llm.text import ALNUM, GRAMS, Slice, WordRule, mix, prefix_sums, slices, span_hash, word_hashes, words
 
 #: Labelled documents of each class in the sample, and features that are kept.
 PER_CLASS, FEATURES = 2000, 4096
@@ -43,11 +44,7 @@ class ToxicityModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def above(self, x: np.ndarray) -> np.ndarray:
-        """P(grade > k) for k = 0, 1, ..."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.thresholds, -50, 50)))
-
-    def counts(self, row: np.ndarray, name: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counts(self, row: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The model's features found: row, feature and how often."""
         if not len(self.names) or not len(name):
             return (np.zeros(0, np.int64),) * 3
@@ -57,7 +54,8 @@ class ToxicityModel:
         return pair // len(self.names), pair % len(self.names), times
 
     def score(self, row: np.ndarray, name: np.ndarray, rows: int) -> np.ndarray:
-        r, f, times = self.counts(row, name, rows)
+        """P(grade > k) of each row for k = 0, 1, ..."""
+        r, f, times = self.counts(row, name)
         total = np.bincount(r, np.log2(1 + times) * self.weights[f], minlength=rows)
         return 1 / (1 + np.exp(-np.clip(total[:, None] - self.thresholds, -50, 50)))
 
@@ -137,17 +135,16 @@ def _grade(model: ToxicityModel | None):
                 above = np.zeros((n, GRADES - 1)) if model is None else model.score(*text_features(s), n)
                 grade = (above > 0.5).sum(1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(s.lo, n) for c in batch.columns[1:]), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade, pa.int32())],
-                    [*batch.schema.names[1:], "p_toxic", "severity", "grade"])
+                    [batch.column(1).slice(s.lo, n), pa.array(above[:, 0]), pa.array(above.sum(1)), pa.array(grade, pa.int32())], ["row", "p_toxic", "severity", "grade"])
     return run
 
 
 def grade(docs: DataFrame, model: ToxicityModel | None, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``p_toxic`` (chance of a grade above 0), ``severity``
+    """``row`` (a struct of the columns ``keep``), ``p_toxic`` (chance of a grade above 0), ``severity``
     (expected grade, 0 to 3), ``grade`` (how many thresholds are more likely passed
     than not) and ``toxic`` (grade above 0) of every row's whole text.
 
     A null or empty text has no features; without a model all are 0.  Columns
     that are not asked for are not read."""
-    schema = ", ".join(f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep)
-    return docs.select(F.col(text).cast("string").alias("_text"), *keep).mapInArrow(_grade(model), f"{schema}, p_toxic double, severity double, grade int").withColumn("toxic", F.col("grade") > 0)
+    rows = docs.select(F.col(text).cast("string").alias("text"), whole(keep))
+    return rows.mapInArrow(_grade(model), schema(rows.schema["row"], "p_toxic double, severity double, grade int")).withColumn("toxic", F.col("grade") > 0)
