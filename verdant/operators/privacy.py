@@ -51,8 +51,10 @@ def drop_sensitive(df: DataFrame) -> DataFrame:
 
 
 def row_hash(*cols) -> Column:
-    """X32 md5 of the row's text form (fields joined by '|', NULL as '')."""
-    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
+    """X32 md5 of the row's text form: each field as its length, ':' and its
+    text, NULL as '-', so that different rows have different forms."""
+    form = [F.col(c).cast("string") for c in cols]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in form]))
 
 
 def dataset_fingerprint(h: Column) -> Column:

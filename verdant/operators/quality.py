@@ -27,6 +27,18 @@ def missing_columns(df: DataFrame, required) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def column_presence(df: DataFrame, required, *, key=KEY) -> DataFrame:
+    """U3 per series and required column: whether the frame has it and how
+    many of the series' rows lack a value (all of them if it does not)."""
+    g = df.groupBy(key).agg(F.count("*").alias("__n"), *[F.count(c).alias(f"__c{i}") for i, c in enumerate(required)
+                                                         if c in df.columns])
+    rows = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"),
+        (F.col("__n") - (F.col(f"__c{i}") if c in df.columns else 0)).alias("n_missing"))
+        for i, c in enumerate(required)]))
+    return g.select(key, rows.alias("r")).select(key, "r.*")
+
+
 def _messages(*pairs) -> Column:
     """Array of the messages whose condition holds, in order."""
     return F.filter(F.array(*[F.when(F.coalesce(cond, F.lit(False)), msg) for cond, msg in pairs]),
@@ -169,9 +181,9 @@ def validate_model_inputs(df: DataFrame, features, label: str, *, key=KEY) -> Da
     return g.withColumn("is_valid", F.size("errors") == 0).drop("n", "n_null", "target_null")
 
 
-def top_issues(results: DataFrame, col: str = "warnings", k: int = 5) -> DataFrame:
-    """T3 the ``k`` most frequent messages (ties by text)."""
-    m = results.select(F.explode(col).alias("message")).groupBy("message").agg(F.count("*").alias("count"))
+def top_issues(results: DataFrame, cols=("warnings", "errors"), k: int = 5) -> DataFrame:
+    """T3 the ``k`` most frequent warnings and errors (ties by text)."""
+    m = results.select(F.explode(F.concat(*cols)).alias("message")).groupBy("message").agg(F.count("*").alias("count"))
     return m.orderBy(F.desc("count"), F.asc("message")).limit(k)
 
 

@@ -269,7 +269,7 @@ def detect_anomalies(df: DataFrame, cols, method: str = "iqr", threshold: float
         df = anomaly_zscore(df, cols, threshold, key=key)
     elif method == "isolation":
         from verdant.operators.stats import isolation_anomalies
-        df = isolation_anomalies(df, cols, key=key)
+        df = df.join(isolation_anomalies(df, cols, key=key, ts=ts), [key, ts], "left")
     else:
         raise ValueError(method)
     df = anomaly_rolling(df, cols, key=key, ts=ts)
@@ -359,25 +359,23 @@ def resample_interpolate(df: DataFrame, cols, *, key=KEY, ts=TS) -> DataFrame:
     """W28 one row per calendar day per series; values linearly interpolated
     between the nearest earlier and later observed days (edges stay NULL).
 
-    The calendar is generated per series with ``sequence`` (no cross join),
-    then the observed rows are left-joined back on (key, date): both sides
-    are partitioned on the key, so the join co-locates."""
-    bounds = df.groupBy(key).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    cal = bounds.select(key, F.explode(F.sequence("__lo", "__hi")).alias(ts))
-    full_df = cal.join(df.select(key, ts, *cols), [key, ts], "left")
-    day = F.datediff(F.col(ts), F.lit("1970-01-01")).cast("double")
-    full_df = full_df.withColumn("__d", day)
-    prev_w = S.running(key, ts)
-    next_w = S.running_desc(key, ts)
+    Each row finds its neighbours in its series' windows, then spreads over the
+    days up to the next row: one exchange, no calendar table and no join."""
+    day = lambda c: F.datediff(F.col(c) if isinstance(c, str) else c, F.lit("1970-01-01")).cast("double")
+    prev_w, next_w = S.running(key, ts), S.Window.partitionBy(key).orderBy(F.col(ts).desc()).rowsBetween(S.Window.unboundedPreceding, -1)
+    seen = {"__next": F.lead(ts).over(S.ordered(key, ts))}
+    for c in cols:
+        at = F.when(F.col(c).isNotNull(), day(ts))
+        seen |= {f"__pd_{c}": F.last(at, True).over(prev_w), f"__pv_{c}": F.last(c, True).over(prev_w),
+                 f"__nd_{c}": F.last(at, True).over(next_w), f"__nv_{c}": F.last(c, True).over(next_w)}
+    base = df.select(key, ts, *cols).withColumns(seen)
+    days = base.withColumn("__day", F.explode(F.sequence(F.col(ts), F.coalesce(F.date_sub("__next", 1), F.col(ts)))))
     out = {}
     for c in cols:
-        pd_ = F.last(F.when(F.col(c).isNotNull(), F.col("__d")), True).over(prev_w)
-        pv = F.last(c, True).over(prev_w)
-        nd = F.last(F.when(F.col(c).isNotNull(), F.col("__d")), True).over(next_w)
-        nv = F.last(c, True).over(next_w)
-        lerp = F.when(nd == pd_, pv).otherwise(pv + (nv - pv) * (F.col("__d") - pd_) / (nd - pd_))
-        out[c] = F.coalesce(F.col(c), lerp)
-    return full_df.withColumns(out).drop("__d")
+        pd_, pv, nd, nv = (F.col(f"__{x}_{c}") for x in ("pd", "pv", "nd", "nv"))
+        lerp = pv + (nv - pv) * (day("__day") - pd_) / (nd - pd_)
+        out[c] = F.when((F.col("__day") == F.col(ts)) & F.col(c).isNotNull(), F.col(c)).otherwise(lerp)
+    return days.select(key, F.col("__day").alias(ts), *[out[c].alias(c) for c in cols])
 
 
 def temporal_gaps(df: DataFrame, *, key=KEY, ts=TS) -> DataFrame:

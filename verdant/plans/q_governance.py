@@ -42,8 +42,12 @@ def q_drop_sensitive(spark, sf):
                     F.element_at("tags", F.lit("crop")).alias("tag_crop"), F.lit(len(c.columns)).alias("n_cols"))
 
 
-_HASH_SQL = ("md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''), coalesce(lang, ''), "
-             "coalesce(source, ''), coalesce(CAST(n_chars AS VARCHAR), '')))")
+def _form(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+_HASH_SQL = "md5(" + " || ".join(_form(c) for c in ("doc_id", "text", "lang", "source", "n_chars")) + ")"
 
 
 @query("content_hash", f"WITH h AS (SELECT source, {_HASH_SQL} AS h FROM documents)\n"

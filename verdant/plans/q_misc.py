@@ -27,12 +27,12 @@ from verdant.sources import fixtures as FX
     "CASE crop " + " ".join(f"WHEN '{c}' THEN {v[i]}" for c, v in D.CROPS.items()) + f" END AS {n}"
     for i, n in ((0, "season_start"), (1, "season_end"), (3, "ndvi_min"), (5, "ndwi_stress"), (6, "cwsi_stress"),
                  (7, "water_mm_day"))]) + f" FROM (SELECT {FX.SERIES_CROP_SQL} AS crop FROM daily) "
-    "WHERE crop IN ('soybean', 'corn', 'wheat') GROUP BY crop")
+    "GROUP BY crop")
 def q_dim_crop(spark, sf):
     d = FX.daily(spark, sf).select(FX.series_crop().alias("crop"))
     cnt = d.groupBy("crop").agg(F.count("*").alias("n_rows"))
     dim = F.broadcast(D.crop_dim(spark))     # 3 rows, fixed by this code base
-    j = cnt.join(dim, "crop")
+    j = cnt.join(dim, "crop", "left")        # rows of crops without an entry stay, with NULLs
     return out(j.select("crop", "n_rows", "season_start", "season_end", "ndvi_min", "ndwi_stress", "cwsi_stress",
                         "water_mm_day"), keep=("crop",))
 
@@ -95,19 +95,17 @@ def combine_sources(sat, wx, key: str = "series_id", ts: str = "date"):
 
 @query("combine_sources", PIXEL + (
     ", sat AS (SELECT region_id AS series_id, date, avg(nir) AS nir, avg(red) AS red FROM pixel "
-    "WHERE region_id = 'A' AND date < DATE '1999-01-01' GROUP BY 1, 2)\n, wx AS (SELECT 'A' AS series_id, "
-    "CAST(l_shipdate AS DATE) AS date, max(l_tax) AS rain FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2)\n"
+    "WHERE (qa & 1024) = 0 AND (qa & 2048) = 0 GROUP BY 1, 2)\n, wx AS (SELECT l_returnflag AS series_id, "
+    "CAST(l_shipdate AS DATE) AS date, max(l_tax) AS rain FROM lineitem GROUP BY 1, 2)\n"
     "SELECT coalesce(sat.series_id, wx.series_id) AS series_id, coalesce(sat.date, wx.date) AS date, "
     "round(nir, 12) AS nir, round(red, 12) AS red, round(rain, 12) AS rain FROM sat FULL OUTER JOIN wx "
     "ON sat.series_id = wx.series_id AND sat.date = wx.date"))
 def q_combine_sources(spark, sf):
-    p = FX.pixel(spark, sf).where((F.col("region_id") == "A") & (F.col("date") < "1999-01-01"))
-    sat = p.groupBy(F.col("region_id").alias("series_id"), F.col("scene_ts").alias("date")).agg(
+    p = FX.pixel(spark, sf)
+    clear = p.where((p.qa.bitwiseAND(1024) == 0) & (p.qa.bitwiseAND(2048) == 0))
+    sat = clear.groupBy(F.col("region_id").alias("series_id"), "date").agg(
         F.avg("nir").alias("nir"), F.avg("red").alias("red"))
-    sat = sat.groupBy("series_id", F.to_date("date").alias("date")).agg(
-        F.avg("nir").alias("nir"), F.avg("red").alias("red"))
-    li = FX.table(spark, sf, "lineitem").where(F.col("l_linestatus") == "O")
-    wx = li.groupBy(F.lit("A").alias("series_id"), F.to_date("l_shipdate").alias("date")).agg(
+    wx = FX.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("series_id"), F.to_date("l_shipdate").alias("date")).agg(
         F.max("l_tax").alias("rain"))
     return out(combine_sources(sat, wx), cols=["nir", "red", "rain"], digits=12)
 
@@ -187,23 +185,28 @@ def q_forecast(spark, sf):
     "(SELECT series_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM a) GROUP BY series_id, x)\n"
     "SELECT series_id, string_agg(x, ' | ' ORDER BY i) AS labels FROM u GROUP BY series_id"))
 def q_dedup_recs(spark, sf):
-    """U2 order-preserving distinct of each series' daily label sequence (a
-    bounded list per series: one entry per day)."""
+    """U2 order-preserving distinct of each series' daily label sequence: the
+    first day of each label, so a list per series is as long as the labels."""
     d = FX.daily_gaps(spark, sf)
     lab = F.when(F.col("NDVI") < 0.6, "low vegetation").when(F.col("NDWI_Gao") < 0.3, "dry canopy").otherwise("ok")
-    g = d.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("date", lab.alias("x")))).alias("l"))
-    return g.select("series_id", F.array_join(F.array_distinct(F.transform("l", lambda s: s["x"])), " | ")
-                    .alias("labels"))
+    first = d.groupBy("series_id", lab.alias("x")).agg(F.min("date").alias("date"))
+    g = first.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("date", "x"))).alias("l"))
+    return g.select("series_id", F.array_join(F.transform("l", lambda s: s["x"]), " | ").alias("labels"))
 
 
 # U3 ------------------------------------------------------------------------
-@query("missing_columns", "SELECT 'weather' AS dataset, 'EVPTRNS' AS missing_column UNION ALL "
-                          "SELECT 'satellite', 'LAI' UNION ALL SELECT 'satellite', 'NDWI_McFeeters'")
+_WANTED = {"weather": ["T2M", "PRECTOTCORR", "EVPTRNS"], "satellite": ["NDVI", "NDWI_Gao", "LAI", "NDWI_McFeeters"]}
+
+
+@query("missing_columns", GAPS + " UNION ALL ".join(
+    f"SELECT series_id, '{s}' AS dataset, '{c}' AS \"column\", {'true' if c in FX.DAILY_VALUE_COLS else 'false'} AS present, "
+    + (f"count(*) - count({c})" if c in FX.DAILY_VALUE_COLS else "count(*)") + " AS n_missing FROM daily_gaps GROUP BY series_id"
+    for s, cols in (("weather", ("T2M", "PRECTOTCORR", "EVPTRNS")), ("satellite", ("NDVI", "NDWI_Gao", "LAI", "NDWI_McFeeters")))
+    for c in cols))
 def q_missing_columns(spark, sf):
-    d = FX.daily(spark, sf)
-    rows = [("weather", c) for c in QA.missing_columns(d, ["T2M", "PRECTOTCORR", "EVPTRNS"])]
-    rows += [("satellite", c) for c in QA.missing_columns(d, ["NDVI", "NDWI_Gao", "LAI", "NDWI_McFeeters"])]
-    return spark.createDataFrame(rows, "dataset string, missing_column string")
+    d = FX.daily_gaps(spark, sf)
+    parts = [QA.column_presence(d, cols).withColumn("dataset", F.lit(s)) for s, cols in _WANTED.items()]
+    return parts[0].unionByName(parts[1])
 
 
 # A3 ------------------------------------------------------------------------

@@ -128,7 +128,8 @@ def _default_sql():
     rows = ", ".join(f"('{p}', '{lbl}', {a}, {b}, {v}, '{u}')" for p, v, u in PL.DEFAULT_SOIL
                      for lbl, a, b in PL.DEFAULT_DEPTHS)
     return SOIL + (f", dflt(property, depth_label, depth_top_cm, depth_bottom_cm, value, unit) AS (VALUES {rows}),\n"
-                   "locs AS (SELECT DISTINCT 'p' || CAST(p_partkey AS VARCHAR) AS location_id FROM part),\n"
+                   "locs AS (SELECT DISTINCT 'p' || CAST(p_partkey AS VARCHAR) AS location_id FROM part "
+                   "UNION SELECT 's' || CAST(s_suppkey AS VARCHAR) FROM supplier),\n"
                    "miss AS (SELECT location_id FROM locs WHERE location_id NOT IN (SELECT location_id FROM soil_long))\n"
                    "SELECT location_id, property, depth_label, depth_top_cm, depth_bottom_cm, round(value, 6) AS value, unit "
                    "FROM soil_long UNION ALL SELECT m.location_id, d.property, d.depth_label, d.depth_top_cm, "
@@ -138,6 +139,8 @@ def _default_sql():
 @query("src_default_soil", _default_sql())
 def q_src_default_soil(spark, sf):
     locs = FX.table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("location_id"))
+    locs = locs.unionByName(FX.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("location_id")))
     d = PL.fill_default_soil(FX.soil_long(spark, sf), locs)
     return out(d, keep=("location_id", "property", "depth_label", "depth_top_cm", "depth_bottom_cm"),
                cols=["value", "unit"])

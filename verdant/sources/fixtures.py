@@ -175,16 +175,15 @@ SERIES_CROP_SQL = ("CASE WHEN series_id LIKE 'A%' THEN 'soybean' WHEN series_id
 
 
 # ------------------------------------------------------------ soil_long ---
-# part x 3 depths; parts with key % 7 == 0 report texture in g/kg, parts
-# with key % 13 == 0 have no bulk density, parts with key % 17 == 0 have no
-# soil rows at all (they get the default profile, S3).
+# part x 6 depths; parts with key % 7 == 0 report texture in g/kg, parts
+# with key % 13 == 0 have no bulk density.  Suppliers have no soil rows (S3).
 
 DEPTHS = [("0-5cm", 0, 5), ("5-15cm", 5, 15), ("15-30cm", 15, 30), ("30-60cm", 30, 60),
           ("60-100cm", 60, 100), ("100-200cm", 100, 200)]
 
 
 def soil_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(F.col("p_partkey") % 17 != 0)
+    p = table(spark, sf_dir, "part")
     depth = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(lbl).alias("depth_label"),
                                          F.lit(a).alias("depth_top_cm"), F.lit(b).alias("depth_bottom_cm"))
                                 for i, (lbl, a, b) in enumerate(DEPTHS)]))
@@ -216,7 +215,7 @@ soil_base AS (
          CAST(p_size + 5 * d AS DOUBLE) AS sand, CAST((p_partkey + d) % 50 AS DOUBLE) AS clay,
          CASE WHEN p_partkey % 7 = 0 THEN 10.0 ELSE 1.0 END AS k,
          CASE WHEN p_partkey % 13 <> 0 THEN 100.0 + p_size + 10 * d END AS bdod
-  FROM part, soil_depths WHERE p_partkey % 17 <> 0
+  FROM part, soil_depths
 ),
 soil_long AS (
   SELECT location_id, 'sand' AS property, depth_label, depth_top_cm, depth_bottom_cm, sand * k AS value, '%' AS unit FROM soil_base
