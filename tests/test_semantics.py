@@ -82,3 +82,24 @@ def test_class_report_counts(spark):
     assert abs(r[2].precision - 2 / 3) < 1e-12 and abs(r[2].recall - 2 / 3) < 1e-12 and r[2].support == 3
     assert abs(r[1].precision - 0.5) < 1e-12 and r[1].support == 2
     assert sum(x["count"] for x in confusion_matrix(pred).collect()) == 6
+
+
+def test_gap_rules_fire(spark):
+    """A hole of 36 days is told by both validators."""
+    from verdant.operators import quality as QA
+    days = [f"1998-{m:02d}-{d:02d}" for m in (5, 6) for d in range(1, 31)] + ["1998-08-05", "1998-08-06"]
+    d = spark.createDataFrame([("A", x, 0.5, 0.3, 10.0, 1.0) for x in days], "series_id string, date string, NDVI double, NDWI_Gao double, T2M double, PRECTOTCORR double")
+    d = d.withColumn("date", F.to_date("date"))
+    sat = QA.validate_satellite(d.select("series_id", "date", "NDVI", "NDWI_Gao")).first()
+    wx = QA.validate_weather(d.select("series_id", "date", "T2M", "PRECTOTCORR")).first()
+    assert sat.warnings == ["Large temporal gap: 36.0 days"] and wx.warnings == ["Weather data gaps up to 36.0 days"]
+
+
+def test_anomaly_methods_keep_columns(spark):
+    from verdant.operators import timeseries as TSO
+    from verdant.sources import fixtures as FX
+    d = FX.daily(spark, "/root/testdata/sf0.001").select("series_id", "date", "NDVI", "T2M")
+    seen = {m: set(TSO.detect_anomalies(d, ["NDVI"], m).columns) for m in ("iqr", "zscore", "isolation")}
+    want = set(d.columns) | {"NDVI_anomaly", "NDVI_rolling_anomaly", "NDVI_seasonal_anomaly"}
+    assert all(s == want for s in seen.values())
+    assert TSO.detect_anomalies(d, ["NDVI"], "isolation").count() == d.count()

@@ -251,3 +251,13 @@ def export_alerts(alerts: DataFrame, key: str = KEY) -> DataFrame:
                          F.size("recommendations").alias("num_recommendations"),
                          F.col("model_prediction.stress_level").alias("model_prediction_stress"),
                          F.col("model_prediction.confidence").alias("model_confidence"))
+
+
+def write_alerts(rows: DataFrame, path: str, kind: str) -> DataFrame:
+    """S9 write exported rows as ``csv`` (with a header) or ``json`` files and
+    return what the files hold."""
+    if kind not in ("csv", "json"):
+        raise ValueError(kind)
+    options = {"header": True} if kind == "csv" else {}
+    rows.write.mode("overwrite").format(kind).options(**options).save(path)
+    return rows.sparkSession.read.schema(rows.schema).format(kind).options(**options).load(path)

@@ -112,25 +112,41 @@ def scaler(method: str = "standard", input_col: str = "features", output_col: st
     raise ValueError(method)
 
 
-def scale_columns(df: DataFrame, cols, method: str = "standard", key: str | None = None) -> DataFrame:
-    """M9 as column expressions (the same statistics as the reference's
-    scalers: population std, min/max, median and IQR), optionally per key."""
-    w = S.Window.partitionBy(key) if key else S.Window.partitionBy()
-    out = {}
+def fit_scaling(df: DataFrame, cols, method: str = "standard", key: str | None = None) -> DataFrame:
+    """M9 statistics to scale by: one row per key (one row in all without a
+    key), columns ``<col>__mid`` and ``<col>__spread``.  Keep the result to scale
+    other rows by the same statistics."""
+    aggs = []
     for c in cols:
-        x = F.col(c)
         if method == "standard":
-            sd = F.stddev_pop(c).over(w)
-            out[c] = F.when(sd == 0, F.lit(0.0)).otherwise((x - F.avg(c).over(w)) / sd)
+            mid, spread = F.avg(c), F.stddev_pop(c)
         elif method == "minmax":
-            lo, hi = F.min(c).over(w), F.max(c).over(w)
-            out[c] = F.when(hi == lo, F.lit(0.0)).otherwise((x - lo) / (hi - lo))
+            mid, spread = F.min(c), F.max(c) - F.min(c)
         elif method == "robust":
-            q1, q2, q3 = (F.percentile(c, q).over(w) for q in (0.25, 0.5, 0.75))
-            out[c] = F.when(q3 == q1, x - q2).otherwise((x - q2) / (q3 - q1))
+            mid, spread = F.percentile(c, 0.5), F.percentile(c, 0.75) - F.percentile(c, 0.25)
         else:
             raise ValueError(method)
-    return df.withColumns(out)
+        aggs += [mid.alias(f"{c}__mid"), spread.alias(f"{c}__spread")]
+    return (df.groupBy(key) if key else df.groupBy()).agg(*aggs)
+
+
+def scale_columns(df: DataFrame, cols, method: str = "standard", key: str | None = None, stats: DataFrame | None = None,
+                  suffix: str = "") -> DataFrame:
+    """M9 columns scaled by ``stats`` (fitted on ``df`` if not given): population
+    std, min/max, or median and IQR.  A constant column becomes 0 (robust: only
+    centred).  Statistics are one aggregate, joined back on the key, or, without
+    a key, one row of numbers; no window is involved."""
+    stats = fit_scaling(df, cols, method, key) if stats is None else stats
+    if key:
+        told = df.join(stats, key, "left")
+        mid, spread = (lambda c: F.col(f"{c}__mid")), (lambda c: F.col(f"{c}__spread"))
+    else:
+        row = stats.first()
+        told = df
+        mid, spread = (lambda c: F.lit(row[f"{c}__mid"])), (lambda c: F.lit(row[f"{c}__spread"]))
+    out = {f"{c}{suffix}": F.when(spread(c) == 0, F.col(c) - mid(c) if method == "robust" else F.lit(0.0))
+           .otherwise((F.col(c) - mid(c)) / spread(c)) for c in cols}
+    return told.withColumns(out).drop(*[f"{c}__{x}" for c in cols for x in ("mid", "spread")])
 
 
 # ---------------------------------------------------------------- M2 / M3 --
@@ -302,37 +318,48 @@ def load_model(path: str) -> PipelineModel:
 # ---------------------------------------------------------- M6-M8, A22 --
 
 def correlation_pairs(df: DataFrame, cols, threshold: float = 0.95) -> DataFrame:
-    """A22 |Pearson r| for every column pair (one aggregate with one ``corr``
-    per pair), flagging pairs above ``threshold``."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    g = df.agg(*[F.corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
-    stack = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.col(f"__{i}")).alias("r"))
-                                for i, (a, b) in enumerate(pairs)]))
-    return g.select(stack.alias("s")).select("s.a", "s.b", "s.r").withColumn("high", F.col("r") > threshold)
+    """A22 |Pearson r| for every column pair (rows with both values), flagging
+    pairs above ``threshold``.  A row spreads into its pairs, which are combined
+    before the shuffle: one ``corr`` expression however many columns."""
+    cols = list(cols)
+    names = F.array(*[F.lit(c) for c in cols])
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(cols) - 2)), lambda i: F.transform(
+        F.sequence(i + 1, F.lit(len(cols) - 1)),
+        lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("v", i).alias("x"), F.get("v", j).alias("y")))))
+    rows = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).select(F.explode(pairs).alias("p")).select("p.*")
+    g = rows.groupBy("i", "j").agg(F.abs(F.corr("x", "y")).alias("r"))
+    return g.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r").withColumn("high", F.col("r") > threshold)
 
 
 def anova_f(df: DataFrame, cols, label: str = "label") -> DataFrame:
     """M6 one-way ANOVA F statistic of every feature against the class label
-    (scikit-learn's f_classif), from per-class sums in one aggregate."""
-    per = df.groupBy(label).agg(F.count("*").alias("n"),
-                                *[F.sum(c).alias(f"s_{c}") for c in cols],
-                                *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in cols])
-    tot = per.agg(F.sum("n").alias("N"), F.count("*").alias("k"),
-                  *[F.sum(f"s_{c}").alias(f"S_{c}") for c in cols],
-                  *[F.sum(f"q_{c}").alias(f"Q_{c}") for c in cols],
-                  *[F.sum(F.col(f"s_{c}") * F.col(f"s_{c}") / F.col("n")).alias(f"B_{c}") for c in cols])
-    rows = []
-    for c in cols:
-        ssb = F.col(f"B_{c}") - F.col(f"S_{c}") * F.col(f"S_{c}") / F.col("N")
-        ssw = F.col(f"Q_{c}") - F.col(f"B_{c}")
-        f = F.try_divide(ssb / (F.col("k") - 1), ssw / (F.col("N") - F.col("k")))
-        rows.append(F.struct(F.lit(c).alias("feature"), f.alias("f_score")))
-    return tot.select(F.explode(F.array(*rows)).alias("s")).select("s.feature", "s.f_score")
-
-
-def select_univariate(df: DataFrame, cols, k: int = 50, label: str = "label") -> DataFrame:
+    (scikit-learn's f_classif).  Per class and feature: count, mean and M2 (sum of
+    squared deviations), which merge without the cancellation of plain sums of
+    squares."""
+    long_ = df.select(F.col(label).alias("__y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")).select("__y", "s.*")
+    per = long_.groupBy("feature", "__y").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), (F.var_pop("x") * F.count("x")).alias("m2"))
+    grand = per.groupBy("feature").agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.sum("m2").alias("within"),
+                                       (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"))
+    between = per.join(grand.select("feature", "grand"), "feature").groupBy("feature").agg(
+        F.sum(F.col("n") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).alias("between"))
+    f = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("N") - F.col("k")))
+    return grand.join(between, "feature").select("feature", f.alias("f_score"))
+
+
+def regression_f(df: DataFrame, cols, target: str) -> DataFrame:
+    """M6 F statistic of every feature in a one-variable linear regression of a
+    numeric target (scikit-learn's f_regression): r^2 / (1 - r^2) x (n - 2)."""
+    long_ = df.select(F.col(target).cast("double").alias("__y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")).select("__y", "s.*")
+    g = long_.groupBy("feature").agg(F.regr_r2("__y", "x").alias("r2"), F.regr_count("__y", "x").alias("n"))
+    return g.select("feature", F.try_divide(F.col("r2") * (F.col("n") - 2), 1 - F.col("r2")).alias("f_score"))
+
+
+def select_univariate(df: DataFrame, cols, k: int = 50, label: str = "label", task: str = "classification") -> DataFrame:
     """M6 the ``k`` features with the largest F statistic (ties by name)."""
-    return anova_f(df, cols, label).orderBy(F.desc_nulls_last("f_score"), "feature").limit(min(k, len(cols)))
+    scores = anova_f(df, cols, label) if task == "classification" else regression_f(df, cols, label)
+    return scores.orderBy(F.desc_nulls_last("f_score"), "feature").limit(min(k, len(cols)))
 
 
 def select_univariate_ml(df: DataFrame, cols, k: int = 50, label: str = "label"):
@@ -345,17 +372,14 @@ def select_univariate_ml(df: DataFrame, cols, k: int = 50, label: str = "label")
     return [cols[i] for i in m.selectedFeatures]
 
 
-def select_correlation(df: DataFrame, cols, k: int = 50, threshold: float = 0.95, label: str = "label") -> list[str]:
+def select_correlation(df: DataFrame, cols, k: int = 50, threshold: float = 0.95, label: str = "label") -> DataFrame:
     """M8 drop every later column of a pair with |r| > threshold, then keep
-    the top ``k`` by F statistic if more remain.  The pair table has
-    len(cols)^2 / 2 rows (columns, not data) and is read on the driver."""
-    pairs = correlation_pairs(df, cols, threshold).where("high").select("b").distinct().collect()
-    drop = {r["b"] for r in pairs}
-    keep = [c for c in cols if c not in drop]
-    if len(keep) > k:
-        top = {r["feature"] for r in select_univariate(df, keep, k, label).collect()}
-        keep = [c for c in keep if c in top]
-    return keep
+    the top ``k`` by F statistic if more remain.  Rows ``feature``; a lazy plan
+    over a table of column names."""
+    scores = anova_f(df, cols, label)
+    drop = correlation_pairs(df, cols, threshold).where("high").select(F.col("b").alias("feature")).distinct()
+    keep = scores.join(drop, "feature", "left_anti")
+    return keep.orderBy(F.desc_nulls_last("f_score"), "feature").limit(k).select("feature")
 
 
 def select_rfe(df: DataFrame, cols, k: int = 50, label: str = "label", step_trees: int = 50) -> list[str]:

@@ -1,7 +1,8 @@
 """Retention store: data sets are written as parquet
-partitioned by class / data type / store date, and every write appends a
-record to an index table.  Expiry and summaries are queries over the index;
-removal is a partition overwrite, never a driver-side file loop."""
+partitioned by class / data type / store date / identifier, with one index
+record each.  Writing the same data set again replaces it and its record.
+Expiry and summaries are queries over the index; clean-up drops the expired
+records and the partitions they name."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.operators.privacy import dataset_fingerprint, row_hash
+from verdant.session import cut_lineage
 
 # Fixed values of the reference: essential (kept forever) and temporary
 # (kept ``max_storage_days``) data types.
@@ -34,30 +36,58 @@ def index_records(records: DataFrame, max_days: int = MAX_STORAGE_DAYS) -> DataF
 
 def store_data(df: DataFrame, base_path: str, data_type: str, identifier: str, store_date: str,
                metadata: dict | None = None, max_days: int = MAX_STORAGE_DAYS) -> DataFrame:
-    """S10 write one data set and return its one-row index record.
+    """S10 write one data set and return the index.
 
-    The data set goes to ``base_path/data/class=../data_type=../store_date=..``
-    (overwriting only that partition); the record is appended to
-    ``base_path/index``.  Hash and size are computed by aggregates."""
+    The data set is the partition (class, data_type, store_date, identifier) of
+    ``base_path/data``; its record is the partition (data_type, store_date,
+    identifier) of ``base_path/index``.  Both are replaced alone, so other data
+    sets stay and a repeated write changes nothing.  Hash and size are computed
+    by aggregates."""
     spark = df.sparkSession
     ess = data_type in ESSENTIAL_TYPES
     klass = "essential" if ess else "temporary"
-    out = (df.withColumn("storage_class", F.lit(klass)).withColumn("data_type", F.lit(data_type))
-             .withColumn("identifier", F.lit(identifier)).withColumn("store_date", F.lit(store_date)))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("storage_class", "data_type", "store_date").parquet(f"{base_path}/data"))
+    parts = {"storage_class": klass, "data_type": data_type, "store_date": store_date, "identifier": identifier}
+    out = df.withColumns({k: F.lit(v) for k, v in parts.items()})
+    _replace(out, f"{base_path}/data", list(parts))
     stats = df.select(row_hash(*df.columns).alias("h")).agg(
         dataset_fingerprint(F.col("h")).alias("data_hash"), F.count("*").alias("n_rows"))
     meta = F.create_map(*[x for k, v in (metadata or {}).items() for x in (F.lit(k), F.lit(str(v)))]) \
         if metadata else F.create_map().cast("map<string,string>")
-    rec = stats.select(F.lit(identifier).alias("identifier"), F.lit(data_type).alias("data_type"),
-                       F.lit(store_date).cast("date").alias("timestamp"), F.lit(ess).alias("is_essential"),
+    rec = stats.select(F.lit(store_date).cast("date").alias("timestamp"), F.lit(ess).alias("is_essential"),
                        F.lit(None if ess else max_days).cast("int").alias("retention_days"),
                        meta.alias("metadata"), "data_hash", "n_rows",
-                       F.lit(f"{base_path}/data/storage_class={klass}/data_type={data_type}/store_date={store_date}")
-                       .alias("storage_path"))
-    rec.write.mode("append").parquet(f"{base_path}/index")
-    return spark.read.parquet(f"{base_path}/index")
+                       F.lit("/".join(["data", *(f"{k}={v}" for k, v in parts.items())])).alias("storage_path"),
+                       F.lit(data_type).alias("data_type"), F.lit(store_date).alias("store_date"), F.lit(identifier).alias("identifier"))
+    _replace(rec, f"{base_path}/index", ["data_type", "store_date", "identifier"])
+    return read_index(spark, base_path)
+
+
+def _replace(df: DataFrame, path: str, partitions: list[str]) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
+INDEX_SCHEMA = ("timestamp date, is_essential boolean, retention_days int, metadata map<string,string>, data_hash string, "
+                "n_rows long, storage_path string, data_type string, store_date string, identifier string")
+
+
+def read_index(spark, base_path: str) -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{base_path}/index")
+
+
+def clean_up(spark, base_path: str, as_of: str) -> DataFrame:
+    """Q4 remove the data sets that have expired at ``as_of`` and their index
+    records, and note the run.  Returns the records removed.  Removing a data
+    set again is harmless, so an interrupted run can be repeated."""
+    gone = expiry(read_index(spark, base_path), as_of).where("expired").drop("expired")
+    gone = cut_lineage(gone)    # before its partitions go
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in gone.select("storage_path", "data_type", "store_date", "identifier").toLocalIterator():
+        record = f"index/data_type={r.data_type}/store_date={r.store_date}/identifier={r.identifier}"
+        for place in (r.storage_path, record):
+            path = jvm.org.apache.hadoop.fs.Path(f"{base_path}/{place}")
+            path.getFileSystem(conf).delete(path, True)
+    spark.range(1).select(F.lit(as_of).cast("timestamp").alias("cleanup_ts")).write.mode("append").parquet(f"{base_path}/cleanups")
+    return gone
 
 
 def expiry(index: DataFrame, as_of: str) -> DataFrame:

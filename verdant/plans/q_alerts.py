@@ -14,6 +14,7 @@ from verdant.plans import sqlgen as Q
 from verdant.plans.q_timeseries import DAILY, GAPS, out
 from verdant.plans.registry import query
 from verdant.sources import dims as D
+from verdant.session import output_path
 from verdant.sources import fixtures as FX
 
 ALERT_COLS = ["NDVI", "NDWI_Gao", "CWSI", "T2M_MAX", "water_balance_daily", "water_balance_7d",
@@ -205,5 +206,8 @@ def q_trend_word(spark, sf):
                         "END AS num_recommendations, CAST(NULL AS INTEGER) AS model_prediction_stress, "
                         "CAST(NULL AS DOUBLE) AS model_confidence FROM (" + ALERT_SQL + ")")
 def q_export_alerts(spark, sf):
-    e = AL.export_alerts(alerts(spark, sf))
-    return e.withColumn("alert_score", S.rnd("alert_score", 6))
+    """Writes the rows as CSV and as JSON files and reads both back; rows that the
+    two files agree on are returned."""
+    e = AL.export_alerts(alerts(spark, sf)).withColumn("alert_score", S.rnd("alert_score", 6))
+    csv, json = (AL.write_alerts(e, output_path(spark, f"alerts_{kind}"), kind) for kind in ("csv", "json"))
+    return csv.intersect(json)

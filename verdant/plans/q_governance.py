@@ -9,6 +9,7 @@ from verdant.operators import retention as RT
 from verdant.plans.q_features import PIXEL, PKEYS, _psel
 from verdant.plans.q_timeseries import out
 from verdant.plans.registry import query
+from verdant.session import output_path
 from verdant.sources import fixtures as FX
 
 STORE = FX.with_sql(FX.STORAGE_SQL)
@@ -87,3 +88,52 @@ def q_retention_expiry(spark, sf):
 def q_storage_summary(spark, sf):
     idx = RT.index_records(FX.storage_records(spark, sf))
     return RT.storage_summary(idx)
+
+
+# S10 / Q4 write paths -------------------------------------------------------
+_SETS = [("raw_satellite_data", "customers", "1997-11-20", "customer", ("c_custkey", "c_nationkey", "c_acctbal")),
+         ("raw_satellite_data", "suppliers", "1997-11-20", "supplier", ("s_suppkey", "s_nationkey")),
+         ("temp_weather_data", "orders", "1997-12-25", "orders", ("o_orderkey", "o_orderpriority")),
+         ("model_parameters", "parts", "1997-01-05", "part", ("p_partkey", "p_size"))]
+
+
+def _stored(spark, sf, name):
+    """Four data sets, two of one type and day, one of them stored twice."""
+    path = output_path(spark, name)
+    for kind, identifier, day, table, cols in [*_SETS, _SETS[0]]:
+        index = RT.store_data(FX.table(spark, sf, table).select(*cols), path, kind, identifier, day)
+    return path, index
+
+
+def _records_sql():
+    def one(kind, identifier, day, table, cols):
+        form = "md5(" + " || ".join(_form(c) for c in cols) + ")"
+        ess = kind == "model_parameters"
+        return (f"SELECT '{kind}' AS data_type, '{identifier}' AS identifier, '{day}' AS store_date, {str(ess).lower()} AS is_essential, "
+                f"{'NULL::INTEGER' if ess else '30'} AS retention_days, count(*) AS n_rows, "
+                f"CAST(sum(CAST(CAST('0x' || substr({form}, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS data_hash FROM "
+                f"(SELECT {', '.join(cols)} FROM {table})")
+    return " UNION ALL ".join(one(*x) for x in _SETS)
+
+
+@query("store_data", "SELECT * FROM (" + _records_sql() + ")")
+def q_store_data(spark, sf):
+    path, index = _stored(spark, sf, "store")
+    cols = ["data_type", "identifier", "store_date", "is_essential", "retention_days", "n_rows", "data_hash"]
+    held = spark.read.parquet(f"{path}/data").groupBy("identifier").agg(F.count("*").alias("held"))
+    return index.select(*cols).join(held, "identifier").where("held = n_rows").select(*cols)
+
+
+@query("clean_up", "SELECT identifier, n_rows, identifier IN ('customers', 'suppliers') AS removed, TIMESTAMP '1998-01-01' AS "
+       "last_cleanup FROM (" + _records_sql() + ")")
+def q_clean_up(spark, sf):
+    """Stores, cleans up twice, and tells which data sets are gone."""
+    path, _ = _stored(spark, sf, "store")
+    gone = RT.clean_up(spark, path, AS_OF)
+    again = RT.clean_up(spark, path, AS_OF)
+    left = RT.read_index(spark, path)
+    held = spark.read.parquet(f"{path}/data").select("identifier").distinct()
+    told = (gone.unionByName(again).select("identifier", "n_rows", F.lit(True).alias("removed")).join(held, "identifier", "left_anti")
+            .unionByName(left.join(held, "identifier").select("identifier", "n_rows", F.lit(False).alias("removed"))))
+    last = RT.last_cleanup(spark.read.parquet(f"{path}/cleanups")).first()[0]
+    return told.withColumn("last_cleanup", F.lit(last))

@@ -17,7 +17,7 @@ from verdant.plans import sqlgen as Q
 from verdant.plans.q_features import PIXEL
 from verdant.plans.q_timeseries import DAILY, GAPS, out
 from verdant.plans.registry import query
-from verdant.session import ensure_checkpoint_dir
+from verdant.session import output_path
 from verdant.sources import dims as D
 from verdant.sources import fixtures as FX
 
@@ -66,7 +66,7 @@ def q_sink_json(spark, sf):
     """Write the alert rows as JSON partitioned by run date into the shared
     folder and read them back."""
     a = QAL.flat(QAL.alerts(spark, sf)).withColumn("run_date", F.lit("2001-11-04"))
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/outputs/alerts_json"
+    path = output_path(spark, "alerts_json")
     a.write.mode("overwrite").partitionBy("run_date").json(path)
     return spark.read.json(path)
 

@@ -13,7 +13,7 @@ from verdant.operators import timeseries as TSO
 from verdant.plans import sqlgen as Q
 from verdant.plans.q_timeseries import DAILY, GAPS, out
 from verdant.plans.registry import query
-from verdant.session import ensure_checkpoint_dir
+from verdant.session import output_path
 from verdant.sources import fixtures as FX
 
 # Model input for the registered queries: daily + VPD, GDD and the daily
@@ -163,8 +163,17 @@ def q_select_univariate(spark, sf):
     + "), dropped AS (SELECT DISTINCT b FROM p WHERE r > 0.95)\n"
       "SELECT feature FROM f WHERE feature NOT IN (SELECT b FROM dropped)")
 def q_select_correlation(spark, sf):
-    keep = ML.select_correlation(_labelled(spark, sf), _SEL, k=50)
-    return spark.createDataFrame([(c,) for c in keep], "feature string")
+    return ML.select_correlation(_labelled(spark, sf), _SEL, k=50)
+
+
+@query("select_regression", DAILY + ", r AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, regr_r2(NDVI, {c}) AS r2, regr_count(NDVI, {c}) AS n FROM daily"
+    for c in ("NDWI_Gao", "EVI", "SAVI", "T2M", "T2M_MAX", "T2M_MIN", "PRECTOTCORR", "PET_PT_JPL", "CWSI"))
+    + ")\nSELECT feature, round(r2 * (n - 2) / (1 - r2), 4) AS f_score FROM r ORDER BY r2 DESC, feature LIMIT 5")
+def q_select_regression(spark, sf):
+    cols = ["NDWI_Gao", "EVI", "SAVI", "T2M", "T2M_MAX", "T2M_MIN", "PRECTOTCORR", "PET_PT_JPL", "CWSI"]
+    s = ML.select_univariate(FX.daily(spark, sf), cols, k=5, label="NDVI", task="regression")
+    return s.select("feature", S.rnd("f_score", 4).alias("f_score"))
 
 
 _SC = ["NDVI", "T2M", "PRECTOTCORR"]
@@ -181,32 +190,10 @@ WH = "OVER (PARTITION BY series_id)"
      f"quantile_cont({c}, 0.25) {WH}) END, 6) AS {c}_robust" for c in _SC]) + " FROM daily_gaps")
 def q_scale(spark, sf):
     d = FX.daily_gaps(spark, sf).select("series_id", "date", *_SC)
-    parts = {}
-    for m in ("standard", "minmax", "robust"):
-        s = ML.scale_columns(d, _SC, m, key="series_id")
-        parts[m] = s
-    d2 = d
+    told = d
     for m in ("standard", "minmax", "robust"):
-        d2 = d2.withColumns({f"{c}_{m}": expr for c, expr in _scale_exprs(m).items()})
-    return out(d2.drop(*_SC))
-
-
-def _scale_exprs(m):
-    from verdant.functions import semantics as S
-    w = S.Window.partitionBy("series_id")
-    outx = {}
-    for c in _SC:
-        x = F.col(c)
-        if m == "standard":
-            sd = F.stddev_pop(c).over(w)
-            outx[c] = F.when(sd == 0, F.lit(0.0)).otherwise((x - F.avg(c).over(w)) / sd)
-        elif m == "minmax":
-            lo, hi = F.min(c).over(w), F.max(c).over(w)
-            outx[c] = F.when(hi == lo, F.lit(0.0)).otherwise((x - lo) / (hi - lo))
-        else:
-            q1, q2, q3 = (F.percentile(c, q).over(w) for q in (0.25, 0.5, 0.75))
-            outx[c] = F.when(q3 == q1, x - q2).otherwise((x - q2) / (q3 - q1))
-    return outx
+        told = ML.scale_columns(told, _SC, m, key="series_id", stats=ML.fit_scaling(d, _SC, m, "series_id"), suffix=f"_{m}")
+    return out(told.drop(*_SC))
 
 
 # --------------------------------------------------- fitted models (rows) --
@@ -265,7 +252,7 @@ def q_score(spark, sf):
 @query("model_store", None)
 def q_model_store(spark, sf):
     pm, _, _ = _fit(spark, sf, "random_forest", 5)
-    path = ensure_checkpoint_dir(spark).rstrip("/") + "/models/random_forest"
+    path = output_path(spark, "random_forest")
     ML.save_model(pm, path)
     back = ML.load_model(path)
     return ML.predict(back, model_table(spark, sf)).select("series_id", "date", "prediction")

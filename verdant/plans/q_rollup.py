@@ -183,3 +183,19 @@ def q_vegetation_rollup(spark, sf):
 def q_climate_rollup(spark, sf):
     s = RU.climate_rollup(FX.daily(spark, sf))
     return out(s, keep=(), cols=s.columns)
+
+
+# per-region rows behind the national roll-ups (A16, A17) -------------------
+def _per_region_sql(*cols):
+    return ("SELECT series_id, count(*) AS data_points, " + ", ".join(
+        f"round(arg_max({c}, date), 6) AS latest_{c}, round(avg({c}), 6) AS avg_{c}" for c in cols) + " FROM daily GROUP BY series_id")
+
+
+@query("vegetation_by_region", DAILY + _per_region_sql("NDVI", "NDWI_Gao"))
+def q_vegetation_by_region(spark, sf):
+    return out(RU.latest_and_mean(FX.daily(spark, sf), ["NDVI", "NDWI_Gao"], "series_id"), keep=("series_id",))
+
+
+@query("climate_by_region", DAILY + _per_region_sql("T2M", "PRECTOTCORR"))
+def q_climate_by_region(spark, sf):
+    return out(RU.latest_and_mean(FX.daily(spark, sf), ["T2M", "PRECTOTCORR"], "series_id"), keep=("series_id",))

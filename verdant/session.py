@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def output_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for results called ``name`` in the shared checkpoint
+    folder: no two runs share one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/outputs-{uuid.uuid4().hex}/{name}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor
     loss, unlike a local checkpoint)."""

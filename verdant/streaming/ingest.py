@@ -3,8 +3,8 @@
 The reference fetches each source in one blocking call per region; on a
 cluster the documents land as JSON files instead.  A file stream picks up
 new documents, each micro-batch is parsed with the same batch parsers
-(``sources.payloads``) and appended to the partitioned daily table.  The
-stream's checkpoint lives in the shared checkpoint folder, so a restarted
+(``sources.payloads``) and becomes a partition of the daily table; a retried
+batch replaces its own partition.  The stream's checkpoint lives in the shared checkpoint folder, so a restarted
 job (or a lost executor) resumes exactly where it stopped.
 """
 
@@ -26,11 +26,11 @@ def weather_stream(spark: SparkSession, landing_dir: str) -> DataFrame:
     return spark.readStream.schema(DOC_SCHEMA).json(landing_dir)
 
 
-def _append_batch(table_dir: str):
+def _replace_batch(table_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         daily = PL.parse_weather(batch)
-        (daily.withColumn("year", F.year("date"))
-              .write.mode("append").partitionBy("year").parquet(table_dir))
+        (daily.withColumns({"batch": F.lit(batch_id), "year": F.year("date")}).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "year").parquet(table_dir))
     return write
 
 
@@ -39,7 +39,7 @@ def start_weather_ingest(spark: SparkSession, landing_dir: str, table_dir: str,
     """Start the ingest query; ``available_now`` processes what has landed and
     stops (scheduled runs), otherwise it keeps polling."""
     ckpt = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/streams/weather_ingest"
-    w = (weather_stream(spark, landing_dir).writeStream.foreachBatch(_append_batch(table_dir))
+    w = (weather_stream(spark, landing_dir).writeStream.foreachBatch(_replace_batch(table_dir))
          .option("checkpointLocation", ckpt))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
