@@ -6,19 +6,16 @@ rate, zone)``.  Cells are generated per region with ``sequence`` +
 columns are exploded, so a large region's grid is spread over tasks).
 Stress reaches the cells from sample points by an exact nearest-neighbour
 search over square tiles (see ``nearest_stress``); rates and zones are
-band lookups compiled to CASE expressions; summaries are two-phase
-aggregates per region.
+band lookups compiled to CASE expressions; summaries follow from the counts
+of a region's few rates.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.functions import semantics as S
-from verdant.session import cut_lineage
 
 # Fixed values of the reference: irrigation rate (mm/day) per crop and
 # stress band, the stress bands, prescription zones (rate bands), default
@@ -76,70 +73,74 @@ def _linspace(lo, hi, n, i) -> Column:
 def nearest_stress(cells: DataFrame, points: DataFrame, key: str = "region_id", stress: str = "stress",
                    per_tile: int = 4) -> DataFrame:
     """G2 stress of each cell = stress of the nearest sample point of its
-    region (ties: lower point id); regions with fewer than three valid
-    samples get 0.5; results clipped to [0, 1].
-
-    Exact search without all pairs: points are bucketed in square tiles
-    sized for about ``per_tile`` points per tile (per region).  At level l
-    the tile side is ``t0 * 2**l``; each unresolved cell looks only at the
-    3 x 3 tiles around it, and its best candidate is final once its distance
-    is at most the tile side (no point outside the block can be closer).
-    The last level's tile spans the whole region, so every cell resolves.
-    Unresolved cells are checkpointed between levels (reliable checkpoint
-    in the shared checkpoint dir)."""
+    region (ties: lower point id); regions with fewer than ``MIN_POINTS`` valid
+    samples get ``DEFAULT_STRESS``; results clipped to [0, 1].  Cells keep all
+    their columns.
+
+    Exact search without all pairs, in one lazy plan.  Points at one place
+    count once.  Square tiles hold about ``per_tile`` points; tiles of level l
+    are 2**l times as wide.  Each tile of cells takes the least level at which a
+    point lies in the 3 x 3 block around it; the cells look there.  A match
+    nearer than that level's tile side is final, as no point outside the block
+    can be closer; the other cells look once more, at the level whose side
+    exceeds their distance.  The small side (points) is spread over levels and
+    neighbours, the cells never are."""
     pts = points.where(F.col(stress).isNotNull()).select(key, "point_id", F.col("lon").alias("plon"),
                                                          F.col("lat").alias("plat"), F.col(stress).alias("pstress"))
+    places = pts.groupBy(key, "plon", "plat").agg(F.min(F.struct("point_id", "pstress")).alias("p"), F.count("*").alias("held"))
     cb = cells.groupBy(key).agg(F.min("lon").alias("cx0"), F.max("lon").alias("cx1"),
                                 F.min("lat").alias("cy0"), F.max("lat").alias("cy1"))
-    pb = pts.groupBy(key).agg(F.count("*").alias("npts"), F.min("plon").alias("px0"), F.max("plon").alias("px1"),
-                              F.min("plat").alias("py0"), F.max("plat").alias("py1"))
+    pb = places.groupBy(key).agg(F.sum("held").alias("samples"), F.count("*").alias("places"), F.min("plon").alias("px0"),
+                                 F.max("plon").alias("px1"), F.min("plat").alias("py0"), F.max("plat").alias("py1"))
+    ntiles = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("places") / float(per_tile))))
     geo = cb.join(pb, key, "left").select(
-        key, F.coalesce("npts", F.lit(0)).alias("npts"),
+        key, (F.coalesce("samples", F.lit(0)) >= MIN_POINTS).alias("enough"), ntiles.alias("ntiles"),
         F.least("cx0", "px0").alias("ox"), F.least("cy0", "py0").alias("oy"),
         F.greatest(F.greatest("cx1", "px1") - F.least("cx0", "px0"),
                    F.greatest("cy1", "py1") - F.least("cy0", "py0"), F.lit(1e-9)).alias("extent"))
-    ntiles = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("npts") / float(per_tile))))
-    geo = geo.withColumns({"ntiles": ntiles, "t0": F.col("extent") / ntiles})
-
-    few = geo.where(F.col("npts") < MIN_POINTS).select(key)
-    fallback = cells.join(few, key, "left_semi").withColumn("stress", F.lit(DEFAULT_STRESS))
-    many = geo.where(F.col("npts") >= MIN_POINTS)
-    max_tiles = many.agg(F.max("ntiles")).first()[0] or 1.0
-    levels = max(1, int(math.ceil(math.log2(max_tiles * math.sqrt(2.0)))) + 1)
-
-    todo = cells.join(many.select(key, "ox", "oy", "t0"), key)
-    ptiles = pts.join(many.select(key, "ox", "oy", "t0"), key)
-    done = []
-    offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    for lvl in range(levels):
-        t = F.col("t0") * float(2 ** lvl)
-        last = lvl == levels - 1
-        c = todo.withColumns({"__tx": F.floor((F.col("lon") - F.col("ox")) / t),
-                              "__ty": F.floor((F.col("lat") - F.col("oy")) / t),
-                              "__t": t})
-        c = c.withColumn("__o", F.explode(offs)).withColumns({"__kx": F.col("__tx") + F.col("__o.dx"),
-                                                               "__ky": F.col("__ty") + F.col("__o.dy")})
-        p = ptiles.select(key, "point_id", "plon", "plat", "pstress",
-                          F.floor((F.col("plon") - F.col("ox")) / t).alias("__kx"),
-                          F.floor((F.col("plat") - F.col("oy")) / t).alias("__ky"))
-        j = c.join(p, [key, "__kx", "__ky"])
-        ddx, ddy = F.col("lon") - F.col("plon"), F.col("lat") - F.col("plat")
-        d2 = ddx * ddx + ddy * ddy
-        best = j.groupBy(key, "row", "col").agg(
-            F.min_by(F.struct("pstress", "point_id"), F.struct(d2.alias("d2"), F.col("point_id"))).alias("b"),
-            F.min(d2).alias("d2"), F.first("__t").alias("__t"))
-        ok = best if last else best.where(F.col("d2") <= F.col("__t") * F.col("__t"))
-        ok = ok.select(key, "row", "col", F.col("b.pstress").alias("__s"))
-        done.append(ok)
-        if not last:
-            todo = cut_lineage(todo.join(ok.select(key, "row", "col"), [key, "row", "col"], "left_anti"))
-    resolved = done[0]
-    for d in done[1:]:
-        resolved = resolved.unionByName(d)
-    near = cells.join(resolved, [key, "row", "col"]).withColumn("stress", S.clip("__s", 0.0, 1.0)).drop("__s")
-    # the filled grid feeds rates, zones and several summaries: materialise it
-    # once so the level search is not repeated per consumer
-    return cut_lineage(near.unionByName(fallback))
+    geo = geo.select(key, "enough", "ox", "oy", (F.col("extent") / F.col("ntiles")).alias("t0"),
+                     (F.ceil(F.log2("ntiles")) + 1).cast("int").alias("top"))
+
+    def tile(x, origin):
+        return F.floor((F.col(x) - F.col(origin)) / F.col("t0")).cast("long")
+
+    def up(index, level):
+        return F.floor(F.col(index) / F.pow(F.lit(2.0), level)).cast("long")
+
+    levels = F.explode(F.sequence(F.lit(0), F.col("top"))).alias("level")
+    near = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("o")
+    p = places.join(geo.where("enough"), key).withColumns({"ix": tile("plon", "ox"), "iy": tile("plat", "oy")})
+    p = p.select(key, "p", "plon", "plat", "ix", "iy", levels).select("*", near)
+    block = p.select(key, "level", (up("ix", F.col("level")) + F.col("o.dx")).alias("kx"), (up("iy", F.col("level")) + F.col("o.dy")).alias("ky"),
+                     F.col("p.point_id").alias("__id"), F.col("p.pstress").alias("__s"), "plon", "plat")
+
+    own = cells.columns
+    c = cells.join(geo, key).withColumns({"__ix": F.when(F.col("enough"), tile("lon", "ox")).otherwise(F.col("col").cast("long")),
+                                          "__iy": F.when(F.col("enough"), tile("lat", "oy")).otherwise(F.col("row").cast("long"))})
+    at = c.where("enough").select(key, "__ix", "__iy", "top").distinct().select(key, "__ix", "__iy", levels)
+    at = at.withColumns({"kx": up("__ix", F.col("level")), "ky": up("__iy", F.col("level"))})
+    at = at.join(block.select(key, "level", "kx", "ky").distinct(), [key, "level", "kx", "ky"], "left_semi")
+    at = at.groupBy(key, "__ix", "__iy").agg(F.min("level").alias("level"))
+    c = c.join(at, [key, "__ix", "__iy"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
+
+    def look(rows, level, best):
+        """Best (d2, id, stress) of the points in the block around each row at ``level``."""
+        rows = rows.withColumns({"level": level, "kx": F.when(level >= 0, up("__ix", level)).otherwise(F.col("__ix")),
+                                 "ky": F.when(level >= 0, up("__iy", level)).otherwise(F.col("__iy"))})
+        j = rows.join(block, [key, "level", "kx", "ky"], "left")
+        dx, dy = F.col("lon") - F.col("plon"), F.col("lat") - F.col("plat")
+        found = F.when(F.col("__id").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), F.col("__id").alias("id"), F.col("__s").alias("s")))
+        keep = [x for x in rows.columns if x not in ("kx", "ky")]
+        return j.groupBy(*keep).agg(F.min(found).alias(best))
+
+    first = look(c, F.col("level"), "__b1")
+    side = F.col("t0") * F.pow(F.lit(2.0), F.col("level"))
+    far = F.sqrt("__b1.d2") / side
+    again = F.when(F.col("enough") & (far >= 1) & (F.col("level") < F.col("top")),
+                   F.least(F.col("top"), F.col("level") + F.floor(F.log2(far)).cast("int") + 1)).otherwise(F.lit(-1))
+    second = look(first, again, "__b2")
+    value = F.when(F.col("enough"), S.clip(F.coalesce("__b2.s", "__b1.s"), 0.0, 1.0)).otherwise(F.lit(DEFAULT_STRESS))
+    return second.select(*own, value.alias("stress"))
 
 
 # ------------------------------------------------------------ G3 / G4 --
@@ -175,18 +176,23 @@ def zone_name(zone) -> Column:
     return F.element_at(m, S.col(zone))
 
 
+def rate_counts(cells: DataFrame, key: str = "region_id") -> DataFrame:
+    """Cells by region, rate and zone: rates come from bands, so this is a few
+    rows per region, from which all summaries follow."""
+    return cells.groupBy(key, "rate", "zone").agg(F.count("*").alias("n"))
+
+
 def zone_stats(cells: DataFrame, key: str = "region_id") -> DataFrame:
     """A9 per region and zone 1..5: pixel count, area %, mean rate (0 for
-    empty zones).  Every region gets all five rows: the zone list is
-    exploded per region (fixed fan-out of 5), then left-joined to counts."""
-    counts = cells.groupBy(key, "zone").agg(F.count("*").alias("pixel_count"), F.avg("rate").alias("avg_rate"))
-    totals = cells.groupBy(key).agg(F.count("*").alias("__n"))
-    z = totals.withColumn("zone", F.explode(F.array(*[F.lit(zid) for zid, _, _, _ in ZONES])))
-    out = z.join(counts, [key, "zone"], "left")
-    return out.select(key, "zone", zone_name("zone").alias("name"),
-                      F.coalesce("pixel_count", F.lit(0)).alias("pixel_count"),
-                      (F.coalesce("pixel_count", F.lit(0)) / F.col("__n") * 100).alias("area_percentage"),
-                      F.coalesce("avg_rate", F.lit(0.0)).alias("avg_irrigation_rate"))
+    empty zones).  Every region gets all five rows."""
+    per = [F.coalesce(F.sum(F.when(F.col("zone") == z, F.col("n"))), F.lit(0)) for z, _, _, _ in ZONES]
+    mean = [F.coalesce(F.try_divide(F.sum(F.when(F.col("zone") == z, F.col("n") * F.col("rate"))), p), F.lit(0.0))
+            for (z, _, _, _), p in zip(ZONES, per)]
+    g = rate_counts(cells, key).groupBy(key).agg(F.sum("n").alias("__n"), F.array(*[
+        F.struct(F.lit(z).alias("zone"), p.alias("c"), m.alias("m")) for (z, _, _, _), p, m in zip(ZONES, per, mean)]).alias("__z"))
+    return g.select(key, "__n", F.explode("__z").alias("z")).select(
+        key, F.col("z.zone").alias("zone"), zone_name(F.col("z.zone")).alias("name"), F.col("z.c").alias("pixel_count"),
+        (F.col("z.c") / F.col("__n") * 100).alias("area_percentage"), F.col("z.m").alias("avg_irrigation_rate"))
 
 
 # ------------------------------------------------------------ A10 / A11 --
@@ -194,23 +200,22 @@ def zone_stats(cells: DataFrame, key: str = "region_id") -> DataFrame:
 def prescription_summary(cells: DataFrame, key: str = "region_id") -> DataFrame:
     """A10 + A11 per region: total / mean / max rate, % of cells irrigated,
     non-empty zone count, water savings versus a uniform rate, Christiansen
-    uniformity.  Two aggregates joined on the region key (no window over a
-    possibly huge region)."""
-    g = cells.groupBy(key).agg(F.sum("rate").alias("total_irrigation_volume_per_day"),
-                               F.avg("rate").alias("average_irrigation_rate"),
-                               F.max("rate").alias("maximum_irrigation_rate"),
-                               (F.count_if(F.col("rate") > 0) / F.count("*") * 100)
-                               .alias("percentage_area_requiring_irrigation"),
-                               F.count_distinct(F.when(F.col("zone") > 0, F.col("zone"))).alias("zones_present"),
-                               F.count("*").alias("n_cells"))
-    dev = cells.join(g.select(key, "average_irrigation_rate"), key).groupBy(key).agg(
-        F.sum(F.abs(F.col("rate") - F.col("average_irrigation_rate"))).alias("__dev"))
-    out = g.join(dev, key)
+    uniformity, all from the few rates of a region."""
+    r = rate_counts(cells, key)
+    g = r.groupBy(key).agg(F.sum(F.col("rate") * F.col("n")).alias("total_irrigation_volume_per_day"),
+                           F.max("rate").alias("maximum_irrigation_rate"),
+                           (F.sum(F.when(F.col("rate") > 0, F.col("n")).otherwise(0)) / F.sum("n") * 100)
+                           .alias("percentage_area_requiring_irrigation"),
+                           F.count_distinct(F.when(F.col("zone") > 0, F.col("zone"))).alias("zones_present"),
+                           F.sum("n").alias("n_cells"),
+                           F.collect_list(F.struct("rate", "n")).alias("__r"))
     mean, n, total = F.col("average_irrigation_rate"), F.col("n_cells"), F.col("total_irrigation_volume_per_day")
+    g = g.withColumn("average_irrigation_rate", total / n)
+    g = g.withColumn("__dev", F.aggregate("__r", F.lit(0.0), lambda acc, x: acc + x["n"] * F.abs(x["rate"] - mean)))
     savings = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(mean * n - total, mean * n) * 100, F.lit(0.0)))
     uc = F.when(mean == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("__dev") / (n * mean))))
-    return out.withColumns({"variable_rate_water_savings_percent": savings,
-                            "irrigation_uniformity_coefficient": uc}).drop("__dev")
+    return g.withColumns({"variable_rate_water_savings_percent": savings,
+                          "irrigation_uniformity_coefficient": uc}).drop("__dev", "__r")
 
 
 # ------------------------------------------------------------ G5 / X35 --
