@@ -2,8 +2,9 @@
 
 Each document's shingle set is compressed to 256 one-byte registers: a register
 holds the leading-zero count of its bucket's least hash and four mantissa bits.
-Bands of six registers name the buckets in which documents meet.  There the
-Jaccard similarity is estimated from the registers, corrected for chance
+Bands of six registers name the buckets in which documents meet; for them an empty
+register borrows from the first occupied one in an order of its own, so that short
+documents have as telling bands as long ones.  In a bucket the Jaccard similarity is estimated from the registers, corrected for chance
 collisions, and documents that may be similar are clustered.  Inside a cluster
 the links are confirmed on the full shingle sets.
 
@@ -30,7 +31,9 @@ REGISTERS, ROWS = 256, 6
 EMPTY = 255
 #: Standard deviations by which an estimate may fall short of the threshold and still be confirmed.
 SLACK = 5.0
-BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 512
+BUCKET_BLOCK, CLUSTER_BLOCK = 2048, 256
+#: Hashes looked up at a time when sets are compared.
+LOOKUP = 1 << 20
 
 
 def shingle_sets(s: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,15 +109,35 @@ def _signatures(k: int):
     return run
 
 
-def _bands(batches):
-    for batch in batches:
-        rep, sig = batch.column(0), fixed_width(batch.column(2), REGISTERS)
-        for b in range(0, REGISTERS, ROWS):
-            part = np.zeros((len(sig), 8), np.uint8)
-            part[:, :min(ROWS, REGISTERS - b)] = sig[:, b:b + ROWS]
-            some = np.flatnonzero((sig[:, b:b + ROWS] != EMPTY).any(1))
-            key = mix(part.view(np.uint64).ravel()[some] * np.uint64(REGISTERS + 1) + np.uint64(b + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rep.take(pa.array(some))], ["band", "rep"])
+#: For each register, the order in which it looks for an occupied one to borrow from.
+_TURN = np.argsort(mix(np.arange(1, REGISTERS * REGISTERS + 1, dtype=np.uint64)).reshape(REGISTERS, REGISTERS), axis=1).argsort(axis=1)
+
+
+def borrowed(sig: np.ndarray) -> np.ndarray:
+    """Registers with the empty ones filled from occupied ones."""
+    out = sig.copy()
+    for row, own in zip(out, sig, strict=True):
+        empty, used = np.flatnonzero(own == EMPTY), np.flatnonzero(own != EMPTY)
+        if len(empty) and len(used):
+            row[empty] = own[used[_TURN[np.ix_(empty, used)].argmin(1)]]
+    return out
+
+
+def _bands(percent: int):
+    """mapInArrow: (rep, n, sig) -> (band, rep).  Sets too small to be similar to
+    any other set than their equals need no bands."""
+    def run(batches):
+        for batch in batches:
+            n = batch.column(1).to_numpy()
+            some = np.flatnonzero(100 * n >= percent * (n + 1))
+            rep = batch.column(0).take(pa.array(some))
+            sig = borrowed(fixed_width(batch.column(2), REGISTERS)[some])
+            for b in range(0, REGISTERS, ROWS):
+                part = np.zeros((len(sig), 8), np.uint8)
+                part[:, :min(ROWS, REGISTERS - b)] = sig[:, b:b + ROWS]
+                key = mix(part.view(np.uint64).ravel() * np.uint64(REGISTERS + 1) + np.uint64(b + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), rep], ["band", "rep"])
+    return run
 
 
 def forest(n: int, alike) -> list[tuple[int, int]]:
@@ -172,15 +195,16 @@ def _cluster_links(k: int, percent: int):
 
                 def alike(i, js):
                     out = np.zeros(len(js), bool)
-                    maybe = np.flatnonzero(may_be_similar(sig[i], sig[js], n[i], n[js], percent))  # noqa: B023
-                    if not len(maybe):
-                        return out
-                    at = np.append(0, np.cumsum(n[js[maybe]]))  # noqa: B023
-                    every = np.concatenate([sets[j] for j in js[maybe]])  # noqa: B023
-                    own = sets[i]  # noqa: B023
-                    there = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
-                    shared = np.diff(np.append(0, np.cumsum(there))[at])
-                    out[maybe] = 100 * shared >= percent * (len(own) + np.diff(at) - shared)
+                    maybe = js[may_be_similar(sig[i], sig[js], n[i], n[js], percent) & (np.minimum(n[i], n[js]) > 0)]  # noqa: B023
+                    own, at = sets[i], np.append(0, np.cumsum(n[maybe]))  # noqa: B023
+                    alike_to = []
+                    for part in np.split(maybe, np.flatnonzero(np.diff(at[1:] // LOOKUP)) + 1) if len(maybe) else ():
+                        every = np.concatenate([sets[j] for j in part])  # noqa: B023
+                        there = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                        shared = np.add.reduceat(there.astype(np.int64), np.append(0, np.cumsum(n[part])[:-1]))  # noqa: B023
+                        alike_to.append(part[100 * shared >= percent * (len(own) + n[part] - shared)])  # noqa: B023
+                    if alike_to:
+                        out = np.isin(js, np.concatenate(alike_to))
                     return out
 
                 pairs = forest(hi - lo, alike)
@@ -204,7 +228,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stage(rows.mapInArrow(_signatures(shingle), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
     classes = stage(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).select("rep", "n", "sig", "h1", "h2"), "classes")
-    bands = stage(classes.select("rep", "n", "sig").mapInArrow(_bands, "band long, rep long"), "bands")
+    bands = stage(classes.select("rep", "n", "sig").mapInArrow(_bands(percent), "band long, rep long"), "bands")
     crowds = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     met = bands.join(crowds, "band")
     met = dealt_in_blocks(met, ["band"], "rep", "members", BUCKET_BLOCK).select("g", "rep")
