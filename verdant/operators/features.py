@@ -207,10 +207,12 @@ def doy_climatology(df: DataFrame, cols, lo: int, hi: int, *, key=KEY, ts=TS,
     if history_cutoff_days is not None:
         src = (src.withColumn("__last", F.max(ts).over(S.whole(key)))
                   .where(F.col(ts) < F.date_sub(F.col("__last"), history_cutoff_days)).drop("__last"))
+    # sums are taken around the series' mean, so that no digits cancel in the variance
+    src = src.withColumns({f"__mid_{c}": F.avg(c).over(S.whole(key)) for c in cols})
     aggs = []
     for c in cols:
-        v = F.col(c)
-        aggs += [F.count(v).alias(f"n_{c}"), F.sum(v).alias(f"s_{c}"), F.sum(v * v).alias(f"q_{c}")]
+        v = F.col(c) - F.col(f"__mid_{c}")
+        aggs += [F.count(v).alias(f"n_{c}"), F.sum(v).alias(f"s_{c}"), F.sum(v * v).alias(f"q_{c}"), F.max(f"__mid_{c}").alias(f"m_{c}")]
     per_doy = src.groupBy(key, "__doy").agg(*aggs)
     # inverse of h = ((t + o) mod 366) + 1, mapped into 1..366
     offs = F.sequence(F.lit(lo), F.lit(hi))
@@ -219,13 +221,13 @@ def doy_climatology(df: DataFrame, cols, lo: int, hi: int, *, key=KEY, ts=TS,
     agg2 = []
     for c in cols:
         agg2 += [F.sum(f"n_{c}").alias(f"n_{c}"), F.sum(f"s_{c}").alias(f"s_{c}"),
-                 F.sum(f"q_{c}").alias(f"q_{c}")]
+                 F.sum(f"q_{c}").alias(f"q_{c}"), F.max(f"m_{c}").alias(f"m_{c}")]
     g = fan.groupBy(key, "day_of_year").agg(*agg2)
     outs = [key, "day_of_year"]
     for c in cols:
         n, s, q = F.col(f"n_{c}").cast("double"), F.col(f"s_{c}"), F.col(f"q_{c}")
         ok = F.col(f"n_{c}") > min_n
-        mean = s / n
+        mean = F.col(f"m_{c}") + s / n
         var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
         outs += [F.col(f"n_{c}").alias(f"{c}_n"), F.when(ok, mean).alias(f"{c}_mean"),
                  F.when(ok, F.sqrt(var)).alias(f"{c}_std")]

@@ -24,7 +24,6 @@ from verdant.functions import calendar as CAL
 from verdant.functions import semantics as S
 from verdant.functions.semantics import KEY, TS
 from verdant.operators import features as FE
-from verdant.operators import timeseries as TSO
 from verdant.session import cut_lineage
 
 # Fixed values of the reference: candidate model inputs, in order.
@@ -50,25 +49,47 @@ def fill_missing(df: DataFrame, cols, *, key=KEY, ts=TS) -> DataFrame:
                                          F.lit(0).cast(df.schema[c].dataType)) for c in cols})
 
 
+WINDOWS, STATS = (3, 7, 14, 30), ("mean", "std", "min", "max")
+
+
 def prepare_features(df: DataFrame, target: str = LABEL, lags=(1, 3, 7, 14), *, key=KEY, ts=TS) -> DataFrame:
     """M1 model table: available candidate columns, time features, lags,
     rolling stats, interactions, the 0/1/2 label (X28) when absent, rows
     with a label only (F4), gaps filled (F5).  Returns (key, date,
-    features..., label)."""
+    features..., label).
+
+    Lags, rolling stats and fills are computed in long form, one row per
+    (series, date, measure): some forty window expressions however many
+    measures, spread over series x measures.  A fixed list then turns the
+    measures of a day back into columns."""
     avail = [c for c in CANDIDATE_FEATURES if c in df.columns]
     has_target = target in df.columns
-    base = df.select(key, ts, *avail, *([target] if has_target else []))
-    f = CAL.model_time_features(base, ts)
-    f = TSO.lags(f, avail, lags, key=key, ts=ts)
-    f = TSO.rolling_stats(f, avail, key=key, ts=ts)
+    names = ["raw", "value", *[f"lag_{n}" for n in lags], *[f"rolling_{a}_{w}" for w in WINDOWS for a in STATS]]
+    wide = df.select(key, ts, (F.col(target) if has_target else F.lit(0)).alias("__y"), F.posexplode(
+        F.array(*[F.col(c).cast("double") for c in avail])).alias("__m", "raw"))
+    order = S.Window.partitionBy(key, "__m").orderBy(ts)
+    made = {"value": F.col("raw"), **{f"lag_{n}": F.lag("raw", n).over(order) for n in lags}}
+    for w in WINDOWS:
+        frame = order.rowsBetween(-(w - 1), 0)
+        full = F.count("raw").over(frame) == w
+        for a, f in zip(STATS, (F.avg, F.stddev_samp, F.min, F.max)):
+            made[f"rolling_{a}_{w}"] = F.when(full, f("raw").over(frame))
+    long_ = wide.withColumns(made).where(F.col("__y").isNotNull())
+    so_far, whole = order.rowsBetween(S.Window.unboundedPreceding, 0), order.rowsBetween(S.Window.unboundedPreceding, S.Window.unboundedFollowing)
+    long_ = long_.withColumns({c: F.coalesce(F.last(c, True).over(so_far), F.first(c, True).over(whole), F.lit(0.0)) for c in names[1:]})
+    days = long_.groupBy(key, ts, "__y").agg(F.sort_array(F.collect_list(F.struct("__m", F.struct(*names).alias("x")))).alias("__d"))
+    cell = lambda i, name: F.get("__d", F.lit(i))["x"][name]
+    f = days.select(key, ts, *([F.col("__y").alias(target)] if has_target else []), "__d", *[cell(i, "raw").alias(c) for i, c in enumerate(avail)])
     f = FE.interactions(f)
     if not has_target:
         f = FE.stress_label(f, LABEL)
         target = LABEL
-    f = f.where(F.col(target).isNotNull())
-    feats = feature_columns(f, key, ts, target)
-    f = fill_missing(f, feats, key=key, ts=ts)
-    return f.select(key, ts, *feats, F.col(target).cast("double").alias("label"))
+    made = [c for c in f.columns if c not in (key, ts, target, "__d", *avail)]
+    f = CAL.model_time_features(fill_missing(f, made, key=key, ts=ts), ts)
+    own = [cell(i, "value").alias(c) for i, c in enumerate(avail)]
+    own += [cell(i, n).alias(f"{c}_{n}") for n in names[2:] for i, c in enumerate(avail)]
+    times = [c for c in f.columns if c not in (key, ts, target, "__d", *avail, *made)]
+    return f.select(key, ts, *times, *own, *made, F.col(target).cast("double").alias("label"))
 
 
 def feature_columns(df: DataFrame, key=KEY, ts=TS, target: str = "label") -> list[str]:

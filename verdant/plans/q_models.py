@@ -8,28 +8,32 @@ from pyspark.sql import functions as F
 
 from verdant.functions import indices as IX
 from verdant.functions import semantics as S
+from verdant.operators import features as FE
 from verdant.operators import models as ML
 from verdant.operators import timeseries as TSO
 from verdant.plans import sqlgen as Q
+from verdant.plans.q_features import _clim_sql
 from verdant.plans.q_timeseries import DAILY, GAPS, out
 from verdant.plans.registry import query
 from verdant.session import output_path
 from verdant.sources import fixtures as FX
 
-# Model input for the registered queries: daily + VPD, GDD and the daily
-# balance.  The 7/30-row balance sums are left out of this input because the
-# fixture hits the label's -20 mm cut exactly (decimal ties), where the two
-# engines' different float summation orders decide the label.
-_EXTRA = ["VPD", "GDD", "water_balance_daily"]
+# Model input for the registered queries: all candidate columns.  The balance is
+# scaled to whole millionths before it is summed, so that both engines agree on
+# the label's -20 mm cut whatever their order of summation.
+_EXTRA = ["LAI", "VPD", "GDD", "water_balance_daily", "water_balance_7d", "water_balance_30d", "NDVI_trend_slope", "NDVI_anomaly_std"]
 
 
 def model_input(spark, sf):
-    """daily + VPD, GDD and balance columns (the processed E2 table)."""
+    """daily + LAI, VPD, GDD, balances, trend and anomaly (the processed E2 table)."""
     d = FX.daily(spark, sf)
-    d = d.withColumns({"VPD": IX.vpd("T2M_MAX", "T2M_MIN"), "GDD": IX.gdd("T2M_MAX", "T2M_MIN")})
-    d = d.withColumn("water_balance_daily", F.col("PRECTOTCORR") - F.col("PET_PT_JPL"))
-    d = d.select("series_id", "date", *FX.DAILY_VALUE_COLS, *_EXTRA)
-    return d
+    d = FE.vegetation_anomalies(d, ["NDVI"])
+    d = TSO.trend_slope(d, ["NDVI"])
+    balance = F.floor((F.col("PRECTOTCORR") - F.col("PET_PT_JPL")) * 1e6 + 0.5).cast("bigint")
+    d = d.withColumns({"LAI": IX.lai("NDVI"), "VPD": IX.vpd("T2M_MAX", "T2M_MIN"), "GDD": IX.gdd("T2M_MAX", "T2M_MIN"), "__b": balance})
+    d = d.withColumns({"water_balance_daily": F.col("__b") / 1e6, **{
+        f"water_balance_{n}d": S.roll_sum("__b", n) / 1e6 for n in (7, 30)}})
+    return d.select("series_id", "date", *FX.DAILY_VALUE_COLS, *_EXTRA)
 
 
 def model_table(spark, sf):
@@ -43,9 +47,16 @@ _TP = 2 * math.pi
 
 
 def _m1_sql():
-    a = ("SELECT series_id, date, " + ", ".join(FX.DAILY_VALUE_COLS) + f", {_VPD} AS VPD, "
-         "greatest((T2M_MAX + T2M_MIN) / 2 - 10.0, 0.0) AS GDD, PRECTOTCORR - PET_PT_JPL AS water_balance_daily "
-         "FROM daily")
+    hist, win, clim = _clim_sql(["NDVI"], -15, 15, True, ("cm", "cs"))
+    pre = ("SELECT d.*, (d.NDVI - c.NDVI_cm) / nullif(c.NDVI_cs, 0) AS NDVI_anomaly_std, CAST(floor((PRECTOTCORR - PET_PT_JPL) * 1e6 + 0.5) AS BIGINT) AS wb, "
+           "CAST(row_number() OVER (PARTITION BY d.series_id ORDER BY date) AS DOUBLE) AS x "
+           "FROM daily d LEFT JOIN clim c ON d.series_id = c.series_id AND dayofyear(d.date) = c.day_of_year")
+    lai = "CASE WHEN NDVI > 0 AND NDVI < 0.95 THEN least(greatest(2.5 * NDVI / (1.0 - NDVI), 0.0), 8.0) END"
+    slope = Q.frame(29)
+    a = ("SELECT series_id, date, " + ", ".join(FX.DAILY_VALUE_COLS) + f", {lai} AS LAI, {_VPD} AS VPD, "
+         "greatest((T2M_MAX + T2M_MIN) / 2 - 10.0, 0.0) AS GDD, wb / 1e6 AS water_balance_daily, "
+         + ", ".join(f"CAST({Q.roll('sum', 'wb', n)} AS DOUBLE) / 1e6 AS water_balance_{n}d" for n in (7, 30))
+         + f", CASE WHEN count(NDVI) {slope} = 30 THEN regr_slope(NDVI, x) {slope} END AS NDVI_trend_slope, NDVI_anomaly_std FROM pre")
     b = "SELECT * FROM a"
     season = ("CASE WHEN month(date) IN (12, 1, 2) THEN 1 WHEN month(date) IN (3, 4, 5) THEN 2 "
               "WHEN month(date) IN (6, 7, 8) THEN 3 ELSE 4 END")
@@ -74,7 +85,7 @@ def _m1_sql():
     for e, n in inter:
         exprs.append(f"{e} AS {n}")
         feats.append(n)
-    n_ = " + ".join(Q.flag(x) for x in ("NDVI < 0.6", "NDWI_Gao < 0.3", "T2M_MAX > 35", "CWSI > 0.4"))
+    n_ = " + ".join(Q.flag(x) for x in ("NDVI < 0.6", "NDWI_Gao < 0.3", "T2M_MAX > 35", "water_balance_7d < -20", "CWSI > 0.4"))
     exprs.append(f"CAST(CASE WHEN ({n_}) >= 3 THEN 2 WHEN ({n_}) >= 1 THEN 1 ELSE 0 END AS DOUBLE) AS label")
     c = f"SELECT series_id, date, {', '.join(exprs)} FROM b"
     fol = "OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -83,7 +94,7 @@ def _m1_sql():
         fill = f"coalesce({Q.ffill(f_)}, first_value({f_} IGNORE NULLS) {fol}, 0)"
         outs.append(f"round({fill}, 6) AS {f_}" if f_ not in ("year", "month", "day_of_year", "week_of_year", "season")
                     else f"{fill} AS {f_}")
-    return DAILY + f", a AS ({a}), b AS ({b}), c AS ({c})\nSELECT series_id, date, {', '.join(outs)}, label FROM c"
+    return DAILY + f", hist AS ({hist}), win AS ({win}), clim AS ({clim}), pre AS ({pre}), a AS ({a}), b AS ({b}), c AS ({c})\nSELECT series_id, date, {', '.join(outs)}, label FROM c"
 
 
 @query("prepare_features", _m1_sql())
@@ -135,7 +146,6 @@ _SEL = ["NDVI", "NDWI_Gao", "EVI", "SAVI", "GNDVI", "T2M", "T2M_MIN", "PRECTOTCO
 
 
 def _labelled(spark, sf):
-    from verdant.operators import features as FE
     d = FX.daily(spark, sf)
     return FE.stress_label(d, "label").withColumn("label", F.col("label").cast("double"))
 

@@ -16,7 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- daily ---
-# One row per (series_id, date).  The key is unique by construction, so every
+# One row per (series_id, date): a series for each flag, status and station of
+# 250 suppliers, so the number of series grows with the data (6 at sf0.01, 24 at
+# sf0.1, 240 at sf1).  The key is unique by construction, so every
 # window over it is deterministic; a series holds at most one row per day,
 # which bounds the size of any window partition by the calendar, not the data.
 
@@ -25,7 +27,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     disc = F.round(F.col("l_discount") * 100).cast("bigint")
     tax = F.round(F.col("l_tax") * 100).cast("bigint")
     qty = F.col("l_quantity").cast("bigint")
-    g = (li.groupBy(F.concat("l_returnflag", "l_linestatus").alias("series_id"),
+    station = F.floor(F.col("l_suppkey") / 250).cast("string")
+    g = (li.groupBy(F.concat("l_returnflag", "l_linestatus", F.when(station == "0", "").otherwise(F.concat(F.lit("-"), station))).alias("series_id"),
                     F.to_date("l_shipdate").alias("date"))
            .agg(F.avg(disc).alias("a_disc"), F.avg(tax).alias("a_tax"), F.max(tax).alias("m_tax"),
                 F.avg(qty).alias("a_qty"), F.max(qty).alias("mx_qty"), F.min(qty).alias("mn_qty")))
@@ -62,7 +65,7 @@ daily AS (
          0.20 + 0.06 * a_tax AS SAVI,
          1.0 - a_qty / 50 AS CWSI
   FROM (
-    SELECT l_returnflag || l_linestatus AS series_id,
+    SELECT l_returnflag || l_linestatus || CASE WHEN l_suppkey < 250 THEN '' ELSE '-' || CAST(l_suppkey // 250 AS VARCHAR) END AS series_id,
            CAST(l_shipdate AS DATE) AS date,
            avg(CAST(round(l_discount * 100) AS BIGINT)) AS a_disc,
            avg(CAST(round(l_tax * 100) AS BIGINT)) AS a_tax,
@@ -167,11 +170,11 @@ pixel AS (
 def series_crop(series_col: str = "series_id"):
     s = F.col(series_col)
     return (F.when(s.startswith("A"), "soybean").when(s.startswith("N"), "corn")
-             .when(s == "RF", "wheat").otherwise("barley"))
+             .when(s.startswith("RF"), "wheat").otherwise("barley"))
 
 
 SERIES_CROP_SQL = ("CASE WHEN series_id LIKE 'A%' THEN 'soybean' WHEN series_id LIKE 'N%' THEN 'corn' "
-                   "WHEN series_id = 'RF' THEN 'wheat' ELSE 'barley' END")
+                   "WHEN series_id LIKE 'RF%' THEN 'wheat' ELSE 'barley' END")
 
 
 # ------------------------------------------------------------ soil_long ---
