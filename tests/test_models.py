@@ -56,3 +56,11 @@ def test_isolation_and_change_points(spark):
     cp = ST.change_points(d, "NDVI", 10)
     assert cp.count() == d.count()
     assert set(r[0] for r in cp.select("NDVI_change_point").distinct().collect()) <= {0, 1}
+
+
+def test_boosted_regression_stops_early(spark, table):
+    t = table.select("series_id", "date", "NDVI", "T2M", "EVI", F.col("NDVI").alias("label"))
+    split = ML.k_folds(t, 10).withColumn("is_validation", F.col("fold") == 0).drop("fold")
+    pm = ML.fit_pipeline(split, ["T2M", "EVI"], ML.boosted_trees("regression", maxIter=8, maxDepth=2))
+    assert 1 <= pm.stages[-1].getNumTrees <= 8
+    assert "rmse" in ML.evaluate(pm, split, "regression")

@@ -107,6 +107,24 @@ def temporal_split(df: DataFrame, test_size: float = 0.2, *, key=KEY, ts=TS) ->
     return df.withColumn("is_train", rn <= F.floor(n * (1 - test_size)))
 
 
+def _draw(seed: int, key, ts):
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key), F.col(ts).cast("string")))
+
+
+def k_folds(df: DataFrame, folds: int = 5, seed: int = 42, *, key=KEY, ts=TS) -> DataFrame:
+    """``fold`` 0..folds-1 by a hash of (key, date): the same rows each time,
+    however the table is partitioned."""
+    return df.withColumn("fold", (F.conv(F.substring(_draw(seed, key, ts), 1, 8), 16, 10).cast("bigint") % folds).cast("int"))
+
+
+def stratified_split(df: DataFrame, test_size: float = 0.2, seed: int = 42, label: str = "label", *, key=KEY, ts=TS) -> DataFrame:
+    """``is_train`` with the same share of test rows of each class in each
+    series; which rows is drawn by a hash of (key, date)."""
+    w = S.Window.partitionBy(key, label)
+    rank = F.row_number().over(w.orderBy(_draw(seed, key, ts)))
+    return df.withColumn("is_train", rank > F.ceil(F.count("*").over(w) * test_size))
+
+
 def forward_folds(df: DataFrame, n_splits: int = 3, *, key=KEY, ts=TS) -> DataFrame:
     """M4 expanding-window folds (TimeSeriesSplit): each series is cut in
     ``n_splits + 1`` consecutive blocks; fold i trains on blocks <= i and
@@ -183,13 +201,15 @@ def random_forest(task: str = "classification", seed: int = 42, **params):
 
 
 def boosted_trees(task: str = "classification", seed: int = 42, **params):
-    """M3 boosted trees; multi-class as one-vs-rest (GBT is binary in Spark)."""
+    """M3 boosted trees; multi-class as one-vs-rest (GBT is binary in Spark).
+    Regression stops early on the rows marked ``is_validation``; the one-vs-rest
+    wrapper hands no such column on, so classification runs all iterations."""
     p = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
          **params}
     if task == "classification":
         return OneVsRest(classifier=GBTClassifier(labelCol="label", seed=seed, **p), featuresCol="scaled",
                          labelCol="label")
-    return GBTRegressor(featuresCol="scaled", labelCol="label", seed=seed, **p)
+    return GBTRegressor(featuresCol="scaled", labelCol="label", seed=seed, validationIndicatorCol="is_validation", **p)
 
 
 def fit_pipeline(train: DataFrame, features, estimator) -> PipelineModel:
@@ -206,10 +226,9 @@ def evaluate(model: PipelineModel, df: DataFrame, task: str = "classification")
 
 
 def cross_val_scores(train: DataFrame, features, make_estimator, folds: int = 5, task: str = "classification",
-                     seed: int = 42) -> list[float]:
-    """k-fold scores on the training rows (random fold ids, like the
-    reference's cross-validation on the training split)."""
-    d = train.withColumn("__fold", (F.rand(seed) * folds).cast("int"))
+                     seed: int = 42, *, key=KEY, ts=TS) -> list[float]:
+    """k-fold scores on the training rows."""
+    d = k_folds(train, folds, seed, key=key, ts=ts).withColumnRenamed("fold", "__fold")
     scores = []
     for k in range(folds):
         m = fit_pipeline(d.where(F.col("__fold") != k), features, make_estimator())
@@ -227,7 +246,8 @@ def train(table: DataFrame, model: str = "random_forest", task: str = "classific
     # the feature table is read by every fit and evaluation: materialise it
     # once (reliable checkpoint in the shared folder) instead of recomputing
     # its window pipeline for each pass
-    split = cut_lineage(temporal_split(table, test_size, key=key, ts=ts))
+    split = k_folds(temporal_split(table, test_size, key=key, ts=ts), 10, key=key, ts=ts)
+    split = cut_lineage(split.withColumn("is_validation", F.col("fold") == 0).drop("fold"))
     tr, te = split.where("is_train"), split.where(~F.col("is_train"))
     make = (lambda: random_forest(task)) if model == "random_forest" else (lambda: boosted_trees(task))
     pm = fit_pipeline(tr, feats, make())
@@ -253,6 +273,15 @@ def feature_importance(pm: PipelineModel, features, spark) -> DataFrame:
                                                                                   F.asc("feature"))
 
 
+def rank_importance(importances: DataFrame) -> DataFrame:
+    """T4 shares of the total importance and ranks (ties by name).  The table has
+    a row per feature, so its window is as small as the list of columns."""
+    w = S.Window.partitionBy(F.lit(0))
+    total = F.sum("importance").over(w)
+    return importances.select("feature", F.try_divide(F.col("importance"), total).alias("importance"),
+                              F.row_number().over(w.orderBy(F.desc_nulls_last("importance"), "feature")).alias("rank"))
+
+
 # -------------------------------------------------------------- A23 --
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

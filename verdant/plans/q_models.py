@@ -215,10 +215,15 @@ def _metrics_df(spark, metrics: dict):
 _FITS: dict = {}
 
 
-def _fit(spark, sf, model="random_forest", cv=0):
-    k = (sf, model, cv)
+def _fit(spark, sf, model="random_forest", cv=0, task="classification"):
+    """A model fitted once per Spark application and input."""
+    k = (spark.sparkContext.applicationId, sf, model, cv, task)
     if k not in _FITS:
-        _FITS[k] = ML.train(model_table(spark, sf), model, cv_folds=cv)
+        table = model_table(spark, sf)
+        if task == "regression":     # tomorrow's balance, without today's label
+            w = S.ordered("series_id", "date")
+            table = table.withColumn("label", F.lead("water_balance_daily").over(w)).where(F.col("label").isNotNull())
+        _FITS[k] = ML.train(table, model, task, cv_folds=cv)
     return _FITS[k]
 
 
@@ -234,22 +239,77 @@ def q_train_gbt(spark, sf):
     return _metrics_df(spark, m)
 
 
-@query("confusion_matrix", None)
+@query("train_rf_regression", None)
+def q_train_rf_regression(spark, sf):
+    _, m, _ = _fit(spark, sf, "random_forest", 0, "regression")
+    return _metrics_df(spark, m)
+
+
+@query("train_gbt_regression", None)
+def q_train_gbt_regression(spark, sf):
+    _, m, _ = _fit(spark, sf, "boosted", 0, "regression")
+    return _metrics_df(spark, m)
+
+
+# A23 on a prediction that both engines can make: yesterday's class.
+_PERSIST = ("pr AS (SELECT series_id, CAST(label AS INTEGER) AS label, CAST(lag(label) OVER (PARTITION BY series_id ORDER BY date) "
+            "AS INTEGER) AS prediction FROM (" + _label_sql("daily") + ")), pp AS (SELECT * FROM pr WHERE prediction IS NOT NULL)")
+
+
+def _persistence(spark, sf):
+    w = S.ordered("series_id", "date")
+    d = _labelled(spark, sf).withColumn("prediction", F.lag("label").over(w))
+    return d.where(F.col("prediction").isNotNull()).select("label", "prediction")
+
+
+@query("confusion_matrix", DAILY + f", {_PERSIST}\nSELECT label, prediction, count(*) AS count FROM pp GROUP BY label, prediction")
 def q_confusion_matrix(spark, sf):
-    _, _, pred = _fit(spark, sf, "random_forest", 5)
-    return ML.confusion_matrix(pred)
+    return ML.confusion_matrix(_persistence(spark, sf))
 
 
-@query("class_report", None)
+@query("class_report", DAILY + f", {_PERSIST}, c AS (SELECT c, count(*) FILTER (WHERE label = c AND prediction = c) AS tp, "
+       "count(*) FILTER (WHERE prediction = c) AS pn, count(*) FILTER (WHERE label = c) AS support FROM pp, (SELECT DISTINCT label AS c FROM pp "
+       "UNION SELECT prediction FROM pp) GROUP BY c), r AS (SELECT c, support, coalesce(tp / nullif(pn, 0), 0.0) AS p, "
+       "coalesce(tp / nullif(support, 0), 0.0) AS r FROM c)\nSELECT c AS class, round(p, 6) AS precision, round(r, 6) AS recall, "
+       "round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, support FROM r")
 def q_class_report(spark, sf):
-    _, _, pred = _fit(spark, sf, "random_forest", 5)
-    return ML.class_report(pred)
+    return out(ML.class_report(_persistence(spark, sf)), keep=("class",))
 
 
-@query("importance_rank", None)
+@query("importance_rank", DAILY + ", " + _anova_sql(_SEL) + "\nSELECT feature, round(f_score / sum(f_score) OVER (), 6) AS importance, "
+       "row_number() OVER (ORDER BY f_score DESC, feature) AS rank FROM f")
 def q_importance_rank(spark, sf):
+    """T4 on importances that both engines can compute: shares of the F statistics."""
+    s = ML.anova_f(_labelled(spark, sf), _SEL)
+    r = ML.rank_importance(s.withColumnRenamed("f_score", "importance"))
+    return out(r, keep=("feature",))
+
+
+@query("model_importance", None)
+def q_model_importance(spark, sf):
     pm, _, _ = _fit(spark, sf, "random_forest", 5)
-    return ML.feature_importance(pm, pm.stages[0].getInputCols(), spark)
+    return ML.rank_importance(ML.feature_importance(pm, pm.stages[0].getInputCols(), spark))
+
+
+@query("forward_folds", DAILY + ", n AS (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS rn, "
+       "count(*) OVER (PARTITION BY series_id) AS n FROM daily), t AS (SELECT *, n // 4 AS test, n - 3 * (n // 4) AS head FROM n)\n"
+       "SELECT series_id, date, CAST(CASE WHEN rn < head THEN 0 ELSE least((rn - head) // test + 1, 3) END AS INTEGER) AS block FROM t")
+def q_forward_folds(spark, sf):
+    return ML.forward_folds(FX.daily(spark, sf).select("series_id", "date"), 3)
+
+
+@query("k_folds", DAILY + "SELECT series_id, date, CAST(('0x' || substr(md5(concat_ws('|', '42', series_id, CAST(date AS VARCHAR))), 1, 8))::BIGINT % 5 "
+       "AS INTEGER) AS fold FROM daily")
+def q_k_folds(spark, sf):
+    return ML.k_folds(FX.daily(spark, sf).select("series_id", "date"), 5)
+
+
+@query("stratified_split", DAILY + f", s AS (SELECT *, md5(concat_ws('|', '42', series_id, CAST(date AS VARCHAR))) AS h FROM ({_label_sql('daily')}))\n"
+       "SELECT series_id, date, CAST(label AS INTEGER) AS label, row_number() OVER (PARTITION BY series_id, label ORDER BY h) > "
+       "ceil(count(*) OVER (PARTITION BY series_id, label) * 0.2) AS is_train FROM s")
+def q_stratified_split(spark, sf):
+    d = ML.stratified_split(_labelled(spark, sf).select("series_id", "date", "label"))
+    return d.select("series_id", "date", F.col("label").cast("int").alias("label"), "is_train")
 
 
 @query("score", None)
