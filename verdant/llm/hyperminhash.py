@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.groups import dealt_in_blocks, fixed_width, together, whole_groups
-from verdant.llm.shared import components, stage
+from verdant.llm.shared import components, sieved, stage
 from verdant.llm.text import GRAMS, LOWER, Slice, mix, prefix_sums, slices, span_hash, word_hashes, words
 
 REGISTERS, ROWS = 256, 6
@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     maybe = together(met).mapInArrow(_bucket_links(percent), "u long, v long")
     clusters = stage(components(maybe), "clusters")
     sizes = clusters.groupBy("c").agg(F.count("*").alias("members"))
-    held = clusters.join(sizes, "c").join(rows.select(F.col("doc_id").alias("u"), "text", F.xxhash64("text").alias("t")), "u")
+    near = sieved(rows.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "u"), clusters.select("u"), "u").where("_maybe").select("u", "text")
+    held = near.join(clusters.join(sizes, "c"), "u")
     texts = dealt_in_blocks(held, ["c"], "u", "members", CLUSTER_BLOCK).select("g", "u", "text")
     links = together(texts).mapInArrow(_cluster_links(shingle, percent), "u long, v long")
     labelled = signed.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")

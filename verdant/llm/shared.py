@@ -38,6 +38,25 @@ def whole(columns: list[str]) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
 
 
+#: 64-bit words of a sieve: its size is fixed, so that it can be broadcast whatever it holds.
+SIEVE_WORDS = 1 << 18
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_maybe``: false only if ``key`` is in no row of ``wanted`` (its only column).
+
+    Keeps most rows that a join would drop out of its shuffle.  ``wanted`` is
+    hashed into a bit table of SIEVE_WORDS rows at most; when it outgrows that,
+    more rows pass, and the join after it still decides."""
+    def place(column: str) -> list[Column]:
+        h = F.xxhash64(F.lit("sieve"), F.col(column))
+        return [h.bitwiseAND(SIEVE_WORDS - 1).alias("_word"), F.shiftright(h, 40).bitwiseAND(63).cast("int").alias("_bit")]
+
+    bits = wanted.select(*place(wanted.columns[0])).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    told = rows.select("*", *place(key)).join(F.broadcast(bits), "_word", "left")
+    return told.withColumn("_maybe", F.coalesce(F.expr("(_bits & shiftleft(1L, _bit)) <> 0"), F.lit(False))).drop("_word", "_bit", "_bits")
+
+
 def _forest(batches):
     """Edges of a spanning forest of a partition's edges (union-find), so that a
     dense group leaves one edge per vertex."""
