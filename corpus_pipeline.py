@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm import decontaminate, hyperminhash, language_id, mixing, substring
 from verdant.llm.sampling import remainder
-from verdant.llm.shared import stage
+from verdant.llm.shared import sieved, stage, whole
 
 #: Documents whose language is less certain than this are rejected.
 LEAST_SCORE = 0.1
@@ -30,10 +30,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group, once."""
-    found = hyperminhash.near_duplicates(docs.select("doc_id", "text"))
-    copies = stage(found.where(~F.col("kept")).select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns).withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    """Keeps the document with the smallest id of each near-duplicate group, once.
+
+    Only rows that may have to go are shuffled with their texts."""
+    found = stage(hyperminhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"), "found")
+    copies = found.where(~F.col("kept")).select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    rows = sieved(docs.select(F.col("doc_id").alias("id"), whole(docs.columns)), copies.union(repeated), "id")
+    suspect = rows.where("_maybe").join(copies.withColumnRenamed("doc_id", "id"), "id", "left_anti")
+    suspect = suspect.withColumn("h", F.xxhash64("row.text")).dropDuplicates(["id", "h"])
+    return rows.where("not _maybe").select("row.*").union(suspect.select("row.*"))
 
 
 def changed(text, docs: DataFrame):
