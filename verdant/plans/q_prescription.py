@@ -27,11 +27,11 @@ _CELLS = ("cells AS (SELECT region_id, n_regionkey, r AS row, c AS col, "
           "CASE WHEN height = 1 THEN miny WHEN r = height - 1 THEN maxy ELSE r * ((maxy - miny) / (height - 1)) + miny END AS lat "
           "FROM wh, range(0, height) t1(r), range(0, width) t2(c))")
 _NP = "np AS (SELECT region_id, count(*) AS npts FROM points WHERE stress IS NOT NULL GROUP BY region_id)"
-_NEAR = ("near AS (SELECT c.region_id, c.row, c.col, p.stress, row_number() OVER (PARTITION BY c.region_id, c.row, c.col "
-         "ORDER BY (c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat), p.point_id) AS k "
-         "FROM cells c JOIN points p ON c.region_id = p.region_id WHERE p.stress IS NOT NULL)")
+_NEAR = ("near AS (SELECT c.region_id, c.row, c.col, min({'d': (c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat), "
+         "'i': p.point_id, 's': p.stress}).s AS stress FROM cells c JOIN points p ON c.region_id = p.region_id "
+         "WHERE p.stress IS NOT NULL GROUP BY c.region_id, c.row, c.col)")
 _STRESS = ("cs AS (SELECT c.*, CASE WHEN coalesce(np.npts, 0) < 3 THEN 0.5 ELSE least(1.0, greatest(0.0, n.stress)) END "
-           "AS stress FROM cells c LEFT JOIN np ON c.region_id = np.region_id LEFT JOIN (SELECT * FROM near WHERE k = 1) n "
+           "AS stress FROM cells c LEFT JOIN np ON c.region_id = np.region_id LEFT JOIN near n "
            "ON c.region_id = n.region_id AND c.row = n.row AND c.col = n.col)")
 
 
@@ -39,7 +39,9 @@ def _rate_sql(stress="stress"):
     crop = ("CASE n_regionkey WHEN 0 THEN 'soybean' WHEN 1 THEN 'soybean' WHEN 2 THEN 'soybean' WHEN 3 THEN 'corn' "
             "ELSE 'wheat' END")
     def r(i):
-        return "CASE " + " ".join(f"WHEN ({crop}) = '{c}' THEN {v[i]}" for c, v in PM.IRRIGATION_RATES.items()) + " END"
+        # written out here, so that a wrong rate in the operator would show
+        rates = {"soybean": (0.0, 3.0, 5.0, 8.0, 12.0), "corn": (0.0, 4.0, 7.0, 10.0, 15.0), "wheat": (0.0, 2.0, 4.0, 6.0, 10.0)}
+        return "CASE " + " ".join(f"WHEN ({crop}) = '{c}' THEN {v[i]}" for c, v in rates.items()) + " END"
     return (f"CASE WHEN {stress} >= 0.8 THEN ({r(4)}) / {EFF} WHEN {stress} >= 0.0 AND {stress} < 0.1 THEN ({r(0)}) / {EFF} "
             f"WHEN {stress} >= 0.1 AND {stress} < 0.3 THEN ({r(1)}) / {EFF} WHEN {stress} >= 0.3 AND {stress} < 0.6 THEN "
             f"({r(2)}) / {EFF} WHEN {stress} >= 0.6 AND {stress} < 0.8 THEN ({r(3)}) / {EFF} ELSE 0.0 END")
@@ -93,7 +95,8 @@ def q_zones(spark, sf):
     return out(cells(spark, sf), keep=("region_id", "row", "col"), cols=["zone"])
 
 
-_ZNAME = "CASE z " + " ".join(f"WHEN {zid} THEN '{name}'" for zid, name, _, _ in PM.ZONES) + " END"
+_ZNAME = ("CASE z WHEN 1 THEN 'No Irrigation' WHEN 2 THEN 'Light Irrigation' WHEN 3 THEN 'Moderate Irrigation' "
+          "WHEN 4 THEN 'Heavy Irrigation' WHEN 5 THEN 'Critical Irrigation' END")
 
 
 @query("zone_stats", PRESC_SQL + (
