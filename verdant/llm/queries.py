@@ -89,14 +89,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_suffix_array_dedup", r"""
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-place AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 400)) AS p FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 198)) AS i FROM b)),
-twice AS (SELECT p FROM place GROUP BY p HAVING count(*) > 1),
-hit AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 200)) AS k FROM place JOIN twice USING (p))),
-runs AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE new) AS n_spans FROM (SELECT doc_id, k - 1 IS DISTINCT FROM lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS new FROM hit) GROUP BY 1),
-byte AS (SELECT doc_id, k, substr(h, 2 * k - 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS k FROM b)),
-left_over AS (SELECT doc_id, string_agg(x, '' ORDER BY k) AS kept FROM byte ANTI JOIN hit USING (doc_id, k) GROUP BY 1)
-SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM b LEFT JOIN runs USING (doc_id) LEFT JOIN left_over USING (doc_id)
+part AS (SELECT doc_id, k, substr(h, 2 * k + 1, 798) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 200)) AS k FROM b)),
+place AS (SELECT doc_id, k + j AS i, md5(substr(h, 2 * j - 1, 400)) AS p FROM (SELECT doc_id, k, h, unnest(range(1, least(201, length(h) // 2 - 198))) AS j FROM part)),
+hit AS (SELECT doc_id, i FROM place SEMI JOIN (SELECT p FROM place GROUP BY p HAVING count(*) > 1) USING (p)),
+island AS (SELECT doc_id, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit)),
+span AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM island GROUP BY doc_id, k),
+gap AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 1) AS before FROM span),
+cut AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last, string_agg(substr(h, 2 * before - 1, 2 * (lo - before)), '' ORDER BY lo) AS head
+  FROM gap JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 1) - 1))) AS kept_sha256
+FROM b LEFT JOIN cut USING (doc_id)
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_family.remove_repeated_bytes(read(spark, sf_dir, "documents"), width=200).select(
