@@ -195,7 +195,7 @@ def _assembler(features):
 
 
 def random_forest(task: str = "classification", seed: int = 42, **params):
-    p = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, **params}
+    p = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, "maxMemoryInMB": 512, **params}   # fewer passes per level
     cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
     return cls(featuresCol="scaled", labelCol="label", seed=seed, **p)
 
