@@ -4,7 +4,7 @@ import numpy as np
 
 from tests.llm import brute
 from tests.llm.conftest import SF
-from verdant.llm import groups, hyperminhash, queries, repeats, substring, suffix_family
+from verdant.llm import groups, hyperminhash, queries, repeats, shared, substring, suffix_family
 from verdant.llm.text import mix
 
 
@@ -68,3 +68,16 @@ def test_estimates_follow_jaccard():
         count = np.array([n])
         assert hyperminhash.may_be_similar(a, b, count, count, 80)[0]
         assert not hyperminhash.may_be_similar(a, c, count, count, 80)[0]
+
+
+def test_components(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(700, 600 + i) for i in range(30)]
+    want = brute.components({x for p in links for x in p}, links)
+    want = {x: c for x, c in want.items() if any(x in p and p[0] != p[1] for p in links)}
+    df = spark.createDataFrame(links, "u long, v long").repartition(5)
+    for few in (shared.FEW_EDGES, 0):  # by one task, by rounds
+        monkeypatch.setattr(shared, "FEW_EDGES", few)
+        rows = shared.components(df).collect()
+        assert len(rows) == len(want) and {r.u: r.c for r in rows} == want
+    assert shared.components(df.limit(0)).count() == 0

@@ -79,15 +79,41 @@ def _forest(batches):
         yield pa.RecordBatch.from_pydict({"u": pa.array(src, pa.int64()), "v": pa.array(dst, pa.int64())})
 
 
+#: Forests of at most so many edges (a few MB) are labelled by one task; larger ones by rounds of joins.
+FEW_EDGES = 200_000
+
+
+def _label(batches):
+    """Components of a whole forest (union-find)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = p = parent[p]
+            x = p
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a, c = root(u), root(v)
+            parent[max(a, c)] = min(a, c)
+    every = list(parent)
+    yield pa.RecordBatch.from_pydict({"u": pa.array(every, pa.int64()), "c": pa.array([root(x) for x in every], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(u, v)`` (longs): rows ``(u, c)`` with c the
     smallest vertex reachable, for every vertex of a link.
 
-    Alternating large-star and small-star steps over joins; neighbour lists are
-    never gathered, hubs are split by the skew-join rule, and every round is
-    written to the shared folder.  Ends when a round changes nothing.
+    Each partition's edges shrink to a forest first.  A forest of FEW_EDGES is
+    then labelled by one task.  A larger one goes through alternating large-star
+    and small-star steps over joins, to the same result: neighbour lists are never
+    gathered, hubs are split by the skew-join rule, and every round is written to
+    the shared folder.  Ends when a round changes nothing.
     """
     edges = stage(links.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, "u long, v long"), "edges")
+    if edges.count() <= FEW_EDGES:
+        return edges.coalesce(1).mapInArrow(_label, "u long, c long")
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
