@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Longer words are hashed one by one, as rolling hashes are weak on long strings.
 LONG_WORD = 512
 
@@ -41,7 +41,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(1 << (n - 1).bit_length(), 1 << 16)
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, np.uint64)
                 steps[0] = 1
