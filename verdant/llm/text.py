@@ -2,8 +2,8 @@
 and rolling hashes over Arrow string columns, all vectorised with numpy.
 
 Texts are handled as UTF-8 bytes.  A null text has no words.  Columns are cut
-into slices of about a megabyte so that a task holds a few arrays of that size
-at a time; a longer text is a slice of its own.
+into slices of a quarter megabyte, so that a task's arrays, some of them eight
+bytes for each byte of text, stay small; a longer text is a slice of its own.
 """
 
 from __future__ import annotations
