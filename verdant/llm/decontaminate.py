@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdant.llm.shared import row_key, schema, stage, whole
+from verdant.llm.shared import row_key, schema, small_batches, stage, whole
 from verdant.llm.text import ALNUM
 
 #: Words a shard holds before it is indexed (a longer document is a shard of its own).
@@ -249,7 +249,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, doc_id
     repeated rows each get their own row.  Other columns are neither read nor
     returned, so their names can't clash.
     """
-    rows = docs.select(whole(keep or [doc_id]), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(whole(keep or [doc_id]), row_key(doc_id, text).alias("key"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.encode(F.col(item_text).cast("string"), "UTF-8").alias("text")).where(F.col("text").isNotNull())
     out = None
     for phrases in phrase_blocks(items, width):

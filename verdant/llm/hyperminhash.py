@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.groups import dealt_in_blocks, fixed_width, together, whole_groups
-from verdant.llm.shared import components, sieved, stage
+from verdant.llm.shared import components, sieved, small_batches, stage
 from verdant.llm.text import GRAMS, LOWER, Slice, mix, prefix_sums, slices, span_hash, word_hashes, words
 
 REGISTERS, ROWS = 256, 6
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     graph; rows whose id is null link with nothing, have a null component and are
     kept.  Ties go to the smallest id.  Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = stage(rows.mapInArrow(_signatures(shingle), "doc_id long, n long, h1 long, h2 long, sig binary"), "signed")
     classes = stage(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).select("rep", "n", "sig", "h1", "h2"), "classes")
     bands = stage(classes.select("rep", "n", "sig").mapInArrow(_bands(percent), "band long, rep long"), "bands")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.sampling import per_class, remainder
-from verdant.llm.shared import schema, whole
+from verdant.llm.shared import schema, small_batches, whole
 from verdant.llm.text import Slice, slices
 
 DIMENSIONS = 4096
@@ -138,7 +138,7 @@ def _sample_features(batches):
 
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel | None:
     """Fit on a sample of PER_LANGUAGE documents of each language among the rows where ``learn`` holds."""
-    rows = docs.where(learn & F.col(lang).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).where(learn & F.col(lang).isNotNull() & (F.trim(F.col(text)) != "")).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     sample = per_class(rows, "lang", "doc_id", PER_LANGUAGE, LANGUAGES).select("lang", "text").mapInArrow(_sample_features, "lang string, x binary").collect()
     if not sample:
         return None
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text
     Columns that are not asked for are not read.
     """
     t = F.col(text).cast("string")
-    rows = docs.select(t.alias("text"), F.coalesce(F.regexp_like(t, F.lit(r"\p{L}")), F.lit(False)).alias("usable"), whole(keep))
+    rows = small_batches(docs).select(t.alias("text"), F.coalesce(F.regexp_like(t, F.lit(r"\p{L}")), F.lit(False)).alias("usable"), whole(keep))
     return rows.mapInArrow(_predict(model), schema(rows.schema["row"], "lang_pred string, score double"))
 
 

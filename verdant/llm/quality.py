@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from verdant.llm.language_id import counted, gram_codes
 from verdant.llm.sampling import per_class
-from verdant.llm.shared import schema, whole
+from verdant.llm.shared import schema, small_batches, whole
 from verdant.llm.text import PLAIN, Slice, slices, word_hashes, words
 
 #: Labelled documents of each class in the sample.
@@ -102,7 +102,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, size
     labels of a document the greatest counts; null labels count for nothing."""
     chosen = labels.where(learn).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     chosen = per_class(chosen, "label", "id", size, 16)  # ids and labels only; at most 32 * size rows are expected
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
+    return small_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("id", "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> QualityModel | None:
@@ -141,5 +141,5 @@ def score(docs: DataFrame, model: QualityModel | None, keep: list[str], text: st
     likelier) of every row's whole text.  A null or empty text, or one that is
     near no labelled vector, scores the sample's share of label 1; without any
     labels all score 0.5.  Columns that are not asked for are not read."""
-    rows = docs.select(F.col(text).cast("string").alias("text"), whole(keep))
+    rows = small_batches(docs).select(F.col(text).cast("string").alias("text"), whole(keep))
     return rows.mapInArrow(_score(model), schema(rows.schema["row"], "score double"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from verdant.llm.groups import together, whole_groups
-from verdant.llm.shared import schema, stage, whole
+from verdant.llm.shared import schema, small_batches, stage, whole
 from verdant.llm.text import GRAMS, PLAIN, Slice, mix, prefix_sums, slices, span_hash, word_hashes, words
 
 #: An anchor with more distinct segments than this is dealt out window by window.
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: s
     of symbols of the text, the merged ranges of those covered by a window that
     also starts elsewhere, and what is left (with ``as_is``, the text itself where
     nothing is removed)."""
-    rows = docs.select(whole(keep), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col(doc_id).cast("string")).alias("k2"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(whole(keep), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col(doc_id).cast("string")).alias("k2"), F.col(text).cast("string").alias("text"))
     row_type = T.StructField("row", rows.schema["row"].dataType)
     places = stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(kind), "a long, g long, k1 long, k2 long, s int, n int"), "anchors")
     # written out, so that the join below is between two fresh exchanges and a hot anchor's rows are split

@@ -28,6 +28,18 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.struct(F.col(doc_id).cast("string").alias("id"), F.xxhash64(F.col(text)).alias("h"))
 
 
+#: Rows that a Python task gets at a time: texts may be long, and the default of 10,000 rows is too many.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands rows to Python BATCH_ROWS at a time at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def schema(first: T.StructField, rest: str) -> T.StructType:
     """A field and the fields of a DDL string."""
     return T.StructType([first, *T.StructType.fromDDL(rest).fields])

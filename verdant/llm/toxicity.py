@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.llm.quality import labelled
-from verdant.llm.shared import schema, whole
+from verdant.llm.shared import schema, small_batches, whole
 from verdant.llm.text import ALNUM, GRAMS, Slice, WordRule, mix, prefix_sums, slices, span_hash, word_hashes, words
 
 #: Labelled documents of each class in the sample, and features that are kept.
@@ -146,5 +146,5 @@ def grade(docs: DataFrame, model: ToxicityModel | None, keep: list[str], text: s
 
     A null or empty text has no features; without a model all are 0.  Columns
     that are not asked for are not read."""
-    rows = docs.select(F.col(text).cast("string").alias("text"), whole(keep))
+    rows = small_batches(docs).select(F.col(text).cast("string").alias("text"), whole(keep))
     return rows.mapInArrow(_grade(model), schema(rows.schema["row"], "p_toxic double, severity double, grade int")).withColumn("toxic", F.col("grade") > 0)
