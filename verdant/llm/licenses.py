@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences, each normalised to lower-case words.  Known licence
-sentences become identifiers; identifiers that are close together form a
+A text is cut into sentences, each normalised to lower-case words; a line break
+alone does not end one, as licence texts are wrapped.  Known licence sentences become identifiers; identifiers that are close together form a
 sequence.  Ordered licence rules, the longest and most specific first, then
 replace runs of identifiers by the licence they stand for.  No row leaves its
 task: there is no shuffle, and hot sources or long texts need no care.
@@ -55,6 +55,8 @@ SENTENCES = {
 }
 #: Licence rules in order; a rule may use licences that earlier rules have found.
 RULES = (
+    (("AllRights", "BSDpre", "BSDsource", "BSDbinary", "BSDname"), "BSD-3-Clause"),
+    (("AllRights", "BSDpre", "BSDsource", "BSDbinary"), "BSD-2-Clause"),
     (("BSDpre", "BSDsource", "BSDbinary", "BSDname"), "BSD-3-Clause"),
     (("BSDpre", "BSDsource", "BSDbinary"), "BSD-2-Clause"),
     (("MITgrant", "MITnotice", "AsIs"), "MIT"),
@@ -86,17 +88,62 @@ RULES = (
 #: Identifiers with more than so many sentences between them are not in one sequence.
 GAP = 3
 
-SENTENCE_END = r"[.!?]+([ \x09-\x0D]|$)|[\x0A-\x0D]"
-NO_WORD = r"[^a-z0-9\x01]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\n", "abcdefghijklmnopqrstuvwxyz\x02"
+#: Leading stars of a text that holds a /* comment, which are no list marks there.
+STARS = r"\n[ \t]*/?\*+/?"
+#: Replacements in order, on a text between line feeds: line ends; m4 and batch comment marks; list marks,
+#: after other comment marks, become a blank line; "v. 2"; colons before a break; other sentence ends; lines without a word.
+LAYOUT = (
+    (r"\x0D\n|[\x0B-\x0D]", "\n"),
+    (r"\n[ \t]*(dnl|[Rr][Ee][Mm][ \t])", "\n"),
+    (r"""\n[ \t#/;%>|!"'~=<]*(--+[ \t]+)?([-+*\x{2022}]|\(?[0-9]{1,3}[.)]|\(?[a-z]\))[ \t]+""", "\n\n"),
+    (r"([^A-Za-z0-9])[Vv]\.[ \t\n#/*;]+([0-9])", r"\1v \2"),
+    (r":[ \t]*\n", "\x01\n"),
+    (r"[.!?]+[ \t\n]", "\x01\n"),
+    (r"\n[^A-Za-z0-9\n\x01]*\n", "\x01"),
+)
+
+
+def _one_of(sentences: list[list[str]]) -> str:
+    """Pattern of any of the word lists, the longest first, with a blank or a line end between words."""
+    rest: dict[str, list[list[str]]] = {}
+    for s in sentences:
+        if s:
+            rest.setdefault(s[0], []).append(s[1:])
+    branches = "|".join(w + _one_of(r) for w, r in rest.items())
+    inner = f"(?:{branches})" if len(rest) > 1 else branches
+    if not rest:
+        return ""
+    return f"(?:{_BREAK}{inner})?" if [] in sentences else _BREAK + inner
+
+
+_BREAK = r"(?: |\x02\x02)"
+
+
+def _normalise() -> tuple[tuple[str, str], ...]:
+    """Replacements on lower-case text with \x01 as sentence end and \x02 as line end: other characters;
+    separators twice; whole lines that make a known sentence become one; separators once; line ends as blanks."""
+    known = _one_of([s.split() for s in SENTENCES]).removeprefix(_BREAK)
+    return (
+        (r"[^a-z0-9\x01\x02]+", " "), (r"[ \x01\x02]*\x01[ \x01\x02]*", "\x01\x01"), (r" *\x02[ \x02]*", "\x02\x02"),
+        (rf"[\x01\x02]({known})[\x01\x02]", "\x01\\1\x01"), (r"[ \x02]*\x01[ \x01\x02]*", "\x01"), (r"\x02+", " "),
+    )
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences: ended by . ! or ? before white space or the end, or
-    by a line end; lower-cased (A-Z), other characters than a-z and 0-9 as blanks."""
-    marked = F.regexp_replace(F.regexp_replace(text, "\x01", " "), SENTENCE_END, "\x01")
-    plain = F.regexp_replace(F.translate(marked, _UPPER, _LOWER), NO_WORD, " ")
-    return F.split(F.concat(F.lit(" "), plain, F.lit(" ")), " *\x01 *| +$|^ +")
+    """Normalised sentences: ended by . ! or ? before white space or the end, by a
+    blank line, a list item or a colon before a line end; another line end, with
+    the comment marks or indent after it, is a blank, unless the lines before or
+    after it are a known sentence.  Lower-cased (A-Z), other characters than a-z
+    and 0-9 as blanks, without empty ones in between."""
+    t = F.concat(F.lit("\n"), F.translate(text, "\x01\x02", "  "), F.lit("\n"))
+    t = F.when(F.contains(t, F.lit("/*")), F.regexp_replace(t, STARS, "\n")).otherwise(t)
+    for pattern, by in LAYOUT:
+        t = F.regexp_replace(t, pattern, by.replace("\\", "$"))
+    t = F.concat(F.lit("\x01"), F.translate(t, _UPPER, _LOWER), F.lit("\x01"))
+    for pattern, by in _normalise():
+        t = F.regexp_replace(t, pattern, by.replace("\\", "$"))
+    return F.split(F.btrim(t, F.lit(" \x01")), "\x01")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,10 +176,22 @@ def oracle_sql() -> str:
     matched = "sequence"
     for sequence, name in RULES:
         matched = f"replace({matched}, '{''.join(f'[{x}]' for x in sequence)}', '<{name}>')"
+    def quoted(x: str) -> str:
+        x = x.replace("'", "''")
+        for c in "\n\x01\x02":
+            x = x.replace(c, f"' || chr({ord(c)}) || '")
+        return f"'{x}'"
+
+    def replaced(t: str, steps) -> str:
+        for pattern, by in steps:
+            t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(by)}, 'g')"
+        return t
+
     return rf"""
-WITH p AS (
-  SELECT doc_id, regexp_replace(translate(regexp_replace(replace(coalesce(text, ''), chr(1), ' '), '[.!?]+([ \x09-\x0D]|$)|[\x0A-\x0D]', chr(1), 'g'), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\x01]+', ' ', 'g') AS t FROM documents),
-s AS (SELECT doc_id, list_transform(string_split(t, chr(1)), lambda x: trim(x)) AS s FROM p),
+WITH r AS (SELECT doc_id, chr(10) || translate(coalesce(text, ''), chr(1) || chr(2), '  ') || chr(10) AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN contains(t, '/*') THEN regexp_replace(t, {quoted(STARS)}, chr(10), 'g') ELSE t END AS t FROM r),
+l AS (SELECT doc_id, chr(1) || translate({replaced("t", LAYOUT)}, {quoted(_UPPER)}, {quoted(_LOWER)}) || chr(1) AS t FROM c),
+s AS (SELECT doc_id, string_split(trim({replaced("t", _normalise())}, ' ' || chr(1)), chr(1)) AS s FROM l),
 k AS (SELECT doc_id, list_filter(list_transform(s, lambda x, i: {{'s': x, 'i': i}}), lambda x: x.s IN ({listed})) AS known FROM s),
 q AS (SELECT doc_id, len(known) AS n_sentences, array_to_string(list_transform(known, lambda x, k:
     (CASE WHEN k > 1 AND x.i - known[k - 1].i > {GAP + 1} THEN '~' ELSE '' END) || '[' || MAP {{{ids}}}[x.s] || ']'), '') AS sequence FROM k),
