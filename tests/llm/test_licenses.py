@@ -55,6 +55,19 @@ GNU General Public License for more details."""
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
 WRAPPED = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL-2.0-or-later": GPL,
            "GPL-3.0-or-later": GPL.replace("version 2", "version 3").replace("software;", "software:"), "MPL-2.0": MPL}
 LAYOUTS = {
@@ -85,8 +98,54 @@ def test_wrapped_texts(scanned):
 
 
 def test_sentence_ends(scanned):
-    texts = ["Released under the\nMIT License", "Released under the\n\nMIT License", "Note:\nAll rights\nreserved", "- All rights reserved\n- Released under the MIT License",
+    texts = ["Released under the\nMIT License", "Released under the\n\nCC0 1.0", "Note:\nAll rights\nreserved", "- All rights reserved\n- Released under the MIT License",
              "All rights reserved\r\n \r\nReleased under\r\nthe MIT License", "Released under the MIT License.\n\n\n\n\n\nAll rights reserved.", 
              "no end\nReleased under the MIT License\nno end\nall rights\nreserved", "with text\nReleased under the MIT License and more", None, "", "\n\n:\n"]
     got = scanned(texts)
     assert [r.sequence for r in got] == ["[MITname]", "", "[AllRights]", "[AllRights][MITname]", "[AllRights][MITname]", "[MITname][AllRights]", "[MITname][AllRights]", "", "", "", ""]
+
+
+def one_line(text):
+    return " ".join(text.split())
+
+
+ORIGINALS = {
+    "MITgrant": MIT.split("\n\n")[2], "MITnotice": MIT.split("\n\n")[3], "AsIs": MIT.split("\n\n")[4].split(" IN NO EVENT")[0],
+    "MITgrantnotice": one_line(" ".join(MIT.split("\n\n")[2:4])), "Unlicense": "This is free and unencumbered software released into the public domain.", "AllRights": "All rights reserved.",
+    "Apache2header": APACHE.split("\n\n")[1].split("\nYou")[0], "Apache2comply": "You may not use this file except in compliance with the License.",
+    "Apache2copy": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0", "Apache2copywarranty": one_line(" ".join(APACHE.split("\n\n")[1:4])).split(". ")[1].split(" See")[0], "Apache2warranty": APACHE.split("\n\n")[3].split("\nSee")[0], "Apache2limits": "See the License for the specific language governing permissions and\nlimitations under the License.",
+    "BSDpresource": one_line(" ".join(BSD3.split("\n\n")[1:3])), "BSDpre": BSD2.split("\n\n")[1], "BSDsource": BSD2.split("\n\n")[2], "BSDbinary": BSD2.split("\n\n")[3], "BSDname": BSD3.split("\n\n")[4],
+    "GPL2plus": GPL.split("\n\n")[0], "GPL3plus": GPL.split("\n\n")[0].replace("version 2", "version 3"), "GPLwarranty": GPL.split("\n\n")[1].split("  See")[0], "GPLdetails": "See the\nGNU General Public License for more details.",
+    **{f"{k}plus": GPL.split("\n\n")[0].replace("GNU ", f"GNU {n} ").replace("version 2", f"version {v}") for k, n, v in (("LGPL21", "Lesser", "2.1"), ("LGPL3", "Lesser", "3"), ("AGPL3", "Affero", "3"))},
+    "LGPLdetails": "See the GNU Lesser General Public License for more details.", "AGPLdetails": "See the GNU Affero General Public License for more details.",
+}
+NAMINGS = {
+    "MITname": "The MIT License (MIT)", "Apache2name": "                                 Apache License\n                           Version 2.0, January 2004", "GPL3name": "This code is released under the GNU General Public License, version 3.",
+    "GPL2name": "licensed under the GPLv2", "LGPL3name": "This library is distributed under the terms of the GNU Lesser General Public License v3.", "LGPL21name": "Licensed under the GNU LGPL, version 2.1",
+    "AGPL3name": "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "MPL2name": MPL, "BSD3name": "BSD 3-Clause License", "BSD2name": "Released under the 2-clause BSD license.", "CC0name": "Released under CC0 1.0",
+    **{f"CC{k.replace('-', '')}4name": f"This work is licensed under CC {k} 4.0." for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+}
+
+
+def test_every_identifier_from_its_original(scanned):
+    originals = ORIGINALS | NAMINGS
+    assert set(originals) == set(licenses.SENTENCES.values()) == {i for s, _ in licenses.RULES for i in s}
+    for layout in (lambda t: t, one_line):
+        for (i, _), r in zip(originals.items(), scanned([layout(t) for t in originals.values()]), strict=True):
+            assert i in r.sequence.strip("[]").split("]["), (i, r)
+
+
+def test_every_entry(scanned):
+    got = scanned([s.replace(" 2 0", " 2.0").replace(" 2 1", " 2.1").capitalize() + "." for s in licenses.SENTENCES])
+    assert [r.sequence for r in got] == [f"[{i}]" for i in licenses.SENTENCES.values()]
+
+
+def test_unwrapped_texts(scanned):
+    texts = WRAPPED | {"Apache-2.0": APACHE, "LGPL-2.1-or-later": GPL.replace("GNU ", "GNU Lesser ").replace("version 2", "version 2.1").replace("program", "library")}
+    paragraphs = {n: t.split("\n\n") for n, t in texts.items()}
+    bodies = {n: p[{"MIT": 2, "Apache-2.0": 1, "BSD-2-Clause": 1, "BSD-3-Clause": 1}.get(n, 0):] for n, p in paragraphs.items()}
+    for shape in ({n: "\n".join(map(one_line, p)) for n, p in paragraphs.items()}, {n: one_line(" ".join(p)) for n, p in bodies.items()}, {n: make(texts[n]) for n in texts for make in LAYOUTS.values()}):
+        for (name, _), r in zip(shape.items(), scanned(shape.values()), strict=True):
+            assert r.licenses == [name] and not r.unmatched, (name, r)
+    near = ["This code is released under the MIT License.", "released under the terms of the GNU GPL v3 or later", "Available under the Apache License 2.0!"]
+    assert [r.licenses for r in scanned(near)] == [["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"]]

@@ -19,12 +19,19 @@ SENTENCES = {
     "this project is licensed under the mit license": "MITname",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITgrant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITnotice",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITgrantnotice",
     "the software is provided as is without warranty of any kind express or implied": "AsIs",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "AsIs",
     "licensed under the apache license version 2 0": "Apache2name",
     "licensed under the apache license version 2 0 the license": "Apache2name",
     "you may not use this file except in compliance with the license": "Apache2comply",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "Apache2header",
     "you may obtain a copy of the license at": "Apache2copy",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "Apache2copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "Apache2copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2warranty",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2copywarranty",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache2copywarranty",
     "see the license for the specific language governing permissions and limitations under the license": "Apache2limits",
     "this work is licensed under the gnu general public license version 3": "GPL3name",
     "this work is licensed under the gnu general public license version 2": "GPL2name",
@@ -34,11 +41,22 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPL2plus",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLwarranty",
     "see the gnu general public license for more details": "GPLdetails",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21plus",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "LGPL21plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3plus",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "LGPL3plus",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3plus",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "AGPL3plus",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "GPLwarranty",
+    "see the gnu lesser general public license for more details": "LGPLdetails",
+    "see the gnu affero general public license for more details": "AGPLdetails",
     "licensed under the gnu lesser general public license version 3": "LGPL3name",
     "licensed under the gnu lesser general public license version 2 1": "LGPL21name",
     "licensed under the gnu affero general public license version 3": "AGPL3name",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSDpre",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1": "BSDpre",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDsource",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDpresource",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDbinary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDname",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2name",
@@ -53,18 +71,56 @@ SENTENCES = {
     "this is free and unencumbered software released into the public domain": "Unlicense",
     "all rights reserved": "AllRights",
 }
+#: Names that follow "licensed under" and the like.
+NAMES = {
+    "MITname": ("the mit license", "the mit licence", "mit", "mit license", "the mit license mit"),
+    "Apache2name": ("the apache license version 2 0", "the apache license 2 0", "apache license version 2 0", "apache license 2 0", "apache 2 0", "the apache 2 0 license", "the apache license v2 0"),
+    "BSD3name": ("the bsd 3 clause license", "the 3 clause bsd license", "bsd 3 clause"),
+    "BSD2name": ("the bsd 2 clause license", "the 2 clause bsd license", "bsd 2 clause"),
+    "MPL2name": ("the mozilla public license version 2 0", "the mozilla public license 2 0", "the mozilla public license v 2 0", "mpl 2 0", "the mpl 2 0"),
+    **{f"{i}{end}": tuple(f"{a}{v}{later}" for later in tails for a in (f"the gnu {n} public license version ", f"the gnu {n} public license v", f"the gnu {n} public license v ", *(f"{x}{g}{y}" for x in ("", "the ", "the gnu ", "gnu ") for y in (" ", "v", " v", " v ", " version "))))
+       for i, n, g, v in (("GPL3", "general", "gpl", "3"), ("GPL2", "general", "gpl", "2"), ("LGPL3", "lesser general", "lgpl", "3"), ("LGPL21", "lesser general", "lgpl", "2 1"), ("AGPL3", "affero general", "agpl", "3"))
+       for end, tails in (("name", ("",)), ("plus", (" or later", " or any later version")))},
+    **{f"CC{k.upper().replace(' ', '')}4name": (f"cc {k} 4 0", f"a creative commons {long} 4 0 international license", f"the creative commons {long} 4 0 international license")
+       for k, long in (("by", "attribution"), ("by sa", "attribution sharealike"), ("by nc", "attribution noncommercial"), ("by nd", "attribution noderivatives"), ("by nc sa", "attribution noncommercial sharealike"), ("by nc nd", "attribution noncommercial noderivatives"))},
+    "CC0name": ("cc0 1 0", "cc0", "the cc0 1 0 universal license"),
+}
+#: Titles of licence texts.
+TITLES = {
+    "mit license": "MITname", "the mit license": "MITname", "the mit license mit": "MITname", "apache license version 2 0": "Apache2name", "apache license version 2 0 january 2004": "Apache2name",
+    "bsd 3 clause license": "BSD3name", "the 3 clause bsd license": "BSD3name", "bsd 2 clause license": "BSD2name", "the 2 clause bsd license": "BSD2name",
+    "gnu general public license version 3 29 june 2007": "GPL3name", "gnu general public license version 2 june 1991": "GPL2name", "gnu lesser general public license version 3 29 june 2007": "LGPL3name",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL21name", "gnu affero general public license version 3 19 november 2007": "AGPL3name",
+    "mozilla public license version 2 0": "MPL2name", "cc0 1 0 universal": "CC0name", "creative commons legal code cc0 1 0 universal": "CC0name",
+}
+SENTENCES |= TITLES | {f"licensed under {name}": i for i, names in NAMES.items() for name in names}
+#: Beginnings of a sentence or line that read as "licensed under".
+NAMING = "(?:this (?:work|project|software|code|program|library|package|file|repository) is )?(?:licensed|released|distributed|available) under (?:the terms of )?"
 #: Licence rules in order; a rule may use licences that earlier rules have found.
 RULES = (
     (("AllRights", "BSDpre", "BSDsource", "BSDbinary", "BSDname"), "BSD-3-Clause"),
     (("AllRights", "BSDpre", "BSDsource", "BSDbinary"), "BSD-2-Clause"),
     (("BSDpre", "BSDsource", "BSDbinary", "BSDname"), "BSD-3-Clause"),
     (("BSDpre", "BSDsource", "BSDbinary"), "BSD-2-Clause"),
+    (("BSDpresource", "BSDbinary", "BSDname"), "BSD-3-Clause"),
+    (("BSDpresource", "BSDbinary"), "BSD-2-Clause"),
     (("MITgrant", "MITnotice", "AsIs"), "MIT"),
     (("MITgrant", "MITnotice"), "MIT"),
+    (("MITgrantnotice", "AsIs"), "MIT"),
+    (("MITgrantnotice",), "MIT"),
+    (("Apache2header", "Apache2copy", "Apache2warranty", "Apache2limits"), "Apache-2.0"),
+    (("Apache2header", "Apache2copywarranty", "Apache2limits"), "Apache-2.0"),
+    (("Apache2header",), "Apache-2.0"),
     (("Apache2name", "Apache2comply", "Apache2copy", "Apache2warranty", "Apache2limits"), "Apache-2.0"),
     (("Apache2name", "Apache2comply"), "Apache-2.0"),
     (("GPL3plus", "GPLwarranty", "GPLdetails"), "GPL-3.0-or-later"),
     (("GPL2plus", "GPLwarranty", "GPLdetails"), "GPL-2.0-or-later"),
+    (("LGPL3plus", "GPLwarranty", "LGPLdetails"), "LGPL-3.0-or-later"),
+    (("LGPL21plus", "GPLwarranty", "LGPLdetails"), "LGPL-2.1-or-later"),
+    (("AGPL3plus", "GPLwarranty", "AGPLdetails"), "AGPL-3.0-or-later"),
+    (("LGPL3plus",), "LGPL-3.0-or-later"),
+    (("LGPL21plus",), "LGPL-2.1-or-later"),
+    (("AGPL3plus",), "AGPL-3.0-or-later"),
     (("GPL3plus",), "GPL-3.0-or-later"),
     (("GPL2plus",), "GPL-2.0-or-later"),
     (("MITname",), "MIT"),
@@ -75,6 +131,8 @@ RULES = (
     (("LGPL21name",), "LGPL-2.1-only"),
     (("AGPL3name",), "AGPL-3.0-only"),
     (("MPL2name",), "MPL-2.0"),
+    (("BSD3name",), "BSD-3-Clause"),
+    (("BSD2name",), "BSD-2-Clause"),
     (("CCBY4name",), "CC-BY-4.0"),
     (("CCBYSA4name",), "CC-BY-SA-4.0"),
     (("CCBYNC4name",), "CC-BY-NC-4.0"),
@@ -122,10 +180,12 @@ _BREAK = r"(?: |\x02\x02)"
 
 def _normalise() -> tuple[tuple[str, str], ...]:
     """Replacements on lower-case text with \x01 as sentence end and \x02 as line end: other characters;
-    separators twice; whole lines that make a known sentence become one; separators once; line ends as blanks."""
+    separators twice; ways to say "licensed under"; whole lines that make a known sentence become one; separators once; line ends as blanks."""
     known = _one_of([s.split() for s in SENTENCES]).removeprefix(_BREAK)
+    names = _one_of([n.split() for group in NAMES.values() for n in group]).removeprefix(_BREAK)
     return (
         (r"[^a-z0-9\x01\x02]+", " "), (r"[ \x01\x02]*\x01[ \x01\x02]*", "\x01\x01"), (r" *\x02[ \x02]*", "\x02\x02"),
+        (rf"[\x01\x02]{NAMING.replace(' ', _BREAK)}({names})[\x01\x02]", "\x01licensed under \\1\x01"),
         (rf"[\x01\x02]({known})[\x01\x02]", "\x01\\1\x01"), (r"[ \x02]*\x01[ \x01\x02]*", "\x01"), (r"\x02+", " "),
     )
 
