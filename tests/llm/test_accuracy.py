@@ -1,10 +1,11 @@
 """Recall of the index, held-out accuracy of the classifiers, and the routing of crowded groups."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.conftest import SF
-from verdant.llm import groups, hyperminhash, queries, repeats, shared, substring, suffix_family
+from verdant.llm import groups, hyperminhash, language_id, queries, repeats, shared, substring, suffix_family
 from verdant.llm.text import mix
 
 
@@ -81,3 +82,24 @@ def test_components(spark, monkeypatch):
         rows = shared.components(df).collect()
         assert len(rows) == len(want) and {r.u: r.c for r in rows} == want
     assert shared.components(df.limit(0)).count() == 0
+
+
+def test_pairs_of_languages_vote():
+    pairs = [(0, 1), (0, 2), (1, 2)]
+    margin = np.array([[1, 0.2, -3.0], [1, -0.5, 0.3], [-1, 2, 0.5], [0.1, -0.4, 0.2], [0, 0, 0]])
+    won, least = language_id.vote(margin, pairs, 3)
+    assert won.tolist() == [0, 0, 1, 2, 0] and np.allclose(least, [0.2, -0.5, 0.5, -0.2, 0])
+
+
+def test_three_languages_of_a_family(spark):
+    rng = np.random.default_rng(7)
+    own = {"da": ["af", "ikke", "blev", "hvad"], "nb": ["av", "ikke", "ble", "hva"], "sv": ["av", "inte", "blev", "vad"], "fi": ["talo", "ja", "mutta", "hyvin"]}
+    common = ["og", "der", "den", "for", "som", "men", "man", "land"]
+    rows = [(4 * i + k, " ".join(rng.choice(words + (common if lang != "fi" else []), 30)), lang) for i in range(60) for k, (lang, words) in enumerate(own.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.col("doc_id") < 160)
+    assert [len(p) for p in model.pairs] == [0 if len(f) == 1 else 3 for f in model.families] and sorted(map(len, model.families)) == [1, 3]
+    assert model.weights.shape[1] == 2 + 3
+    told = {r.doc_id: (r.lang_pred, r.learned) for r in language_id.identify(docs, model, ["doc_id"]).select("row.doc_id", "lang_pred", "learned").collect()}
+    held = [(told[d], lang) for d, _, lang in rows if d >= 160]
+    assert np.mean([p == lang and learned for (p, learned), lang in held]) > 0.95

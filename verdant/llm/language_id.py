@@ -1,9 +1,9 @@
 """Hierarchical language identification: the family first, then the language in it.
 
 Texts become square-rooted, length-normalised counts of hashed letter bigrams
-and trigrams.  One-versus-one-class linear support vector machines (squared
-hinge) separate the families, and within each family its languages.  They are
-fitted on a bounded sample; every text is scored whole.
+and trigrams.  Linear support vector machines (squared hinge), one-versus-rest,
+separate the families; within a family a machine for each pair of languages
+votes.  They are fitted on a bounded sample; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ DIMENSIONS = 4096
 #: Documents of each language that the machines are fitted on, and languages at most.
 PER_LANGUAGE, LANGUAGES = 300, 200
 UNKNOWN = "und"
+#: A text is in a learned language if its evidence is at least SHARE of what all but RARE of the fitting
+#: sample reach; texts of under SHORT bytes hold too little evidence to tell and count as being in one.
+SHARE, RARE, SHORT = 0.25, 0.01, 40
 #: Families of language codes; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": ("da", "de", "en", "fy", "is", "nb", "nl", "nn", "no", "sv"),
@@ -99,22 +102,40 @@ def fit_machines(x: np.ndarray, y: np.ndarray, classes: int, c: float = 30.0, ro
 class LanguageModel:
     languages: list[str]
     families: list[list[int]]
-    weights: np.ndarray = field(repr=False)  # columns: families, then languages
+    pairs: list[list[tuple[int, int]]]  # of each family, as places in it
+    weights: np.ndarray = field(repr=False)  # columns: families, then pairs
     bias: np.ndarray = field(repr=False)
+    least: float = 0.0  # evidence that a text in a learned language has
 
-    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the language and a score in (0, 1)."""
+    def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the language, a score in (0, 1), and the evidence: the smaller one of
+        the margin of the family and the least margin of the language over another."""
         margin = x @ self.weights + self.bias
         first = margin[:, :len(self.families)]
         chosen = first.argmax(1)
-        score = _certainty(first)
-        out = np.zeros(len(x), np.int64)
+        score, evidence = _certainty(first), first.max(1).astype(np.float64)
+        out, column = np.zeros(len(x), np.int64), len(self.families)
         for f, members in enumerate(self.families):
-            rows = np.flatnonzero(chosen == f)
-            second = margin[np.ix_(rows, [len(self.families) + m for m in members])]
-            out[rows] = np.array(members)[second.argmax(1)]
-            score[rows] *= _certainty(second)
-        return out, score
+            rows, pairs = np.flatnonzero(chosen == f), self.pairs[f]
+            which, least = vote(margin[rows, column:column + len(pairs)], pairs, len(members))
+            out[rows] = np.array(members)[which]
+            if pairs:
+                score[rows] *= 1 / (1 + np.exp(-6 * np.maximum(least, 0)))
+                evidence[rows] = np.minimum(evidence[rows], least)
+            column += len(pairs)
+        return out, score, evidence
+
+
+def vote(margin: np.ndarray, pairs: list[tuple[int, int]], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class with most pairs won (ties: larger sum of margins, then the first) and its least margin."""
+    votes, sums, least = np.zeros((len(margin), classes)), np.zeros((len(margin), classes)), np.full((len(margin), classes), np.inf)
+    for k, (i, j) in enumerate(pairs):
+        for c, m in ((i, margin[:, k]), (j, -margin[:, k])):
+            votes[:, c] += (m > 0) | ((m == 0) & (c == i))
+            sums[:, c] += m
+            least[:, c] = np.minimum(least[:, c], m)
+    won = np.where(votes == votes.max(1, keepdims=True), sums, -np.inf).argmax(1)
+    return won, least[np.arange(len(margin)), won]
 
 
 def _certainty(margin: np.ndarray) -> np.ndarray:
@@ -152,12 +173,16 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     w, b = fit_machines(x, family[y], len(names))
     members = [np.flatnonzero(family == f).tolist() for f in range(len(names))]
     weights, bias = [w], [b]
-    inner_w, inner_b = np.zeros((DIMENSIONS, len(languages))), np.zeros(len(languages))
-    for group in members:
-        if len(group) > 1:
-            rows_in = np.isin(y, group)
-            inner_w[:, group], inner_b[group] = fit_machines(x[rows_in], np.searchsorted(group, y[rows_in]), len(group))
-    return LanguageModel(languages, members, np.hstack([*weights, inner_w]).astype(np.float32), np.concatenate([*bias, inner_b]).astype(np.float32))
+    pairs = [[(i, j) for j in range(len(group)) for i in range(j)] for group in members]
+    for group, inner in zip(members, pairs, strict=True):
+        for i, j in inner:
+            rows_in = (y == group[i]) | (y == group[j])
+            w, b = fit_machines(x[rows_in], (y[rows_in] == group[j]).astype(int), 2)
+            weights.append(w[:, :1])
+            bias.append(b[:1])
+    model = LanguageModel(languages, members, pairs, np.hstack(weights).astype(np.float32), np.concatenate(bias).astype(np.float32))
+    model.least = max(0.0, SHARE * float(np.quantile(model.predict(x)[2], RARE)))
+    return model
 
 
 def _predict(model: LanguageModel | None):
@@ -167,25 +192,26 @@ def _predict(model: LanguageModel | None):
             for s in slices(batch.column(0), max_rows=256):
                 ok = usable[s.lo:s.hi]
                 if model is None:
-                    names, score = [UNKNOWN] * len(ok), np.zeros(len(ok))
+                    names, score, known = [UNKNOWN] * len(ok), np.zeros(len(ok)), np.zeros(len(ok), bool)
                 else:
-                    which, score = model.predict(letter_features(s))
+                    which, score, evidence = model.predict(letter_features(s))
                     names = [model.languages[k] if u else UNKNOWN for k, u in zip(which.tolist(), ok.tolist(), strict=True)]
-                    score = np.where(ok, score, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(s.lo, s.hi - s.lo), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+                    score, known = np.where(ok, score, 0.0), ok.astype(bool) & ((evidence >= model.least) | (np.diff(s.offsets) < SHORT))
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(s.lo, s.hi - s.lo), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.bool_())], ["row", "lang_pred", "score", "learned"])
     return run
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, keep: list[str], text: str = "text") -> DataFrame:
-    """``row`` (a struct of the columns ``keep``), ``lang_pred`` and ``score`` of every row's whole text.
+    """``row`` (a struct of the columns ``keep``), ``lang_pred``, ``score`` and ``learned`` (there is
+    evidence enough for a learned language) of every row's whole text.
 
     A null text, one without letters, or any text if nothing could be learned
-    gives ("und", 0).  Ties go to the first language in alphabetical order.
+    gives ("und", 0, false).  Ties go to the first language in alphabetical order.
     Columns that are not asked for are not read.
     """
     t = F.col(text).cast("string")
     rows = small_batches(docs).select(t.alias("text"), F.coalesce(F.regexp_like(t, F.lit(r"\p{L}")), F.lit(False)).alias("usable"), whole(keep))
-    return rows.mapInArrow(_predict(model), schema(rows.schema["row"], "lang_pred string, score double"))
+    return rows.mapInArrow(_predict(model), schema(rows.schema["row"], "lang_pred string, score double, learned boolean"))
 
 
 def held_out(doc_id: str, of: int, which: int) -> Column:
