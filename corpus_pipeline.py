@@ -18,15 +18,12 @@ from verdant.llm import decontaminate, hyperminhash, language_id, mixing, substr
 from verdant.llm.sampling import remainder
 from verdant.llm.shared import sieved, stage, whole
 
-#: Documents whose language is less certain than this are rejected.
-LEAST_SCORE = 0.1
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a recognised language."""
+    """Keeps documents with evidence enough for a language of the model."""
     model = language_id.fit(docs, remainder("doc_id", 4) != 2)
     told = language_id.identify(docs, model, docs.columns)
-    return told.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return told.where("learned").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The pipeline's stages, one after another, against plain Python."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -59,3 +60,14 @@ def test_empty_table(spark):
     for _, step in corpus_pipeline.STAGES:
         docs = step(spark, docs, SMALL)
     assert docs.count() == 0
+
+
+def test_texts_in_no_learned_language(spark):
+    rng = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = ["".join(rng.choice("бвгджзклмнпрст" if i % 2 else "bcdfghjklmnpqrstvwxz") for _ in range(1200)) for i in range(20)]
+    noise += ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)) for _ in range(10)]
+    extra = spark.createDataFrame([(10**6 + 4 * i + 2, t, None, "src1", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), "").select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**6]
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
