@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdant.llm import decontaminate, hyperminhash, language_id, licenses, mixing, pivot_dedup, quality, substring, suffix_family, toxicity
+from verdant.llm import code_compression, decontaminate, hyperminhash, language_id, licenses, mixing, pivot_dedup, prefix_trie, quality, substring, suffix_family, toxicity, voronoi_topk
 from verdant.llm.sampling import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,63 @@ FROM (SELECT id, min(c) AS c FROM reach GROUP BY 1) LEFT JOIN n ON n.u = id
 """)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+_WHOLE = """SELECT {columns}, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def _compression_sql() -> str:
+    """Explicit distances of every part to every entry, three times."""
+    assign = """{a} AS (
+  SELECT vec_id, p, v, arg_min(j, (d, j)) AS j, min(d) AS d
+  FROM (SELECT s.vec_id, s.p, s.v, b.j, list_sum(list_transform(list_zip(s.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM part s JOIN {b} b USING (p))
+  GROUP BY vec_id, p, v)"""
+    update = """{b} AS (
+  SELECT p, j, coalesce(n.v, o.v) AS v FROM {o} o LEFT JOIN (
+    SELECT p, j, list((s - ((s % c) + c) % c) // c ORDER BY k) AS v
+    FROM (SELECT p, j, k, sum(x)::BIGINT AS s, count(*) AS c FROM (SELECT p, j, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM {a}) GROUP BY p, j, k)
+    GROUP BY p, j) n USING (p, j))"""
+    return ("WITH e AS (" + _WHOLE.format(columns="vec_id, label") + """),
+part AS (SELECT vec_id, p, q[p * (len(q) // 16) + 1:(p + 1) * (len(q) // 16)] AS v FROM e, range(16) r(p)),
+b0 AS (SELECT p, j, v FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM e) USING (vec_id) WHERE j < 64),
+""" + ",\n".join([assign.format(a="a0", b="b0"), update.format(b="b1", o="b0", a="a0"), assign.format(a="a1", b="b1"), update.format(b="b2", o="b1", a="a1"), assign.format(a="a2", b="b2")]) + """,
+code AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, j, k)) AS books FROM (SELECT p, j, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM b2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, books AS codebooks_sha256 FROM code JOIN e USING (vec_id), h""")
+
+
+@query("op11_vector_code_compression", _compression_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = code_compression.compress(read(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256, keep=["vec_id", "label"])
+    told = code_compression.with_group_errors(codes.rows.select("row.vec_id", "row.label", "code", "error"), "label")
+    return told.select("vec_id", "code", "error", "label_error", F.lit(codes.books_sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_conversation_prefix_trie", """
+WITH own AS (
+  SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+head AS (
+  SELECT conv_id, t, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::BIGINT, 1))::BIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, k: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h FROM own),
+conv AS (SELECT head.conv_id, list_concat(coalesce(base.t, [])[1:h], head.t[h + 1:]) AS t FROM head LEFT JOIN own base ON base.conv_id = head.base),
+place AS (SELECT conv_id, d, t[1:d] AS s, len(t) = d AS ends FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM conv)),
+node AS (SELECT s, d, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM place GROUP BY s, d),
+child AS (SELECT s[1:d - 1] AS s, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+own_sum AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(s[d][2]) END AS saved FROM node LEFT JOIN child USING (s)),
+total AS (SELECT s[1:k] AS s, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM own_sum) GROUP BY 1)
+SELECT x.conv_id, x.d::BIGINT AS depth, up.conv_id AS parent_conv_id, x.n AS n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM own_sum x JOIN total USING (s) LEFT JOIN node up ON x.d > 0 AND up.s = x.s[1:x.d - 1]
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+@query("op13_exact_topk_search", "WITH e AS (" + _WHOLE.format(columns="vec_id") + """),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
