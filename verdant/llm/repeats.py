@@ -148,13 +148,21 @@ def _ranges(column: pa.Array, i: int):
     return column.values, column.value_offsets[i].as_py(), column.value_offsets[i + 1].as_py()
 
 
-def _apply(kind, as_is: bool):
+def _texts(batch: pa.RecordBatch, inside: str | None) -> pa.Array:
+    """Texts of rows: the column ``text``, or the field ``inside`` of ``row`` where that carries them."""
+    column = batch.column("text") if inside is None else batch.column("row").field(inside)
+    return column.cast(pa.string()).cast(pa.binary())
+
+
+def _apply(kind, as_is: bool, inside: str | None):
     """(row, k1, k2, text, plain[(s, n)], mixed[(a, s, n)]) -> spans and kept
-    text; of a row with mixed anchors the text and their segments instead."""
+    text; of a row with mixed anchors their segments instead, and the text unless
+    ``row`` carries it.  A text that stays as it is and lies in ``row`` is not
+    written again: its ``kept`` is null."""
     def run(batches):
         for batch in batches:
-            texts = batch.column(3).cast(pa.binary())
-            plain, mixed = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            texts = _texts(batch, inside)
+            plain, mixed = batch.column("plain").to_pylist(), batch.column("mixed").to_pylist()
             size, spans, kept, text, segments = [], [], [], [], []
             for t, w, m in zip(texts, plain, mixed, strict=True):
                 raw = t.as_py() or b""
@@ -163,26 +171,29 @@ def _apply(kind, as_is: bool):
                 start = np.array([x["s"] for x in w or ()], np.int64)
                 found = merge(start, start + np.array([x["n"] for x in w or ()], np.int64) + kind.width - 1)
                 spans.append([{"start": a, "stop": b} for a, b in found])
-                text.append(raw if m else None)
+                text.append(raw if m and inside is None else None)
                 segments.append([{"a": x["a"], "s": x["s"], "segment": kind.join(symbols[x["s"]:x["s"] + x["n"] + kind.width - 1])} for x in m or ()])
-                kept.append(None if m else raw if as_is and not found else kind.join(without(symbols, found) if found else symbols))
+                same = as_is and not found
+                kept.append(None if m or same and inside else raw if same else kind.join(without(symbols, found) if found else symbols))
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary()),
+                batch.column("row"), batch.column("k1"), batch.column("k2"), pa.array(size, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary()),
                 pa.array(text, pa.binary()), pa.array(segments, pa.list_(_SEGMENT))], ["row", "k1", "k2", "size", "spans", "kept", "text", "segments"])
     return run
 
 
-def _finish(kind, as_is: bool):
+def _finish(kind, as_is: bool, inside: str | None):
     """(row, size, spans, text, more spans) -> (row, size, spans, kept)."""
     def run(batches):
         for batch in batches:
             spans, kept = [], []
-            for old, t, more in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), strict=True):
+            for old, t, more in zip(batch.column("spans").to_pylist(), _texts(batch, inside), batch.column("more").to_pylist(), strict=True):
                 every = [*old, *(more or ())]
                 found = merge(np.array([x["start"] for x in every], np.int64), np.array([x["stop"] for x in every], np.int64))
                 spans.append([{"start": a, "stop": b} for a, b in found])
-                kept.append(t.as_py() if as_is and not found else kind.join(without(kind.symbols(t.as_py()), found)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["row", "size", "spans", "kept"])
+                raw = t.as_py() or b""
+                same = as_is and not found
+                kept.append(None if same and inside else raw if same else kind.join(without(kind.symbols(raw), found)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("size"), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], ["row", "size", "spans", "kept"])
     return run
 
 
@@ -220,9 +231,11 @@ def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: s
     """Rows (row, size, spans, kept): a struct of the columns ``keep``, the number
     of symbols of the text, the merged ranges of those covered by a window that
     also starts elsewhere, and what is left (with ``as_is``, the text itself where
-    nothing is removed)."""
+    nothing is removed).  Where ``keep`` names the text, it travels in ``row`` alone."""
     rows = small_batches(docs).select(whole(keep), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("id"), F.col(doc_id).cast("string")).alias("k2"), F.col(text).cast("string").alias("text"))
     row_type = T.StructField("row", rows.schema["row"].dataType)
+    inside = text if text in keep else None
+    own = ["text"] if inside is None else []
     places = stage(rows.select("k1", "k2", "text").mapInArrow(_anchor_rows(kind), "a long, g long, k1 long, k2 long, s int, n int"), "anchors")
     # written out, so that the join below is between two fresh exchanges and a hot anchor's rows are split
     twice = stage(places.groupBy("a").agg(F.count("*").alias("times"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("times > 1").select("a", (F.col("g0") != F.col("g1")).alias("mixed")), "twice")
@@ -230,8 +243,9 @@ def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: s
     flagged = told.groupBy("k1", "k2").agg(
         F.collect_set(F.when(~F.col("mixed"), F.struct("s", "n"))).alias("plain"), F.collect_set(F.when(F.col("mixed"), F.struct("a", "s", "n"))).alias("mixed"))
     flags = schema(row_type, f"k1 long, k2 long, size long, spans {SPANS}, kept binary, text binary, segments array<struct<a:long,s:int,segment:binary>>")
-    first = stage(rows.join(flagged, ["k1", "k2"], "left").select("row", "k1", "k2", "text", "plain", "mixed").mapInArrow(_apply(kind, as_is), flags), "first")
-    segments = first.where("text is not null").select("k1", "k2", F.explode("segments").alias("x")).select("k1", "k2", "x.*")
+    first = stage(rows.select("row", "k1", "k2", *own).join(flagged, ["k1", "k2"], "left").select("row", "k1", "k2", *own, "plain", "mixed").mapInArrow(_apply(kind, as_is, inside), flags), "first")
+    unsettled = F.size("segments") > 0
+    segments = first.where(unsettled).select("k1", "k2", F.explode("segments").alias("x")).select("k1", "k2", "x.*")
     segments = segments.withColumns({"x1": F.xxhash64("segment"), "x2": F.xxhash64(F.lit("segment"), F.col("segment"))})
     distinct = stage(segments.groupBy("a", "x1", "x2", "segment").agg(F.count("*").alias("weight")), "segments")
     crowds = distinct.groupBy("a").agg(F.count("*").alias("members")).where(F.col("members") > CROWD)
@@ -247,5 +261,6 @@ def remove_repeats(docs: DataFrame, kind, index: Callable, shard: int, doc_id: s
     spans = segments.select("a", "x1", "x2", "k1", "k2", "s").join(found, ["a", "x1", "x2"]).select(
         "k1", "k2", F.transform("runs", lambda r: F.struct((F.col("s") + r["lo"]).alias("start"), (F.col("s") + r["lo"] + r["n"] + (kind.width - 1)).alias("stop"))).alias("more"))
     spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_set("more")).alias("more"))
-    rest = first.where("text is not null").join(spans, ["k1", "k2"], "left").select("row", "size", "spans", "text", "more").mapInArrow(_finish(kind, as_is), schema(row_type, f"size long, spans {SPANS}, kept binary"))
-    return first.where("text is null").select("row", "size", "spans", "kept").unionByName(rest)
+    rest = first.where(unsettled).join(spans, ["k1", "k2"], "left").select("row", "size", "spans", *own, "more").mapInArrow(_finish(kind, as_is, inside), schema(row_type, f"size long, spans {SPANS}, kept binary"))
+    told = first.where(~unsettled).select("row", "size", "spans", "kept").unionByName(rest)
+    return told if inside is None else told.withColumn("kept", F.coalesce("kept", F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")).cast("binary")))
