@@ -1,4 +1,4 @@
-"""Series statistics and decompositions.
+"""Series statistics and decompositions.
 
 All per-series work runs on the series partitioning; the daily table
 bounds a series by its number of days.
@@ -6,8 +6,6 @@ bounds a series by its number of days.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,56 +160,3 @@ def change_points(df: DataFrame, col: str, min_size: int = 10, threshold: float
     is_cp = (F.col("__score") > threshold) & (F.col("__score") >= F.max("__score").over(around))
     return d.select(key, ts, F.col("__score").alias(f"{col}_change_score"),
                     S.flag(is_cp).alias(f"{col}_change_point"))
-
-
-# ----------------------------------------------------------------- W18 --
-
-def _iforest_scores(values: np.ndarray, n_trees: int = 100, sample: int = 256, seed: int = 42) -> np.ndarray:
-    """Isolation-forest anomaly scores (Liu, Ting, Zhou 2008) for one feature."""
-    rng = np.random.default_rng(seed)
-    n = len(values)
-    psi = min(sample, n)
-    limit = int(np.ceil(np.log2(max(psi, 2))))
-
-    def c(m):
-        return 0.0 if m <= 1 else 2.0 * (np.log(m - 1) + 0.5772156649) - 2.0 * (m - 1) / m
-
-    depth = np.zeros(n)
-    for _ in range(n_trees):
-        sub = values[rng.choice(n, psi, replace=False)]
-        # iterative build: nodes as (subset, lo, hi, depth); route all points
-        idx_nodes = [(np.arange(n), sub, 0)]
-        while idx_nodes:
-            pts, s, dep = idx_nodes.pop()
-            if dep >= limit or len(s) <= 1 or s.min() == s.max():
-                depth[pts] += dep + c(len(s))
-                continue
-            split = rng.uniform(s.min(), s.max())
-            lm = values[pts] < split
-            idx_nodes.append((pts[lm], s[s < split], dep + 1))
-            idx_nodes.append((pts[~lm], s[s >= split], dep + 1))
-    return 2.0 ** (-(depth / n_trees) / c(psi))
-
-
-def isolation_anomalies(df: DataFrame, cols, contamination: float = 0.1, *, key=KEY, ts=TS) -> DataFrame:
-    """W18 per series and column: isolation-forest flag for the
-    ``contamination`` share of most isolated values; series with fewer than
-    10 values get 0.  Runs as ``applyInPandas`` per series (a series holds
-    one row per day)."""
-    cols = [c for c in cols if c in df.columns]
-    schema = f"{key} string, {ts} date, " + ", ".join(f"{c}_anomaly int" for c in cols)
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({key: pdf[key], ts: pdf[ts]})
-        for c in cols:
-            v = pdf[c].to_numpy(dtype=float)
-            ok = ~np.isnan(v)
-            flag = np.zeros(len(v), dtype=int)
-            if ok.sum() >= 10:
-                s = _iforest_scores(v[ok])
-                cut = np.quantile(s, 1 - contamination)
-                flag[np.where(ok)[0]] = (s > cut).astype(int)
-            out[f"{c}_anomaly"] = flag
-        return out
-
-    return df.select(key, ts, *cols).groupBy(key).applyInPandas(score, schema)

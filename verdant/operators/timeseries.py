@@ -268,8 +268,9 @@ def detect_anomalies(df: DataFrame, cols, method: str = "iqr", threshold: float
     elif method == "zscore":
         df = anomaly_zscore(df, cols, threshold, key=key)
     elif method == "isolation":
-        from verdant.operators.stats import isolation_anomalies
-        df = df.join(isolation_anomalies(df, cols, key=key, ts=ts), [key, ts], "left")
+        from verdant.operators.isolation import isolation_anomalies
+        df = isolation_anomalies(df, cols, key=key, ts=ts)
+        df = df.drop(*[f"{c}_isolation{x}" for c in cols for x in ("", "_status")])
     else:
         raise ValueError(method)
     df = anomaly_rolling(df, cols, key=key, ts=ts)

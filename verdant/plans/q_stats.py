@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions import semantics as S
 from verdant.operators import features as FE
+from verdant.operators import isolation as IS
 from verdant.operators import stats as ST
 from verdant.operators import timeseries as TSO
 from verdant.plans import sqlgen as Q
@@ -122,7 +123,7 @@ def q_change_points(spark, sf):
 @query("anomaly_isolation", None)
 def q_anomaly_isolation(spark, sf):
     d = FX.daily_gaps(spark, sf).select("series_id", "date", "NDVI", "T2M_MAX")
-    return ST.isolation_anomalies(d, ["NDVI", "T2M_MAX"])
+    return out(IS.isolation_anomalies(d, ["NDVI", "T2M_MAX"]).drop("NDVI", "T2M_MAX"))
 
 
 # J2 / J5 -------------------------------------------------------------------
