@@ -8,13 +8,15 @@ metrics (a handful of numbers per fit).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (MinMaxScaler, RobustScaler, StandardScaler, UnivariateFeatureSelector,
-                                VectorAssembler)
+                                VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -201,19 +203,47 @@ def random_forest(task: str = "classification", seed: int = 42, **params):
 
 
 def boosted_trees(task: str = "classification", seed: int = 42, **params):
-    """M3 boosted trees; multi-class as one-vs-rest (GBT is binary in Spark).
-    Regression stops early on the rows marked ``is_validation``; the one-vs-rest
-    wrapper hands no such column on, so classification runs all iterations."""
+    """M3 boosted trees, which stop early on the rows marked ``is_validation``:
+    one regressor, or for classes the binary estimator that ``fit_classes`` fits
+    for each class."""
     p = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
          **params}
-    if task == "classification":
-        return OneVsRest(classifier=GBTClassifier(labelCol="label", seed=seed, **p), featuresCol="scaled",
-                         labelCol="label")
-    return GBTRegressor(featuresCol="scaled", labelCol="label", seed=seed, validationIndicatorCol="is_validation", **p)
+    cls = GBTClassifier if task == "classification" else GBTRegressor
+    return cls(featuresCol="scaled", labelCol="label", seed=seed, validationIndicatorCol="is_validation", **p)
+
+
+#: Fits that run at the same time.
+WORKERS = 3
+
+
+def at_once(jobs: list, workers: int = WORKERS) -> list:
+    """Results of functions run by a bounded pool of threads, in order."""
+    with ThreadPoolExecutor(workers) as pool:
+        return list(pool.map(inheritable_thread_target(lambda f: f()), jobs))
+
+
+def fit_classes(train: DataFrame, estimator: GBTClassifier, workers: int = WORKERS) -> OneVsRestModel:
+    """M3 one boosted model for each class, fitted on its own with the validation
+    rows, so that each class stops by itself; joined as one model whose raw scores
+    ``predict`` turns into probabilities by a softmax."""
+    labels = sorted(r[0] for r in train.select("label").distinct().collect())
+    classes = int(labels[-1]) + 1 if labels else 0
+
+    def one(c):
+        own = train.withColumn("label", (F.col("label") == c).cast("double"))
+        return lambda: estimator.copy().fit(own)
+
+    model = OneVsRestModel(at_once([one(c) for c in range(classes)], workers))
+    return model._set(featuresCol=estimator.getFeaturesCol(), labelCol="label", predictionCol="prediction", classifier=estimator)
+
+
+def fit_estimator(train: DataFrame, estimator):
+    return fit_classes(train, estimator) if isinstance(estimator, GBTClassifier) else estimator.fit(train)
 
 
 def fit_pipeline(train: DataFrame, features, estimator) -> PipelineModel:
-    return Pipeline(stages=[_assembler(features), scaler("standard", "features", "scaled"), estimator]).fit(train)
+    front = Pipeline(stages=[_assembler(features), scaler("standard", "features", "scaled")]).fit(train)
+    return PipelineModel([*front.stages, fit_estimator(front.transform(train), estimator)])
 
 
 def evaluate(model: PipelineModel, df: DataFrame, task: str = "classification") -> dict:
@@ -225,39 +255,69 @@ def evaluate(model: PipelineModel, df: DataFrame, task: str = "classification")
     return {"rmse": ev.setMetricName("rmse").evaluate(pred), "r2": ev.setMetricName("r2").evaluate(pred)}
 
 
-def cross_val_scores(train: DataFrame, features, make_estimator, folds: int = 5, task: str = "classification",
-                     seed: int = 42, *, key=KEY, ts=TS) -> list[float]:
-    """k-fold scores on the training rows."""
-    d = k_folds(train, folds, seed, key=key, ts=ts).withColumnRenamed("fold", "__fold")
-    scores = []
-    for k in range(folds):
-        m = fit_pipeline(d.where(F.col("__fold") != k), features, make_estimator())
-        r = evaluate(m, d.where(F.col("__fold") == k), task)
-        scores.append(r["accuracy"] if task == "classification" else -r["rmse"] ** 2)
-    return scores
+#: Labelled rows that models are fitted on, about: a hash of (key, date) chooses them.
+FIT_ROWS = 200_000
+_DRAWN = 1 << 30
+
+
+def some_rows(df: DataFrame, rows: int, *, key=KEY, ts=TS) -> DataFrame:
+    """All rows if there are no more than ``rows``, else about so many, chosen by a hash of (key, date)."""
+    n = df.count()
+    draw = F.conv(F.substring(_draw(7, key, ts), 1, 8), 16, 10).cast("bigint") % _DRAWN
+    return df if n <= rows else df.where(draw < int(rows / n * _DRAWN))
+
+
+def assembled(table: DataFrame, fit_on, fit_rows: int = FIT_ROWS, *, key=KEY, ts=TS) -> tuple[DataFrame, list]:
+    """The features of ``table`` as one scaled vector (column ``scaled``), written
+    once for every fit that follows, with key, date, label and the columns
+    ``is_train``, ``block``, ``fold``, ``is_validation`` that it has; and the fitted
+    front of the pipeline.  The scaler sees the rows where ``fit_on`` holds."""
+    told = [c for c in ("is_train", "block", "fold", "is_validation") if c in table.columns]
+    feats = [c for c in feature_columns(table, key, ts) if c not in told]
+    joined = _assembler(feats)
+    rows = cut_lineage(joined.transform(table).select(key, ts, "label", *told, "features"))
+    front = scaler("standard", "features", "scaled").fit(some_rows(rows.where(fit_on), fit_rows, key=key, ts=ts))
+    return front.transform(rows).drop("features"), [joined, front]
+
+
+def cross_val_scores(train: DataFrame, make_estimator, folds: int = 5, task: str = "classification",
+                     workers: int = WORKERS) -> list[float]:
+    """Scores of ``fold`` 0..folds-1 of assembled training rows, fitted on the others; a few at once."""
+    def one(k):
+        def score():
+            model = fit_estimator(train.where(F.col("fold") != k), make_estimator())
+            r = evaluate(model, train.where(F.col("fold") == k), task)
+            return r["accuracy"] if task == "classification" else -r["rmse"] ** 2
+        return score
+    return at_once([one(k) for k in range(folds)], workers)
 
 
 def train(table: DataFrame, model: str = "random_forest", task: str = "classification", test_size: float = 0.2,
-          cv_folds: int = 0, *, key=KEY, ts=TS):
-    """M2 / M3 temporal split, scaled pipeline fit, train / test metrics,
-    optional k-fold CV, importances.  Returns (PipelineModel, metrics dict,
-    test predictions DataFrame)."""
-    feats = feature_columns(table, key, ts)
-    # the feature table is read by every fit and evaluation: materialise it
-    # once (reliable checkpoint in the shared folder) instead of recomputing
-    # its window pipeline for each pass
+          cv_folds: int = 0, fit_rows: int = FIT_ROWS, *, key=KEY, ts=TS, **params):
+    """M2 / M3 temporal split, scaled fit, train / test metrics, optional k-fold
+    CV.  Features are assembled and written once; about ``fit_rows`` training
+    rows are fitted on and held in memory, and every test row is scored.  Returns
+    (PipelineModel, metrics dict, test predictions DataFrame)."""
     split = k_folds(temporal_split(table, test_size, key=key, ts=ts), 10, key=key, ts=ts)
-    split = cut_lineage(split.withColumn("is_validation", F.col("fold") == 0).drop("fold"))
-    tr, te = split.where("is_train"), split.where(~F.col("is_train"))
-    make = (lambda: random_forest(task)) if model == "random_forest" else (lambda: boosted_trees(task))
-    pm = fit_pipeline(tr, feats, make())
-    metrics = {f"train_{k}": v for k, v in evaluate(pm, tr, task).items()}
-    metrics.update({f"test_{k}": v for k, v in evaluate(pm, te, task).items()})
+    split = split.withColumn("is_validation", F.col("fold") == 0)
     if cv_folds:
-        sc = cross_val_scores(tr, feats, make, cv_folds, task)
-        mean = sum(sc) / len(sc)
-        metrics.update({"cv_mean": mean, "cv_std": (sum((s - mean) ** 2 for s in sc) / len(sc)) ** 0.5})
-    return pm, metrics, pm.transform(te)
+        split = k_folds(split.drop("fold"), cv_folds, key=key, ts=ts)
+    rows, front = assembled(split, "is_train", fit_rows, key=key, ts=ts)
+    tr, te = some_rows(rows.where("is_train"), fit_rows, key=key, ts=ts), rows.where("not is_train")
+    # spread over the cores, however few files the rows lie in; recomputed from the written rows if lost
+    tr = tr.repartition(tr.sparkSession.sparkContext.defaultParallelism, key, ts).persist()
+    make = (lambda: random_forest(task, **params)) if model == "random_forest" else (lambda: boosted_trees(task, **params))
+    try:
+        fitted = fit_estimator(tr, make())
+        metrics = {f"train_{k}": v for k, v in evaluate(fitted, tr, task).items()}
+        metrics.update({f"test_{k}": v for k, v in evaluate(fitted, te, task).items()})
+        if cv_folds:
+            sc = cross_val_scores(tr, make, cv_folds, task)
+            mean = sum(sc) / len(sc)
+            metrics.update({"cv_mean": mean, "cv_std": (sum((s - mean) ** 2 for s in sc) / len(sc)) ** 0.5})
+    finally:
+        tr.unpersist()
+    return PipelineModel([*front, fitted]), metrics, fitted.transform(te)
 
 
 def feature_importance(pm: PipelineModel, features, spark) -> DataFrame:
@@ -312,28 +372,56 @@ GBT_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 6, 9], "stepSize": [0.01,
             "subsamplingRate": [0.8, 0.9, 1.0]}
 
 
+#: Labelled rows that a search fits on, about.
+TUNE_ROWS = 2_000
+
+
 def tune(table: DataFrame, model: str = "random_forest", task: str = "classification", grid: dict | None = None,
-         n_splits: int = 3, *, key=KEY, ts=TS):
-    """M4 grid search with forward-chaining folds (train on the past,
-    validate on the next block); returns (best params, best mean score,
-    all scores).  Spark's ``CrossValidator.foldCol`` would train on future
-    blocks, so the folds are explicit.  ``maxDepth`` None of the reference
-    maps to 30 (Spark's limit)."""
+         n_splits: int = 3, fit_rows: int = TUNE_ROWS, workers: int = WORKERS, *, key=KEY, ts=TS):
+    """M4 grid search with forward-chaining folds (train on the past, validate on
+    the next block); returns (best params, best mean score, all scores: accuracy,
+    or minus the squared error).  Spark's ``CrossValidator.foldCol`` would train
+    on future blocks, so the folds are explicit.  ``maxDepth`` None of the
+    reference maps to 30 (Spark's limit).
+
+    A fit with the most trees holds those with fewer (its first trees), and a
+    forest's deepest trees hold the shallower ones, so one fit serves all such
+    combinations (``SubModels``): 9 fits for the 36 of the forest grid, 81 for
+    each class of the boosted one.  Fits and validation run on about ``fit_rows``
+    rows, assembled once, ``workers`` fits at a time.  (A depth is exact unless a
+    level outgrows ``maxMemoryInMB``; then the trees are others of the same kind.)"""
+    from verdant.operators.submodels import SubModels
+
     grid = grid or (RF_GRID if model == "random_forest" else GBT_GRID)
-    feats = feature_columns(table, key, ts)
-    d = cut_lineage(forward_folds(table, n_splits, key=key, ts=ts))
-    keys = list(grid)
+    forest = model == "random_forest"
+    d = some_rows(forward_folds(table, n_splits, key=key, ts=ts), fit_rows, key=key, ts=ts)
+    rows, _ = assembled(d, F.lit(True), fit_rows, key=key, ts=ts)
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, key, ts).persist()
+    count, nested = ("numTrees", {"numTrees", "maxDepth"}) if forest else ("maxIter", {"maxIter"})
+    others = [k for k in grid if k not in nested]
+    make = random_forest if forest else boosted_trees
+    groups = [dict(zip(others, x)) for x in product(*[grid[k] for k in others])]
+    most = {k: max(grid[k]) for k in nested if k in grid}
+
+    def one(params, i):
+        past = rows.where(F.col("block") <= i)
+        # boosting has no early stop here: all iterations are wanted
+        est = make(task, **params, **most)
+        if not forest:
+            est.clear(est.validationIndicatorCol)
+        depths = grid.get("maxDepth", [None]) if forest else [None]
+        return lambda: SubModels(fit_estimator(past, est), rows.where(F.col("block") == i + 1), grid.get(count, [None]), depths, not forest, task).scores()
+
+    try:
+        told = at_once([one(p, i) for p in groups for i in range(n_splits)], workers)
+    finally:
+        rows.unpersist()
     results = []
-    for combo in product(*[grid[k] for k in keys]):
-        params = dict(zip(keys, combo))
-        make = (lambda p=params: random_forest(task, **p)) if model == "random_forest" else \
-            (lambda p=params: boosted_trees(task, **p))
-        scores = []
-        for i in range(n_splits):
-            pm = fit_pipeline(d.where(F.col("block") <= i), feats, make())
-            r = evaluate(pm, d.where(F.col("block") == i + 1), task)
-            scores.append(r["accuracy"] if task == "classification" else -r["rmse"] ** 2)
-        results.append((params, sum(scores) / len(scores)))
+    for g, params in enumerate(groups):
+        folds = told[g * n_splits:(g + 1) * n_splits]
+        for n, depth in folds[0]:
+            own = {**params, **({count: n} if n is not None else {}), **({"maxDepth": depth} if depth is not None else {})}
+            results.append(({k: own[k] for k in grid}, sum(f[n, depth] for f in folds) / n_splits))
     best = max(results, key=lambda t: t[1])
     return best[0], best[1], results
 
@@ -432,15 +520,25 @@ def select_correlation(df: DataFrame, cols, k: int = 50, threshold: float = 0.95
     return keep.orderBy(F.desc_nulls_last("f_score"), "feature").limit(k).select("feature")
 
 
-def select_rfe(df: DataFrame, cols, k: int = 50, label: str = "label", step_trees: int = 50) -> list[str]:
-    """M7 recursive elimination: fit a forest, drop the least important
-    feature, refit, until ``k`` remain."""
-    keep = list(cols)
-    df = cut_lineage(df.select(*keep, label))
+#: Labelled rows that the elimination fits on, about.
+RFE_ROWS = 20_000
+
+
+def select_rfe(df: DataFrame, cols, k: int = 50, label: str = "label", step_trees: int = 50, step: float = 0.0, fit_rows: int = RFE_ROWS,
+               *, key=KEY, ts=TS) -> list[str]:
+    """M7 recursive elimination: fit a forest, drop the least important features
+    (one, or the share ``step`` of those left; ties: the later one goes), refit,
+    until ``k`` remain.  Features are assembled once; a slice of the vector feeds each refit."""
+    cols = list(cols)
+    rows = some_rows(df, fit_rows, key=key, ts=ts)
+    rows = cut_lineage(_assembler(cols).transform(rows).select("features", F.col(label).alias("label")))
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist()
+    keep = list(range(len(cols)))
     while len(keep) > k:
-        pm = Pipeline(stages=[_assembler(keep), RandomForestClassifier(featuresCol="features", labelCol=label,
-                                                                       numTrees=step_trees, seed=42)]).fit(df)
-        imp = pm.stages[-1].featureImportances.toArray()
-        worst = min(range(len(keep)), key=lambda i: (imp[i], -i))
-        keep.pop(worst)
-    return keep
+        cut = VectorSlicer(inputCol="features", outputCol="kept", indices=keep).transform(rows)
+        model = RandomForestClassifier(featuresCol="kept", labelCol="label", numTrees=step_trees, seed=42, maxMemoryInMB=512).fit(cut)
+        imp = model.featureImportances.toArray()
+        gone = sorted(range(len(keep)), key=lambda i: (imp[i], -i))[:min(len(keep) - k, max(1, int(len(keep) * step)))]
+        keep = [c for i, c in enumerate(keep) if i not in set(gone)]
+    rows.unpersist()
+    return [cols[i] for i in keep]

@@ -11,11 +11,11 @@ from verdant.functions import semantics as S
 from verdant.operators import features as FE
 from verdant.operators import models as ML
 from verdant.operators import timeseries as TSO
+from verdant.operators.model_registry import ModelRegistry
 from verdant.plans import sqlgen as Q
 from verdant.plans.q_features import _clim_sql
 from verdant.plans.q_timeseries import DAILY, GAPS, out
 from verdant.plans.registry import query
-from verdant.session import output_path
 from verdant.sources import fixtures as FX
 
 # Model input for the registered queries: all candidate columns.  The balance is
@@ -208,47 +208,43 @@ def q_scale(spark, sf):
 
 # --------------------------------------------------- fitted models (rows) --
 
-def _metrics_df(spark, metrics: dict):
-    return spark.createDataFrame([(k, float(v)) for k, v in metrics.items()], "metric string, value double")
-
-
-_FITS: dict = {}
-
-
-def _fit(spark, sf, model="random_forest", cv=0, task="classification"):
-    """A model fitted once per Spark application and input."""
-    k = (spark.sparkContext.applicationId, sf, model, cv, task)
-    if k not in _FITS:
+def _registered(spark, sf, model="random_forest", cv=0, task="classification"):
+    """The registry, and the address of a model of this input: fitted by whoever asks first."""
+    def fit():
         table = model_table(spark, sf)
         if task == "regression":     # tomorrow's balance, without today's label
             w = S.ordered("series_id", "date")
             table = table.withColumn("label", F.lead("water_balance_daily").over(w)).where(F.col("label").isNotNull())
-        _FITS[k] = ML.train(table, model, task, cv_folds=cv)
-    return _FITS[k]
+        return ML.train(table, model, task, cv_folds=cv)[:2]
+
+    registry = ModelRegistry(spark)
+    params = {"task": task, "cv_folds": cv, "fit_rows": ML.FIT_ROWS, "test_size": 0.2}
+    return registry, registry.get(f"{model}-{task}", [FX.table(spark, sf, "lineitem")], params, fit)
+
+
+def _metrics(spark, sf, *args):
+    registry, at = _registered(spark, sf, *args)
+    return registry.metrics(at)
 
 
 @query("train_rf", None)
 def q_train_rf(spark, sf):
-    _, m, _ = _fit(spark, sf, "random_forest", 5)
-    return _metrics_df(spark, m)
+    return _metrics(spark, sf, "random_forest", 5)
 
 
 @query("train_gbt", None)
 def q_train_gbt(spark, sf):
-    _, m, _ = _fit(spark, sf, "boosted")
-    return _metrics_df(spark, m)
+    return _metrics(spark, sf, "boosted")
 
 
 @query("train_rf_regression", None)
 def q_train_rf_regression(spark, sf):
-    _, m, _ = _fit(spark, sf, "random_forest", 0, "regression")
-    return _metrics_df(spark, m)
+    return _metrics(spark, sf, "random_forest", 0, "regression")
 
 
 @query("train_gbt_regression", None)
 def q_train_gbt_regression(spark, sf):
-    _, m, _ = _fit(spark, sf, "boosted", 0, "regression")
-    return _metrics_df(spark, m)
+    return _metrics(spark, sf, "boosted", 0, "regression")
 
 
 # A23 on a prediction that both engines can make: yesterday's class.
@@ -287,7 +283,8 @@ def q_importance_rank(spark, sf):
 
 @query("model_importance", None)
 def q_model_importance(spark, sf):
-    pm, _, _ = _fit(spark, sf, "random_forest", 5)
+    registry, at = _registered(spark, sf)
+    pm = registry.load(at)
     return ML.rank_importance(ML.feature_importance(pm, pm.stages[0].getInputCols(), spark))
 
 
@@ -314,33 +311,31 @@ def q_stratified_split(spark, sf):
 
 @query("score", None)
 def q_score(spark, sf):
-    pm, _, _ = _fit(spark, sf, "random_forest", 5)
-    p = ML.predict(pm, model_table(spark, sf))   # scores every row of the full feature table
+    """Every row of the feature table, by the registered forest."""
+    registry, at = _registered(spark, sf)
+    p = ML.predict(registry.load(at), model_table(spark, sf))
     return p.select("series_id", "date", "prediction", "confidence")
 
 
 @query("model_store", None)
 def q_model_store(spark, sf):
-    pm, _, _ = _fit(spark, sf, "random_forest", 5)
-    path = output_path(spark, "random_forest")
-    ML.save_model(pm, path)
-    back = ML.load_model(path)
-    return ML.predict(back, model_table(spark, sf)).select("series_id", "date", "prediction")
-
-
-# Compact grid for the registered run (2 x 2 combos x 3 forward folds);
-# the reference grid (ML.RF_GRID, 36 combos) is the operator default.
-TUNE_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10]}
+    """What the registry lists of this input's forest, and what the loaded model is made of."""
+    registry, at = _registered(spark, sf)
+    pm = registry.load(at)
+    listed = registry.index().where(F.col("address") == at)
+    return listed.select("name", "params", F.lit(len(pm.stages)).alias("stages"), F.lit(len(pm.stages[0].getInputCols())).alias("features"), F.lit(pm.stages[-1].getNumTrees).alias("trees"))
 
 
 @query("tune", None)
 def q_tune(spark, sf):
-    best, score, results = ML.tune(model_table(spark, sf), "random_forest", grid=TUNE_GRID)
+    """The whole forest grid, three forward folds."""
+    best, score, results = ML.tune(model_table(spark, sf), "random_forest")
     rows = [(str(sorted(p.items())), float(s), p == best) for p, s in results]
     return spark.createDataFrame(rows, "params string, mean_accuracy double, best boolean")
 
 
 @query("select_rfe", None)
 def q_select_rfe(spark, sf):
-    keep = ML.select_rfe(_labelled(spark, sf), _SEL, k=5)
+    t = model_table(spark, sf)
+    keep = ML.select_rfe(t, ML.feature_columns(t), k=50, step=0.3)
     return spark.createDataFrame([(c,) for c in keep], "feature string")
