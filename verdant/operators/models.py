@@ -26,6 +26,7 @@ from verdant.functions import calendar as CAL
 from verdant.functions import semantics as S
 from verdant.functions.semantics import KEY, TS
 from verdant.operators import features as FE
+from verdant.operators.comoments import pair_correlations
 from verdant.session import cut_lineage
 
 # Fixed values of the reference: candidate model inputs, in order.
@@ -334,12 +335,13 @@ def feature_importance(pm: PipelineModel, features, spark) -> DataFrame:
 
 
 def rank_importance(importances: DataFrame) -> DataFrame:
-    """T4 shares of the total importance and ranks (ties by name).  The table has
-    a row per feature, so its window is as small as the list of columns."""
+    """T4 shares of the total importance and ranks; shares that agree to nine
+    decimals are tied, ties go by name.  The table has a row per feature, so its
+    window is as small as the list of columns."""
     w = S.Window.partitionBy(F.lit(0))
     total = F.sum("importance").over(w)
     return importances.select("feature", F.try_divide(F.col("importance"), total).alias("importance"),
-                              F.row_number().over(w.orderBy(F.desc_nulls_last("importance"), "feature")).alias("rank"))
+                              F.row_number().over(w.orderBy(F.desc_nulls_last(S.rnd(F.try_divide(F.col("importance"), total), 9)), "feature")).alias("rank"))
 
 
 # -------------------------------------------------------------- A23 --
@@ -457,16 +459,11 @@ def load_model(path: str) -> PipelineModel:
 
 def correlation_pairs(df: DataFrame, cols, threshold: float = 0.95) -> DataFrame:
     """A22 |Pearson r| for every column pair (rows with both values), flagging
-    pairs above ``threshold``.  A row spreads into its pairs, which are combined
-    before the shuffle: one ``corr`` expression however many columns."""
+    pairs above ``threshold``; from co-moment blocks, one for each task."""
     cols = list(cols)
     names = F.array(*[F.lit(c) for c in cols])
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(cols) - 2)), lambda i: F.transform(
-        F.sequence(i + 1, F.lit(len(cols) - 1)),
-        lambda j: F.struct(i.alias("i"), j.alias("j"), F.get("v", i).alias("x"), F.get("v", j).alias("y")))))
-    rows = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v")).select(F.explode(pairs).alias("p")).select("p.*")
-    g = rows.groupBy("i", "j").agg(F.abs(F.corr("x", "y")).alias("r"))
-    return g.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "r").withColumn("high", F.col("r") > threshold)
+    pairs = pair_correlations(df, cols).where("i < j")
+    return pairs.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), F.abs("r").alias("r")).withColumn("high", F.col("r") > threshold)
 
 
 def anova_f(df: DataFrame, cols, label: str = "label") -> DataFrame:
@@ -495,9 +492,10 @@ def regression_f(df: DataFrame, cols, target: str) -> DataFrame:
 
 
 def select_univariate(df: DataFrame, cols, k: int = 50, label: str = "label", task: str = "classification") -> DataFrame:
-    """M6 the ``k`` features with the largest F statistic (ties by name)."""
+    """M6 the ``k`` features with the largest F statistic.  Statistics that agree to
+    four decimals are tied; ties go by name."""
     scores = anova_f(df, cols, label) if task == "classification" else regression_f(df, cols, label)
-    return scores.orderBy(F.desc_nulls_last("f_score"), "feature").limit(min(k, len(cols)))
+    return scores.orderBy(F.desc_nulls_last(S.rnd("f_score", 4)), "feature").limit(min(k, len(cols)))
 
 
 def select_univariate_ml(df: DataFrame, cols, k: int = 50, label: str = "label"):
@@ -512,12 +510,12 @@ def select_univariate_ml(df: DataFrame, cols, k: int = 50, label: str = "label")
 
 def select_correlation(df: DataFrame, cols, k: int = 50, threshold: float = 0.95, label: str = "label") -> DataFrame:
     """M8 drop every later column of a pair with |r| > threshold, then keep
-    the top ``k`` by F statistic if more remain.  Rows ``feature``; a lazy plan
-    over a table of column names."""
+    the top ``k`` by F statistic if more remain (tied to four decimals: by name).
+    Rows ``feature``."""
     scores = anova_f(df, cols, label)
     drop = correlation_pairs(df, cols, threshold).where("high").select(F.col("b").alias("feature")).distinct()
     keep = scores.join(drop, "feature", "left_anti")
-    return keep.orderBy(F.desc_nulls_last("f_score"), "feature").limit(k).select("feature")
+    return keep.orderBy(F.desc_nulls_last(S.rnd("f_score", 4)), "feature").limit(k).select("feature")
 
 
 #: Labelled rows that the elimination fits on, about.

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions import semantics as S
 from verdant.functions.semantics import KEY, TS
+from verdant.operators.comoments import pair_correlations
 
 SAT_REQUIRED = ["NDVI", "NDWI_Gao", "date"]
 SAT_OUTLIER_COLS = ["NDVI", "NDWI_Gao", "EVI", "SAVI"]
@@ -141,44 +142,45 @@ def validate_weather(df: DataFrame, *, key=KEY, ts=TS) -> DataFrame:
     return g.withColumn("is_valid", F.size("errors") == 0).drop("n")
 
 
-def validate_model_inputs(df: DataFrame, features, label: str, *, key=KEY) -> DataFrame:
-    """Q3 per series: missing share of the feature matrix, constant target,
-    count of |r| > .95 feature pairs (ordered pairs, as a full matrix
-    count minus its diagonal).  Pairwise correlations are one aggregate each
-    in the same pass."""
+def validate_model_inputs(df: DataFrame, features, label: str, target: DataFrame | None = None, *, key=KEY) -> DataFrame:
+    """Q3 per series: infinite values and missing share of the feature matrix,
+    constant target, and the count of |r| > .95 feature pairs (ordered pairs, as a
+    full matrix count minus its diagonal; a constant column does not correlate with
+    itself either).  With ``target``, a frame of (key, label) of its own, the label
+    is taken from there: other numbers of rows are an error, and so is a series
+    without any feature row.  An empty frame gives no rows."""
     feats = list(features)
-    pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
-    aggs = [F.count("*").alias("n"),
-            reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in feats]).alias("n_null"),
-            F.avg(label).alias("target_mean"), F.stddev_samp(label).alias("target_std"),
-            F.min(label).alias("target_min"), F.max(label).alias("target_max"),
-            F.count_distinct(label).alias("target_unique"),
-            F.count_if(F.col(label).isNull()).alias("target_null")]
-    aggs += [F.corr(a, b).alias(f"__r{i}") for i, (a, b) in enumerate(pairs)]
-    aggs += [F.stddev_samp(c).alias(f"__sd{i}") for i, c in enumerate(feats)]
-    g = df.groupBy(key).agg(*aggs)
-    # full matrix count minus its diagonal; a constant column has a NaN
-    # self-correlation, which the reference does not count either
-    high = reduce(lambda a, b: a + b,
-                  [F.when(F.abs(F.col(f"__r{i}")) > 0.95, 2).otherwise(0) for i in range(len(pairs))]
-                  + [F.when(F.col(f"__sd{i}") > 0, 1).otherwise(0) for i in range(len(feats))], F.lit(-len(feats)))
-    g = g.withColumn("highly_correlated_pairs", high).drop(
-        *[f"__r{i}" for i in range(len(pairs))], *[f"__sd{i}" for i in range(len(feats))])
+    x = [F.col(c).cast("double") for c in feats]
+    total = lambda cond: reduce(lambda a, b: a + b, [F.count_if(cond(c)) for c in x], F.lit(0))
+    g = df.groupBy(key).agg(F.count("*").alias("n"), total(lambda c: c.isNull() | F.isnan(c)).alias("n_null"),
+                            total(lambda c: F.abs(c) == float("inf")).alias("infinite_values"))
+    y = (df if target is None else target).groupBy(F.col(key).alias("__y")).agg(
+        F.count("*").alias("n_target"), F.avg(label).alias("target_mean"), F.stddev_samp(label).alias("target_std"),
+        F.min(label).alias("target_min"), F.max(label).alias("target_max"), F.count_distinct(label).alias("target_unique"),
+        F.count_if(F.col(label).isNull()).alias("target_null"))
+    g = g.join(y, F.col(key).eqNullSafe(F.col("__y")), "full").withColumn(key, F.coalesce(key, "__y")).drop("__y")
+    pairs = pair_correlations(df, feats, key).withColumn("w", F.when(F.abs("r") > 0.95, F.when(F.col("i") == F.col("j"), 1).otherwise(2)).otherwise(0))
+    pairs = pairs.groupBy(F.col("key").alias("__key")).agg((F.sum("w") - len(feats)).alias("highly_correlated_pairs"))
+    g = g.join(pairs, F.col(key).cast("string").eqNullSafe(F.col("__key")), "left").drop("__key")
     g = g.withColumn("target_unique", F.col("target_unique") + F.when(F.col("target_null") > 0, 1).otherwise(0))
-    pct = F.col("n_null") / (F.col("n").cast("double") * len(feats)) * 100
-    g = g.withColumn("missing_data_percentage", pct)
+    g = g.withColumn("missing_data_percentage", F.col("n_null") / (F.col("n").cast("double") * len(feats)) * 100)
+    f_empty = F.col("n").isNull()
     f_err = F.col("missing_data_percentage") > 30
     f_warn = ~f_err & (F.col("missing_data_percentage") > 10)
     f_corr = (F.lit(len(feats) > 1)) & (F.col("highly_correlated_pairs") > len(feats) * 0.5)
+    f_length = ~f_empty & ~F.col("n").eqNullSafe(F.col("n_target"))
     score = F.lit(1.0) * F.when(f_warn, 0.9).otherwise(1.0) * F.when(f_corr, 0.8).otherwise(1.0)
     warnings = _messages(
         (f_warn, F.concat(F.lit("High missing data: "), _fmt1(F.col("missing_data_percentage")), F.lit("%"))),
         (f_corr, F.concat(F.lit("Many highly correlated features: "), F.col("highly_correlated_pairs").cast("string"))))
     errors = _messages(
+        (f_empty, F.lit("Empty feature matrix")),
+        (F.col("infinite_values") > 0, F.concat(F.col("infinite_values").cast("string"), F.lit(" infinite values in features"))),
         (f_err, F.concat(F.lit("Excessive missing data: "), _fmt1(F.col("missing_data_percentage")), F.lit("%"))),
-        (F.col("target_unique") == 1, F.lit("Target variable has no variation")))
+        (f_length, F.lit("Feature and target length mismatch")),
+        (~f_empty & (F.col("target_unique") == 1), F.lit("Target variable has no variation")))
     g = g.withColumns({"quality_score": score, "warnings": warnings, "errors": errors})
-    return g.withColumn("is_valid", F.size("errors") == 0).drop("n", "n_null", "target_null")
+    return g.withColumn("is_valid", F.size("errors") == 0).drop("n", "n_null", "n_target", "target_null")
 
 
 def top_issues(results: DataFrame, cols=("warnings", "errors"), k: int = 5) -> DataFrame:

@@ -46,7 +46,8 @@ _VPD = f"(({_E.format(t='T2M_MAX')} + {_E.format(t='T2M_MIN')}) / 2 - {_E.format
 _TP = 2 * math.pi
 
 
-def _m1_sql():
+def _m1_sql(rounded=True):
+    """The feature table; without rounding it is a CTE ``feats`` to build on."""
     hist, win, clim = _clim_sql(["NDVI"], -15, 15, True, ("cm", "cs"))
     pre = ("SELECT d.*, (d.NDVI - c.NDVI_cm) / nullif(c.NDVI_cs, 0) AS NDVI_anomaly_std, CAST(floor((PRECTOTCORR - PET_PT_JPL) * 1e6 + 0.5) AS BIGINT) AS wb, "
            "CAST(row_number() OVER (PARTITION BY d.series_id ORDER BY date) AS DOUBLE) AS x "
@@ -92,8 +93,12 @@ def _m1_sql():
     outs = []
     for f_ in feats:
         fill = f"coalesce({Q.ffill(f_)}, first_value({f_} IGNORE NULLS) {fol}, 0)"
-        outs.append(f"round({fill}, 6) AS {f_}" if f_ not in ("year", "month", "day_of_year", "week_of_year", "season")
+        outs.append(f"round({fill}, 6) AS {f_}" if rounded and f_ not in ("year", "month", "day_of_year", "week_of_year", "season")
                     else f"{fill} AS {f_}")
+    if not rounded:
+        return (DAILY + f", hist AS ({hist}), win AS ({win}), clim AS ({clim}), pre AS ({pre}), a AS ({a}), b AS ({b}), c AS ({c}), "
+                f"feats AS (SELECT series_id, date, {', '.join(outs)}, label FROM c), long AS (UNPIVOT (SELECT series_id, date, label, "
+                + ", ".join(f"CAST({f_} AS DOUBLE) AS {f_}" for f_ in feats) + " FROM feats) ON COLUMNS(* EXCLUDE (series_id, date, label)) INTO NAME feature VALUE x)")
     return DAILY + f", hist AS ({hist}), win AS ({win}), clim AS ({clim}), pre AS ({pre}), a AS ({a}), b AS ({b}), c AS ({c})\nSELECT series_id, date, {', '.join(outs)}, label FROM c"
 
 
@@ -125,7 +130,7 @@ def q_temporal_split(spark, sf):
     return ML.temporal_split(FX.daily(spark, sf).select("series_id", "date"))
 
 
-_CORR = ["NDVI", "NDWI_Gao", "EVI", "SAVI", "GNDVI", "CWSI", "T2M", "PRECTOTCORR"]
+_CORR = FX.DAILY_VALUE_COLS
 
 
 @query("correlation_matrix", DAILY + ", p AS (SELECT " + ", ".join(
@@ -137,52 +142,52 @@ def q_correlation_matrix(spark, sf):
     return out(ML.correlation_pairs(FX.daily(spark, sf), _CORR), keep=("a", "b"))
 
 
+@query("feature_correlations", None)
+def q_feature_correlations(spark, sf):
+    """A22 all pairs of the feature table's columns."""
+    t = model_table(spark, sf)
+    return ML.correlation_pairs(t, ML.feature_columns(t))
+
+
 def _label_sql(src):
     n_ = " + ".join(Q.flag(x) for x in ("NDVI < 0.6", "NDWI_Gao < 0.3", "T2M_MAX > 35", "CWSI > 0.4"))
     return f"SELECT *, CAST(CASE WHEN ({n_}) >= 3 THEN 2 WHEN ({n_}) >= 1 THEN 1 ELSE 0 END AS DOUBLE) AS label FROM {src}"
 
 
-_SEL = ["NDVI", "NDWI_Gao", "EVI", "SAVI", "GNDVI", "T2M", "T2M_MIN", "PRECTOTCORR", "PET_PT_JPL"]
-
-
 def _labelled(spark, sf):
     d = FX.daily(spark, sf)
     return FE.stress_label(d, "label").withColumn("label", F.col("label").cast("double"))
 
 
-def _anova_sql(cols):
-    per = ("SELECT label, count(*) AS n, " + ", ".join(f"sum({c}) AS s_{c}, sum({c} * {c}) AS q_{c}" for c in cols)
-           + " FROM l GROUP BY label")
-    tot = ("SELECT sum(n) AS NN, count(*) AS k, " + ", ".join(
-        f"sum(s_{c}) AS S_{c}, sum(q_{c}) AS Q_{c}, sum(s_{c} * s_{c} / n) AS B_{c}" for c in cols) + " FROM per")
-    rows = " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, ((B_{c} - S_{c} * S_{c} / NN) / (k - 1)) / nullif((Q_{c} - B_{c}) / (NN - k), 0) "
-        f"AS f_score FROM tot" for c in cols)
-    return f"l AS ({_label_sql('daily')}), per AS ({per}), tot AS ({tot}), f AS ({rows})"
+# One-way ANOVA over deviations: per class and feature the mean and the squared deviations from it.
+_F_SQL = _m1_sql(rounded=False) + """, per AS (SELECT feature, label, count(*) AS n, avg(x) AS mean, var_pop(x) * count(*) AS within FROM long GROUP BY 1, 2),
+tot AS (SELECT feature, sum(n) AS nn, count(*) AS k, sum(within) AS within, sum(n * mean) / sum(n) AS grand FROM per GROUP BY 1),
+f AS (SELECT feature, (sum(per.n * (mean - grand) * (mean - grand)) / any_value(k - 1)) / nullif(any_value(tot.within) / any_value(nn - k), 0) AS f_score
+      FROM per JOIN tot USING (feature) GROUP BY feature)
+"""
 
 
-@query("select_univariate", DAILY + ", " + _anova_sql(_SEL) +
-       "\nSELECT feature, round(f_score, 4) AS f_score FROM f ORDER BY f_score DESC NULLS LAST, feature LIMIT 5")
+@query("select_univariate", _F_SQL + "SELECT feature, round(f_score, 4) AS f_score FROM f ORDER BY round(f_score, 4) DESC NULLS LAST, feature LIMIT 50")
 def q_select_univariate(spark, sf):
-    s = ML.select_univariate(_labelled(spark, sf), _SEL, k=5)
+    t = model_table(spark, sf)
+    s = ML.select_univariate(t, ML.feature_columns(t), k=50)
     return s.select("feature", S.rnd("f_score", 4).alias("f_score"))
 
 
-@query("select_correlation", DAILY + ", " + _anova_sql(_SEL) + ", p AS (" + " UNION ALL ".join(
-    f"SELECT '{b}' AS b, abs(corr({a}, {b})) AS r FROM daily" for j, a in enumerate(_SEL) for b in _SEL[j + 1:])
-    + "), dropped AS (SELECT DISTINCT b FROM p WHERE r > 0.95)\n"
-      "SELECT feature FROM f WHERE feature NOT IN (SELECT b FROM dropped)")
+@query("select_correlation", None)
 def q_select_correlation(spark, sf):
-    return ML.select_correlation(_labelled(spark, sf), _SEL, k=50)
+    t = model_table(spark, sf)
+    return ML.select_correlation(t, ML.feature_columns(t), k=50)
+
+
+_REG = [c for c in FX.DAILY_VALUE_COLS if c != "NDVI"]
 
 
 @query("select_regression", DAILY + ", r AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, regr_r2(NDVI, {c}) AS r2, regr_count(NDVI, {c}) AS n FROM daily"
-    for c in ("NDWI_Gao", "EVI", "SAVI", "T2M", "T2M_MAX", "T2M_MIN", "PRECTOTCORR", "PET_PT_JPL", "CWSI"))
-    + ")\nSELECT feature, round(r2 * (n - 2) / (1 - r2), 4) AS f_score FROM r ORDER BY r2 DESC, feature LIMIT 5")
+    f"SELECT '{c}' AS feature, regr_r2(NDVI, {c}) AS r2, regr_count(NDVI, {c}) AS n FROM daily" for c in _REG)
+    + ")\nSELECT feature, round(r2 * (n - 2) / (1 - r2), 4) AS f_score FROM r ORDER BY 2 DESC, feature LIMIT 5")
 def q_select_regression(spark, sf):
-    cols = ["NDWI_Gao", "EVI", "SAVI", "T2M", "T2M_MAX", "T2M_MIN", "PRECTOTCORR", "PET_PT_JPL", "CWSI"]
-    s = ML.select_univariate(FX.daily(spark, sf), cols, k=5, label="NDVI", task="regression")
+    s = ML.select_univariate(FX.daily(spark, sf), _REG, k=5, label="NDVI", task="regression")
     return s.select("feature", S.rnd("f_score", 4).alias("f_score"))
 
 
@@ -272,12 +277,12 @@ def q_class_report(spark, sf):
     return out(ML.class_report(_persistence(spark, sf)), keep=("class",))
 
 
-@query("importance_rank", DAILY + ", " + _anova_sql(_SEL) + "\nSELECT feature, round(f_score / sum(f_score) OVER (), 6) AS importance, "
-       "row_number() OVER (ORDER BY f_score DESC, feature) AS rank FROM f")
+@query("importance_rank", _F_SQL + ", shares AS (SELECT feature, f_score / sum(f_score) OVER () AS importance FROM f)\n"
+       "SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY round(importance, 9) DESC NULLS LAST, feature) AS rank FROM shares")
 def q_importance_rank(spark, sf):
     """T4 on importances that both engines can compute: shares of the F statistics."""
-    s = ML.anova_f(_labelled(spark, sf), _SEL)
-    r = ML.rank_importance(s.withColumnRenamed("f_score", "importance"))
+    t = model_table(spark, sf)
+    r = ML.rank_importance(ML.anova_f(t, ML.feature_columns(t)).withColumnRenamed("f_score", "importance"))
     return out(r, keep=("feature",))
 
 

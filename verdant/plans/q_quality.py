@@ -117,7 +117,7 @@ def q_validate_weather(spark, sf):
                                              "negative_precipitation"])
 
 
-_MFEATS = ["NDVI", "NDWI_Gao", "EVI", "SAVI", "GNDVI", "CWSI", "T2M"]
+_MFEATS = list(FX.DAILY_VALUE_COLS)
 
 
 def _model_sql():
@@ -146,7 +146,7 @@ def _model_sql():
 
 
 def model_input(spark, sf):
-    d = FX.daily_gaps(spark, sf).drop("PRECTOTCORR", "PET_PT_JPL")
+    d = FX.daily_gaps(spark, sf)
     d = FE.stress_label(d, "label").withColumn("label", F.col("label").cast("double"))
     return d.select("series_id", *_MFEATS, "label")
 

@@ -31,7 +31,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = (li.groupBy(F.concat("l_returnflag", "l_linestatus", F.when(station == "0", "").otherwise(F.concat(F.lit("-"), station))).alias("series_id"),
                     F.to_date("l_shipdate").alias("date"))
            .agg(F.avg(disc).alias("a_disc"), F.avg(tax).alias("a_tax"), F.max(tax).alias("m_tax"),
-                F.avg(qty).alias("a_qty"), F.max(qty).alias("mx_qty"), F.min(qty).alias("mn_qty")))
+                F.avg(qty).alias("a_qty"), F.max(qty).alias("mx_qty"), F.min(qty).alias("mn_qty"),
+                F.avg(F.col("l_linenumber").cast("bigint")).alias("a_line"), F.avg(F.floor("l_extendedprice")).alias("a_price"),
+                F.avg((F.col("l_partkey") % 1000).cast("bigint")).alias("a_part"), F.avg((F.col("l_suppkey") % 100).cast("bigint")).alias("a_supp")))
     tmax = F.lit(8.0) + F.lit(0.56) * F.col("mx_qty")
     tmin = F.lit(0.3) * F.col("mn_qty")
     return g.select(
@@ -41,11 +43,11 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         tmin.alias("T2M_MIN"),
         ((tmax + tmin) / 2).alias("T2M"),
         F.greatest(F.lit(0.9) * F.col("m_tax") - F.lit(3.0), F.lit(0.0)).alias("PRECTOTCORR"),
-        (F.col("a_qty") / 6).alias("PET_PT_JPL"),
+        (F.col("a_price") / 9000).alias("PET_PT_JPL"),
         (F.lit(0.05) + F.lit(0.07) * F.col("a_tax")).alias("NDWI_Gao"),
-        (F.lit(0.25) + F.lit(0.06) * F.col("a_disc")).alias("GNDVI"),
-        (F.lit(0.15) + F.lit(0.012) * F.col("a_qty")).alias("EVI"),
-        (F.lit(0.20) + F.lit(0.06) * F.col("a_tax")).alias("SAVI"),
+        (F.lit(0.25) + F.lit(0.06) * F.col("a_line")).alias("GNDVI"),
+        (F.lit(0.15) + F.lit(0.006) * F.col("a_supp")).alias("EVI"),
+        (F.lit(0.20) + F.lit(0.0006) * F.col("a_part")).alias("SAVI"),
         (F.lit(1.0) - F.col("a_qty") / 50).alias("CWSI"),
     )
 
@@ -58,11 +60,11 @@ daily AS (
          0.3 * CAST(mn_qty AS DOUBLE) AS T2M_MIN,
          ((8.0 + 0.56 * CAST(mx_qty AS DOUBLE)) + (0.3 * CAST(mn_qty AS DOUBLE))) / 2 AS T2M,
          greatest(0.9 * CAST(m_tax AS DOUBLE) - 3.0, 0.0) AS PRECTOTCORR,
-         a_qty / 6 AS PET_PT_JPL,
+         a_price / 9000 AS PET_PT_JPL,
          0.05 + 0.07 * a_tax AS NDWI_Gao,
-         0.25 + 0.06 * a_disc AS GNDVI,
-         0.15 + 0.012 * a_qty AS EVI,
-         0.20 + 0.06 * a_tax AS SAVI,
+         0.25 + 0.06 * a_line AS GNDVI,
+         0.15 + 0.006 * a_supp AS EVI,
+         0.20 + 0.0006 * a_part AS SAVI,
          1.0 - a_qty / 50 AS CWSI
   FROM (
     SELECT l_returnflag || l_linestatus || CASE WHEN l_suppkey < 250 THEN '' ELSE '-' || CAST(l_suppkey // 250 AS VARCHAR) END AS series_id,
@@ -72,7 +74,11 @@ daily AS (
            max(CAST(round(l_tax * 100) AS BIGINT)) AS m_tax,
            avg(CAST(l_quantity AS BIGINT)) AS a_qty,
            max(CAST(l_quantity AS BIGINT)) AS mx_qty,
-           min(CAST(l_quantity AS BIGINT)) AS mn_qty
+           min(CAST(l_quantity AS BIGINT)) AS mn_qty,
+           avg(CAST(l_linenumber AS BIGINT)) AS a_line,
+           avg(CAST(floor(l_extendedprice) AS BIGINT)) AS a_price,
+           avg(CAST(l_partkey % 1000 AS BIGINT)) AS a_part,
+           avg(CAST(l_suppkey % 100 AS BIGINT)) AS a_supp
     FROM lineitem
     GROUP BY 1, 2
   ) g
