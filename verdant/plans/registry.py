@@ -67,6 +67,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from verdant.plans import (  # noqa: F401
         q_alerts,
+        q_documents,
         q_features,
         q_governance,
         q_misc,
