@@ -49,19 +49,35 @@ def summary_statistics(df: DataFrame, cols, *, key=KEY, ts=TS) -> DataFrame:
     return g.withColumn("cv", F.when(F.col("mean") != 0, F.col("std") / F.col("mean")))
 
 
-def dickey_fuller(df: DataFrame, cols, *, key=KEY, ts=TS) -> DataFrame:
-    """A2 Dickey-Fuller regression with a constant and no lagged differences:
-    dy_t = a + b y_{t-1} on the non-null values; statistic = b / se(b) from
-    the regression sums; stationary when below the 5 % critical value."""
+def dickey_fuller(df: DataFrame, cols, lags: int = 0, *, key=KEY, ts=TS) -> DataFrame:
+    """A2 (augmented) Dickey-Fuller regression with a constant and ``lags`` lagged
+    differences on the non-null values:
+    dy_t = a + b y_{t-1} + c_1 dy_{t-1} + ... + c_k dy_{t-k}.
+
+    One aggregate per series gives the co-moments of all these columns over the
+    rows that have them; eliminating the lagged differences from them leaves the
+    sums of a regression on y_{t-1} alone, whose statistic is b / se(b).
+    Stationary when below the 5 % critical value; null without enough rows or variation."""
     long_ = _long(df, cols, key, ts).where(F.col("value").isNotNull())
     w = S.Window.partitionBy(key, "measure").orderBy(ts)
     d = long_.withColumn("ylag", F.lag("value").over(w)).withColumn("dy", F.col("value") - F.col("ylag"))
-    g = d.groupBy(key, "measure").agg(F.regr_count("dy", "ylag").alias("n"), F.regr_slope("dy", "ylag").alias("b"),
-                                     F.regr_sxx("dy", "ylag").alias("sxx"), F.regr_syy("dy", "ylag").alias("syy"),
-                                     F.regr_sxy("dy", "ylag").alias("sxy"))
-    sse = F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx")
-    se = F.sqrt(F.try_divide(sse / (F.col("n") - 2), F.col("sxx")))
-    stat = F.when(F.col("n") > 2, F.try_divide(F.col("b"), se))
+    d = d.withColumns({f"d{i}": F.lag("dy", i).over(w) for i in range(1, lags + 1)})
+    names = [*[f"d{i}" for i in range(1, lags + 1)], "ylag", "dy"]
+    whole_row = F.lit(True)
+    for c in names:
+        whole_row = whole_row & F.col(c).isNotNull()
+    some = lambda c: F.when(F.col("__whole"), F.col(c))
+    size = len(names)
+    g = d.withColumn("__whole", whole_row).groupBy(key, "measure").agg(
+        F.count_if("__whole").alias("n"),
+        *[(F.covar_pop(some(names[i]), some(names[j])) * F.count_if("__whole")).alias(f"m{i}_{j}") for i in range(size) for j in range(i, size)])
+    for step in range(lags):     # eliminate one lagged difference after the other
+        pivot = lambda i: F.try_divide(F.col(f"m{step}_{i}"), F.col(f"m{step}_{step}"))  # noqa: E731,B023
+        left = {f"m{i}_{j}": F.col(f"m{i}_{j}") - pivot(i) * F.col(f"m{step}_{j}") for i in range(step + 1, size) for j in range(i, size)}
+        g = g.select(key, "measure", "n", *[e.alias(c) for c, e in left.items()])
+    sxx, sxy, syy = (F.col(f"m{i}_{j}") for i, j in ((lags, lags), (lags, lags + 1), (lags + 1, lags + 1)))
+    se = F.sqrt(F.try_divide((syy - F.try_divide(sxy * sxy, sxx)) / (F.col("n") - (lags + 2)), sxx))
+    stat = F.when(F.col("n") > lags + 2, F.try_divide(F.try_divide(sxy, sxx), se))
     return g.select(key, "measure", F.col("n").alias("n_obs"), stat.alias("adf_statistic"),
                     F.coalesce(stat < DF_CRITICAL_5PCT, F.lit(False)).alias("is_stationary"))
 

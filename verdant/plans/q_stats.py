@@ -61,6 +61,46 @@ def q_dickey_fuller(spark, sf):
     return out(ST.dickey_fuller(_a1_input(spark, sf), _A1), keep=("series_id", "measure"))
 
 
+def _adf_sql(lags):
+    """The regression by elimination, one CTE a step; ``lags`` differences."""
+    names = [*[f"d{i}" for i in range(1, lags + 1)], "ylag", "dy"]
+    size = len(names)
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    ctes = [f"r{lags} AS (SELECT *, " + (", ".join(f"lag(dy, {i}) OVER (PARTITION BY series_id, measure ORDER BY date) AS d{i}" for i in range(1, lags + 1)) or "0 AS none") + " FROM dd)",
+            f"g{lags}_0 AS (SELECT series_id, measure, count(*) FILTER (WHERE {ok}) AS n, " + ", ".join(
+                f"covar_pop({names[i]}, {names[j]}) FILTER (WHERE {ok}) * count(*) FILTER (WHERE {ok}) AS m{i}_{j}" for i in range(size) for j in range(i, size))
+            + f" FROM r{lags} GROUP BY 1, 2)"]
+    for s in range(lags):
+        ctes.append(f"g{lags}_{s + 1} AS (SELECT series_id, measure, n, " + ", ".join(
+            f"m{i}_{j} - m{s}_{i} / nullif(m{s}_{s}, 0) * m{s}_{j} AS m{i}_{j}" for i in range(s + 1, size) for j in range(i, size)) + f" FROM g{lags}_{s})")
+    x, y = f"m{lags}_{lags}", f"m{lags}_{lags + 1}"
+    yy = f"m{lags + 1}_{lags + 1}"
+    stat = f"CASE WHEN n > {lags + 2} THEN {y} / nullif({x}, 0) / nullif(sqrt(({yy} - {y} * {y} / nullif({x}, 0)) / (n - {lags + 2}) / nullif({x}, 0)), 0) END"
+    return ctes, f"SELECT series_id, measure, {lags} AS lags, n AS n_obs, {stat} AS stat FROM g{lags}_{lags}"
+
+
+def _all_adf_sql():
+    ctes, parts = [], []
+    for k in range(4):
+        c, s = _adf_sql(k)
+        ctes += c
+        parts.append(s)
+    dd = ("dd AS (SELECT series_id, measure, date, value, value - lag(value) OVER (PARTITION BY series_id, measure ORDER BY date) AS dy, "
+          "lag(value) OVER (PARTITION BY series_id, measure ORDER BY date) AS ylag FROM lx WHERE value IS NOT NULL)")
+    return (_long_sql().rstrip() + ", " + ", ".join([dd, *ctes]) + "\nSELECT series_id, measure, lags, n_obs, round(stat, 6) AS adf_statistic, "
+            "coalesce(stat < -2.86, false) AS is_stationary FROM (" + " UNION ALL ".join(parts) + ")")
+
+
+@query("augmented_dickey_fuller", _all_adf_sql())
+def q_augmented_dickey_fuller(spark, sf):
+    d = _a1_input(spark, sf)
+    told = [ST.dickey_fuller(d, _A1, k).withColumn("lags", F.lit(k)) for k in range(4)]
+    every = told[0]
+    for more in told[1:]:
+        every = every.unionByName(more)
+    return out(every, keep=("series_id", "measure", "lags"))
+
+
 def _decomp_sql():
     cal = ("SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date "
            "FROM daily WHERE NDVI IS NOT NULL GROUP BY series_id")
