@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from verdant.functions import semantics as S
 
+from verdant.operators import interpolation as IP
 from verdant.operators import prescription as PM
 from verdant.operators import rollup as RU
 from verdant.plans.q_timeseries import out
@@ -85,6 +86,21 @@ def q_spread_stress(spark, sf):
     return out(g, keep=("region_id", "row", "col"), cols=["stress"])
 
 
+_IDW = """d AS (SELECT c.region_id, c.row, c.col, p.stress AS s, (c.lon - p.lon) * (c.lon - p.lon) + (c.lat - p.lat) * (c.lat - p.lat) AS d2, p.point_id
+  FROM cells c JOIN points p ON c.region_id = p.region_id WHERE p.stress IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY region_id, row, col ORDER BY d2, point_id) AS r FROM d),
+m AS (SELECT region_id, row, col, CASE WHEN min(d2) = 0 THEN avg(s) FILTER (WHERE d2 = 0) ELSE sum(s / d2) / sum(1 / d2) END AS s FROM (SELECT * FROM k WHERE r <= 4) GROUP BY 1, 2, 3)
+"""
+
+
+@query("inverse_distance_stress", RP.rstrip() + ",\n" + ",\n".join([_B, _WH, _CELLS, _NP, _IDW]) +
+       "SELECT c.region_id, c.row, c.col, round(CASE WHEN coalesce(npts, 0) < 3 THEN 0.5 ELSE least(1.0, greatest(0.0, m.s)) END, 6) AS stress "
+       "FROM cells c LEFT JOIN np ON c.region_id = np.region_id LEFT JOIN m ON c.region_id = m.region_id AND c.row = m.row AND c.col = m.col")
+def q_inverse_distance_stress(spark, sf):
+    g = IP.inverse_distance(PM.grid(_regions(spark, sf), RES_M), FX.points(spark, sf), k=4)
+    return out(g, keep=("region_id", "row", "col"), cols=["stress"])
+
+
 @query("irrigation_rate", PRESC_SQL + "SELECT region_id, row, col, round(rate, 6) AS rate FROM rz")
 def q_irrigation_rate(spark, sf):
     return out(cells(spark, sf), keep=("region_id", "row", "col"), cols=["rate"])
