@@ -6,6 +6,8 @@ records and the partitions they name."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def store_data(df: DataFrame, base_path: str, data_type: str, identifier: str, s
     rec = stats.select(F.lit(store_date).cast("date").alias("timestamp"), F.lit(ess).alias("is_essential"),
                        F.lit(None if ess else max_days).cast("int").alias("retention_days"),
                        meta.alias("metadata"), "data_hash", "n_rows",
-                       F.lit("/".join(["data", *(f"{k}={v}" for k, v in parts.items())])).alias("storage_path"),
+                       F.lit("/".join(["data", *(_folder(k, v) for k, v in parts.items())])).alias("storage_path"),
                        F.lit(data_type).alias("data_type"), F.lit(store_date).alias("store_date"), F.lit(identifier).alias("identifier"))
     _replace(rec, f"{base_path}/index", ["data_type", "store_date", "identifier"])
     return read_index(spark, base_path)
@@ -74,20 +76,60 @@ def read_index(spark, base_path: str) -> DataFrame:
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{base_path}/index")
 
 
+def _folder(name: str, value: str | None) -> str:
+    """A partition's folder, its value escaped as Spark does."""
+    unsafe = set('"#%\'*/:=?\\{[]^\x7f') | {chr(c) for c in range(1, 32)}
+    held = "__HIVE_DEFAULT_PARTITION__" if value in (None, "") else "".join(f"%{ord(c):02X}" if c in unsafe else c for c in value)
+    return f"{name}={held}"
+
+
+def _places(r) -> list[str]:
+    """A record's folders below the store: its data, then its index record."""
+    klass = "essential" if r.is_essential else "temporary"
+    own = [("data_type", r.data_type), ("store_date", r.store_date), ("identifier", r.identifier)]
+    return ["/".join(["data", _folder("storage_class", klass), *(_folder(k, v) for k, v in own)]),
+            "/".join(["index", *(_folder(k, v) for k, v in own)])]
+
+
+def _remove(fs, path) -> bool:
+    """Deletes a folder; whether it is gone afterwards."""
+    if fs.exists(path):
+        fs.delete(path, True)
+    return not fs.exists(path)
+
+
 def clean_up(spark, base_path: str, as_of: str) -> DataFrame:
     """Q4 remove the data sets that have expired at ``as_of`` and their index
-    records, and note the run.  Returns the records removed.  Removing a data
-    set again is harmless, so an interrupted run can be repeated."""
+    records, and note the run.  Returns the records really removed: those whose
+    data and record are both gone afterwards.  The record goes last and only after
+    its data, so an interrupted or failed removal is found again by the next run.
+
+    The driver deletes one folder after the other and holds a batch of records at a
+    time; what it tells is written in batches, too."""
     gone = expiry(read_index(spark, base_path), as_of).where("expired").drop("expired")
     gone = cut_lineage(gone)    # before its partitions go
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in gone.select("storage_path", "data_type", "store_date", "identifier").toLocalIterator():
-        record = f"index/data_type={r.data_type}/store_date={r.store_date}/identifier={r.identifier}"
-        for place in (r.storage_path, record):
-            path = jvm.org.apache.hadoop.fs.Path(f"{base_path}/{place}")
-            path.getFileSystem(conf).delete(path, True)
+    told = f"{base_path}/removals/run={uuid.uuid4().hex}"
+    names = "data_type string, store_date string, identifier string"
+
+    def note(rows):
+        spark.createDataFrame(rows, names).coalesce(1).write.mode("append").parquet(told)
+
+    batch = []
+    note(batch)
+    for r in gone.select("is_essential", "data_type", "store_date", "identifier").toLocalIterator():
+        paths = [jvm.org.apache.hadoop.fs.Path(f"{base_path}/{place}") for place in _places(r)]
+        if all(_remove(path.getFileSystem(conf), path) for path in paths):
+            batch.append((r.data_type, r.store_date, r.identifier))
+        if len(batch) >= 10_000:
+            note(batch)
+            batch = []
+    if batch:
+        note(batch)
     spark.range(1).select(F.lit(as_of).cast("timestamp").alias("cleanup_ts")).write.mode("append").parquet(f"{base_path}/cleanups")
-    return gone
+    really = spark.read.schema(names).parquet(told).toDF("__t", "__d", "__i")
+    same = F.col("data_type").eqNullSafe(F.col("__t")) & F.col("store_date").eqNullSafe(F.col("__d")) & F.col("identifier").eqNullSafe(F.col("__i"))
+    return gone.join(really, same, "left_semi")
 
 
 def expiry(index: DataFrame, as_of: str) -> DataFrame:

@@ -152,27 +152,30 @@ def change_points(df: DataFrame, col: str, min_size: int = 10, threshold: float
     at each row, the kernel cost of the joined windows [-m, -1] and [0, m-1]
     minus the costs of the two windows; a row is a change point when the
     score exceeds ``threshold`` and is the largest within +-m rows.  Kernel
-    width 1 / (2 var) of the series.  Series with fewer than 2m values get 0.
-    (The reference's exact PELT search is a sequential solver.)"""
+    width 1 / (2 var) of the series.  Rows whose windows are not full of values,
+    and series without variation, have no score and the flag 0; the status column
+    says so (``scored``, ``edge``, ``short`` for series of fewer than 2m values).
+    (The reference's exact PELT search is a sequential solver.)
+
+    The kernel of a row with each earlier one within 2m is a column for each lag;
+    a block's kernel sum is the sum of those columns over the block's frames."""
     m = min_size
-    base = df.select(key, ts, col)
-    w = S.whole(key)
-    d = base.withColumns({"__g": F.try_divide(F.lit(1.0), 2 * F.var_pop(col).over(w)),
-                          "__nn": F.count(col).over(w)})
-    left_f = S.ordered(key, ts).rowsBetween(-m, -1)
-    right_f = S.ordered(key, ts).rowsBetween(0, m - 1)
-    d = d.withColumns({"__l": F.collect_list(col).over(left_f), "__r": F.collect_list(col).over(right_f)})
-
-    def cost(arr):
-        n = F.size(arr)
-        tot = F.aggregate(arr, F.lit(0.0), lambda acc, a: acc + F.aggregate(
-            arr, F.lit(0.0), lambda acc2, b: acc2 + F.exp(-F.col("__g") * (a - b) * (a - b))))
-        return n - tot / n
-
-    full = (F.size("__l") == m) & (F.size("__r") == m) & (F.col("__nn") >= 2 * m)
-    score = F.when(full, cost(F.concat("__l", "__r")) - cost(F.col("__l")) - cost(F.col("__r")))
+    w, order = S.whole(key), S.ordered(key, ts)
+    d = df.select(key, ts, col).withColumns({"__g": F.try_divide(F.lit(1.0), 2 * F.var_pop(col).over(w)), "__nn": F.count(col).over(w)})
+    gap = lambda h: F.col(col) - F.lag(col, h).over(order)
+    d = d.withColumns({f"__k{h}": F.exp(-F.col("__g") * gap(h) * gap(h)) for h in range(1, 2 * m)})
+
+    def block(n):
+        """Kernel sum of the block of ``n`` rows that ends here."""
+        inside = [F.sum(f"__k{h}").over(order.rowsBetween(-(n - 1 - h), 0)) for h in range(1, n)]
+        return F.lit(float(n)) + 2 * sum(inside[1:], inside[0])
+
+    d = d.withColumns({"__one": block(m), "__two": block(2 * m), "__held": F.count(col).over(order.rowsBetween(-m, m - 1))})
+    left, right, both = F.lag("__one", 1).over(order), F.lead("__one", m - 1).over(order), F.lead("__two", m - 1).over(order)
+    score = F.when(F.col("__held") == 2 * m, left / m + right / m - both / (2 * m))
     d = d.withColumn("__score", score)
-    around = S.ordered(key, ts).rowsBetween(-m, m)
+    around = order.rowsBetween(-m, m)
     is_cp = (F.col("__score") > threshold) & (F.col("__score") >= F.max("__score").over(around))
+    status = F.when(F.col("__nn") < 2 * m, "short").when(F.col("__score").isNull(), "edge").otherwise("scored")
     return d.select(key, ts, F.col("__score").alias(f"{col}_change_score"),
-                    S.flag(is_cp).alias(f"{col}_change_point"))
+                    S.flag(is_cp).alias(f"{col}_change_point"), status.alias(f"{col}_change_status"))

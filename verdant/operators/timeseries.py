@@ -177,25 +177,24 @@ def trend_slope(df: DataFrame, cols, window: int = 30, *, key=KEY, ts=TS) -> Dat
 
 def mann_kendall(df: DataFrame, cols, window: int = 30, *, key=KEY, ts=TS) -> DataFrame:
     """W11 Mann-Kendall Z over the trailing window (no tie correction) and
-    significance flag |Z| > 1.96; built from higher-order array functions."""
-    frame = S.trailing(window, key, ts)
+    significance flag |Z| > 1.96; null unless the window is full of values.
+
+    A window's S is, over all lags h, the sum of sign(x_t - x_{t-h}) over the rows
+    that have both ends in the window: a difference of two running sums for each
+    lag, exact as they are whole numbers, so a row costs one step a lag."""
     n = window
-    var = n * (n - 1) * (2 * n + 5) / 18.0
-    for c in cols:
-        if c not in df.columns:
-            continue
-        arr = F.collect_list(c).over(frame)
-        tmp = f"__mk_{c}"
-        df = df.withColumn(tmp, F.when(F.count(c).over(frame) == n, arr))
-        a = F.col(tmp)
-        s = F.aggregate(
-            F.sequence(F.lit(0), F.lit(n - 2)), F.lit(0.0),
-            lambda acc, i: acc + F.aggregate(
-                F.slice(a, i + 2, F.lit(n) - i - 1), F.lit(0.0),
-                lambda acc2, y: acc2 + F.signum(y - F.get(a, i))))
-        sq = var ** 0.5
+    order, so_far = S.ordered(key, ts), S.running(key, ts)
+    sq = (n * (n - 1) * (2 * n + 5) / 18.0) ** 0.5
+    for c in (c for c in cols if c in df.columns):
+        lags = range(1, n)
+        sign = {f"__d{h}": F.coalesce(F.signum(F.col(c) - F.lag(c, h).over(order)).cast("int"), F.lit(0)) for h in lags}
+        df = df.withColumn("__full", F.count(c).over(S.trailing(n, key, ts)) == n).withColumns(sign)
+        df = df.withColumns({f"__r{h}": F.sum(f"__d{h}").over(so_far) for h in lags})
+        within = [F.col(f"__r{h}") - F.coalesce(F.lag(f"__r{h}", n - h).over(order), F.lit(0)) for h in lags]
+        df = df.withColumn("__s", sum(within[1:], within[0]) if within else F.lit(0))
+        s = F.col("__s")
         z = F.when(s > 0, (s - 1) / sq).when(s < 0, (s + 1) / sq).otherwise(F.lit(0.0))
-        df = df.withColumn(f"{c}_mk_trend", F.when(a.isNotNull(), z)).drop(tmp)
+        df = df.withColumn(f"{c}_mk_trend", F.when(F.col("__full"), z)).drop("__s", "__full", *[f"__{x}{h}" for x in "dr" for h in lags])
         df = df.withColumn(f"{c}_trend_significant", S.flag(F.abs(F.col(f"{c}_mk_trend")) > 1.96))
     return df
 

@@ -93,12 +93,13 @@ def q_storage_summary(spark, sf):
 # S10 / Q4 write paths -------------------------------------------------------
 _SETS = [("raw_satellite_data", "customers", "1997-11-20", "customer", ("c_custkey", "c_nationkey", "c_acctbal")),
          ("raw_satellite_data", "suppliers", "1997-11-20", "supplier", ("s_suppkey", "s_nationkey")),
+         ("raw_satellite_data", "suppliers/2024-06-01T10:00 x=y 50%", "1997-11-20", "supplier", ("s_suppkey", "s_nationkey")),
          ("temp_weather_data", "orders", "1997-12-25", "orders", ("o_orderkey", "o_orderpriority")),
          ("model_parameters", "parts", "1997-01-05", "part", ("p_partkey", "p_size"))]
 
 
 def _stored(spark, sf, name):
-    """Four data sets, two of one type and day, one of them stored twice."""
+    """Five data sets, three of one type and day, one of them stored twice and one with a name that folders escape."""
     path = output_path(spark, name)
     for kind, identifier, day, table, cols in [*_SETS, _SETS[0]]:
         index = RT.store_data(FX.table(spark, sf, table).select(*cols), path, kind, identifier, day)
@@ -124,7 +125,7 @@ def q_store_data(spark, sf):
     return index.select(*cols).join(held, "identifier").where("held = n_rows").select(*cols)
 
 
-@query("clean_up", "SELECT identifier, n_rows, identifier IN ('customers', 'suppliers') AS removed, TIMESTAMP '1998-01-01' AS "
+@query("clean_up", "SELECT identifier, n_rows, identifier IN ('customers', 'suppliers', 'suppliers/2024-06-01T10:00 x=y 50%') AS removed, TIMESTAMP '1998-01-01' AS "
        "last_cleanup FROM (" + _records_sql() + ")")
 def q_clean_up(spark, sf):
     """Stores, cleans up twice, and tells which data sets are gone."""

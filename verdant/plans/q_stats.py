@@ -154,7 +154,7 @@ def q_join_decomposition(spark, sf):
     return out(ST.join_decomposition(d, parts))
 
 
-@query("change_points", DAILY.rstrip() + ", " + 'a AS (SELECT series_id, date, NDVI, 1.0 / nullif(2 * var_pop(NDVI) OVER (PARTITION BY series_id), 0) AS g, count(NDVI) OVER (PARTITION BY series_id) AS nn, list(NDVI) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l, list(NDVI) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS r FROM daily), b AS (SELECT series_id, date, CASE WHEN len(l) = 10 AND len(r) = 10 AND nn >= 20 THEN (len(list_concat(l, r)) - list_sum(list_transform(list_concat(l, r), lambda u: list_sum(list_transform(list_concat(l, r), lambda v: exp(-g * (u - v) * (u - v)))))) / len(list_concat(l, r))) - (len(l) - list_sum(list_transform(l, lambda u: list_sum(list_transform(l, lambda v: exp(-g * (u - v) * (u - v)))))) / len(l)) - (len(r) - list_sum(list_transform(r, lambda u: list_sum(list_transform(r, lambda v: exp(-g * (u - v) * (u - v)))))) / len(r)) END AS score FROM a), c AS (SELECT *, max(score) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS mx FROM b)\nSELECT series_id, date, round(score, 6) AS NDVI_change_score, CASE WHEN score > 3.0 AND score >= mx THEN 1 ELSE 0 END AS NDVI_change_point FROM c')
+@query("change_points", DAILY.rstrip() + ", " + 'a AS (SELECT series_id, date, NDVI, 1.0 / nullif(2 * var_pop(NDVI) OVER (PARTITION BY series_id), 0) AS g, count(NDVI) OVER (PARTITION BY series_id) AS nn, list(NDVI) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS l, list(NDVI) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS r FROM daily), b AS (SELECT series_id, date, nn, CASE WHEN len(l) = 10 AND len(r) = 10 AND nn >= 20 THEN (len(list_concat(l, r)) - list_sum(list_transform(list_concat(l, r), lambda u: list_sum(list_transform(list_concat(l, r), lambda v: exp(-g * (u - v) * (u - v)))))) / len(list_concat(l, r))) - (len(l) - list_sum(list_transform(l, lambda u: list_sum(list_transform(l, lambda v: exp(-g * (u - v) * (u - v)))))) / len(l)) - (len(r) - list_sum(list_transform(r, lambda u: list_sum(list_transform(r, lambda v: exp(-g * (u - v) * (u - v)))))) / len(r)) END AS score FROM a), c AS (SELECT *, max(score) OVER (PARTITION BY series_id ORDER BY date ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS mx FROM b)\nSELECT series_id, date, round(score, 6) AS NDVI_change_score, CASE WHEN score > 3.0 AND score >= mx THEN 1 ELSE 0 END AS NDVI_change_point, CASE WHEN nn < 20 THEN \'short\' WHEN score IS NULL THEN \'edge\' ELSE \'scored\' END AS NDVI_change_status FROM c')
 def q_change_points(spark, sf):
     d = FX.daily(spark, sf).select("series_id", "date", "NDVI")
     return out(ST.change_points(d, "NDVI", 10))
