@@ -75,3 +75,23 @@ def test_median_composite(spark):
         for b, got in enumerate((r.red, r.nir)):
             v = [q[b] for q in groups[r.region_id, r.x] if q[b] is not None]
             assert got == (pytest.approx(statistics.median(v), abs=1e-12) if v else None)
+
+
+@pytest.mark.parametrize(("period", "model"), [(7, "additive"), (6, "multiplicative"), (12, "additive")])
+def test_short_series_keep_their_rows(table, series, period, model):
+    d = table.where("series_id in ('short', 'rise', 'jump')")
+    parts = ST.seasonal_decomposition(d.withColumn("v", d.v + 10), "v", period, model)
+    told = ST.join_decomposition(d, parts).collect()
+    assert len(told) == sum(len(series[s]) for s in ("short", "rise", "jump"))
+    for s in ("short", "rise", "jump"):
+        rows = [r for r in told if r.series_id == s]
+        long_enough = len(series[s]) >= 2 * period
+        assert {r.v_decomposition_status for r in rows} == {"decomposed" if long_enough else "short"}
+        for r in rows:
+            if not long_enough:
+                assert r.v_trend is None and r.v_seasonal is None and r.v_residual is None
+            else:
+                made = r.v_trend + r.v_seasonal + r.v_residual if model == "additive" else r.v_trend * r.v_seasonal * r.v_residual
+                assert made == pytest.approx(r.v + 10, abs=1e-9)
+        if s == "rise" and model == "additive":  # a line has no season
+            assert all(abs(r.v_seasonal) < 1e-9 and abs(r.v_trend - r.v - 10) < 1e-9 for r in rows)

@@ -90,14 +90,13 @@ def seasonal_decomposition(df: DataFrame, col: str, period: int = 365, model: st
     interpolated series: centred moving-average trend (2 x MA for even
     periods) extended at both ends by least-squares lines through the
     nearest ``period`` trend values; seasonal = centred phase means of the
-    detrended series; residual; seasonal strength.  Series with fewer than
-    2 x period non-null values are skipped.  Returns (key, date, trend,
-    seasonal, residual, seasonal_strength) on the daily calendar; J4 joins
-    it back with ``join_decomposition``."""
-    base = df.select(key, ts, col).where(F.col(col).isNotNull())
-    n_ok = base.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= 2 * period)
-    base = base.join(n_ok.select(key), key, "left_semi")
-    daily = TSO.resample_interpolate(base, [col], key=key, ts=ts)
+    detrended series; residual; seasonal strength.  Returns (key, date, trend,
+    seasonal, residual, seasonal_strength, status) on the daily calendar of the
+    series' values; J4 joins it back with ``join_decomposition``.  A series with fewer
+    than 2 x period non-null values keeps its rows, without components and with
+    the status ``short`` (else ``decomposed``)."""
+    base = df.select(key, ts, col).where(F.col(col).isNotNull()).withColumn("__held", F.count("*").over(S.whole(key)))
+    daily = TSO.resample_interpolate(base, [col, "__held"], key=key, ts=ts)
     pos = "__pos"
     d = daily.withColumn(pos, (F.row_number().over(S.ordered(key, ts)) - 1).cast("double"))
     half = period // 2
@@ -135,8 +134,10 @@ def seasonal_decomposition(df: DataFrame, col: str, period: int = 365, model: st
              else F.try_divide(F.col(col), F.col("trend") * F.col("seasonal")))
     d = d.withColumn("residual", resid)
     strength = F.try_divide(F.abs("seasonal"), F.abs("seasonal") + F.abs("residual"))
-    return d.select(key, ts, F.col("trend").alias(f"{col}_trend"), F.col("seasonal").alias(f"{col}_seasonal"),
-                    F.col("residual").alias(f"{col}_residual"), strength.alias(f"{col}_seasonal_strength"))
+    enough = F.col("__held") >= 2 * period
+    parts = {"trend": F.col("trend"), "seasonal": F.col("seasonal"), "residual": F.col("residual"), "seasonal_strength": strength}
+    return d.select(key, ts, *[F.when(enough, x).alias(f"{col}_{c}") for c, x in parts.items()],
+                    F.when(enough, "decomposed").otherwise("short").alias(f"{col}_decomposition_status"))
 
 
 def join_decomposition(df: DataFrame, parts: DataFrame, *, key=KEY, ts=TS) -> DataFrame:

@@ -101,7 +101,7 @@ def q_augmented_dickey_fuller(spark, sf):
     return out(every, keep=("series_id", "measure", "lags"))
 
 
-def _decomp_sql():
+def _decomp_sql(period=365, multiplicative=False):
     cal = ("SELECT series_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date "
            "FROM daily WHERE NDVI IS NOT NULL GROUP BY series_id")
     j = ("SELECT c.series_id, c.date, d.NDVI, CAST(c.date - DATE '1970-01-01' AS DOUBLE) AS dd FROM cal c "
@@ -115,27 +115,33 @@ def _decomp_sql():
          f"first_value(NDVI IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY date {nxt}) AS nv FROM j")
     v = ("SELECT series_id, date, coalesce(NDVI, CASE WHEN nd = pd_ THEN pv ELSE pv + (nv - pv) * (dd - pd_) / (nd - pd_) END)"
          " AS v, CAST(row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS DOUBLE) AS pos FROM k")
-    m = ("SELECT *, CASE WHEN count(v) OVER w = 365 THEN avg(v) OVER w END AS ma FROM v "
-         "WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)")
+    half = period // 2
+    mean = (f"CASE WHEN count(v) OVER w = {period} THEN avg(v) OVER w END" if period % 2 else
+            f"CASE WHEN count(v) OVER w = {period + 1} THEN (sum(v) OVER w - 0.5 * first_value(v) OVER w - 0.5 * last_value(v) OVER w) / {period} END")
+    m = (f"SELECT *, {mean} AS ma FROM v "
+         f"WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)")
     fb = (f"SELECT *, min(CASE WHEN ma IS NOT NULL THEN pos END) {WH} AS fr, max(CASE WHEN ma IS NOT NULL THEN pos END) "
           f"{WH} AS bk FROM m")
-    sf_ = "pos >= fr AND pos < least(fr + 365, bk)"
-    sb = "pos >= greatest(fr, bk - 365) AND pos < bk"
+    sf_ = f"pos >= fr AND pos < least(fr + {period}, bk)"
+    sb = f"pos >= greatest(fr, bk - {period}) AND pos < bk"
     kk = (f"SELECT *, regr_slope(CASE WHEN {sf_} THEN ma END, CASE WHEN {sf_} THEN pos END) {WH} AS kf, "
           f"regr_intercept(CASE WHEN {sf_} THEN ma END, CASE WHEN {sf_} THEN pos END) {WH} AS nf, "
           f"regr_slope(CASE WHEN {sb} THEN ma END, CASE WHEN {sb} THEN pos END) {WH} AS kb, "
           f"regr_intercept(CASE WHEN {sb} THEN ma END, CASE WHEN {sb} THEN pos END) {WH} AS nb FROM fb")
     t = ("SELECT *, CASE WHEN pos < fr THEN kf * pos + nf WHEN pos > bk THEN kb * pos + nb ELSE ma END AS trend FROM kk")
-    s1 = "SELECT *, v - trend AS detr, CAST(pos % 365 AS INTEGER) AS phase FROM t"
+    s1 = f"SELECT *, {'v / nullif(trend, 0)' if multiplicative else 'v - trend'} AS detr, CAST(pos % {period} AS INTEGER) AS phase FROM t"
     s2 = "SELECT *, avg(detr) OVER (PARTITION BY series_id, phase) AS pm FROM s1"
-    s3 = f"SELECT *, pm - avg(CASE WHEN pos < 365 THEN pm END) {WH} AS seasonal FROM s2"
-    s4 = "SELECT *, v - trend - seasonal AS residual FROM s3"
+    centre = f"avg(CASE WHEN pos < {period} THEN pm END) {WH}"
+    s3 = f"SELECT *, {f'pm / nullif({centre}, 0)' if multiplicative else f'pm - {centre}'} AS seasonal FROM s2"
+    rest = "v / nullif(trend * seasonal, 0)" if multiplicative else "v - trend - seasonal"
+    s4 = f"SELECT s3.*, {rest} AS residual, CASE WHEN held >= {2 * period} THEN 'decomposed' ELSE 'short' END AS status FROM s3 JOIN (SELECT series_id, count(NDVI) AS held FROM daily GROUP BY 1) USING (series_id)"
     return (DAILY.rstrip() + f", cal AS ({cal}), j AS ({j}), k AS ({k}), v AS ({v}), m AS ({m}), fb AS ({fb}), "
             f"kk AS ({kk}), t AS ({t}), s1 AS ({s1}), s2 AS ({s2}), s3 AS ({s3}), s4 AS ({s4})\n")
 
 
-_DSEL = ("round(trend, 6) AS NDVI_trend, round(seasonal, 6) AS NDVI_seasonal, round(residual, 6) AS NDVI_residual, "
-         "round(abs(seasonal) / nullif(abs(seasonal) + abs(residual), 0), 6) AS NDVI_seasonal_strength")
+_DSEL = ", ".join(f"round(CASE WHEN status = 'decomposed' THEN {e} END, 6) AS NDVI_{c}" for c, e in (
+    ("trend", "trend"), ("seasonal", "seasonal"), ("residual", "residual"),
+    ("seasonal_strength", "abs(seasonal) / nullif(abs(seasonal) + abs(residual), 0)"))) + ", status AS NDVI_decomposition_status"
 
 
 @query("seasonal_decompose", _decomp_sql() + f"SELECT series_id, date, {_DSEL} FROM s4")
@@ -144,9 +150,16 @@ def q_seasonal_decompose(spark, sf):
     return out(ST.seasonal_decomposition(d, "NDVI", 365))
 
 
+@query("seasonal_decompose_multiplicative", _decomp_sql(30, True) + f"SELECT series_id, date, {_DSEL} FROM s4")
+def q_seasonal_decompose_multiplicative(spark, sf):
+    """An even period, and components that multiply."""
+    d = FX.daily(spark, sf).select("series_id", "date", "NDVI")
+    return out(ST.seasonal_decomposition(d, "NDVI", 30, "multiplicative"))
+
+
 @query("join_decomposition", _decomp_sql() + (
     f", comp AS (SELECT series_id, date, {_DSEL} FROM s4)\n"
-    "SELECT d.series_id, d.date, round(d.NDVI, 6) AS NDVI, NDVI_trend, NDVI_seasonal, NDVI_residual, NDVI_seasonal_strength "
+    "SELECT d.series_id, d.date, round(d.NDVI, 6) AS NDVI, NDVI_trend, NDVI_seasonal, NDVI_residual, NDVI_seasonal_strength, NDVI_decomposition_status "
     "FROM daily d LEFT JOIN comp c ON d.series_id = c.series_id AND d.date = c.date"))
 def q_join_decomposition(spark, sf):
     d = FX.daily(spark, sf).select("series_id", "date", "NDVI")
