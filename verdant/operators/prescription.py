@@ -12,10 +12,13 @@ of a region's few rates.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdant.functions import semantics as S
+from verdant.session import cut_lineage
 
 # Fixed values of the reference: irrigation rate (mm/day) per crop and
 # stress band, the stress bands, prescription zones (rate bands), default
@@ -35,6 +38,13 @@ DEFAULT_STRESS = 0.5
 MIN_POINTS = 3
 M_PER_DEG = 111320.0
 
+#: Nearest samples: cells of a tile, candidates of a tile that travel in one row, candidates that are
+#: read as columns, and candidates (some 40 bytes each) that are broadcast.
+CELLS_PER_TILE = 4_096
+CHUNK = 256
+FEW = 4
+BROADCAST_ENTRIES = 500_000
+
 
 # ------------------------------------------------------------------- G1 --
 
@@ -70,36 +80,47 @@ def _linspace(lo, hi, n, i) -> Column:
 
 # ------------------------------------------------------------ G2 / J8 --
 
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """Marked for broadcast if its measured size is at most ``BROADCAST_ENTRIES``, else joined by a shuffle."""
+    return F.broadcast(df) if size <= BROADCAST_ENTRIES else df
+
+
 def nearest_stress(cells: DataFrame, points: DataFrame, key: str = "region_id", stress: str = "stress",
                    per_tile: int = 4) -> DataFrame:
     """G2 stress of each cell = stress of the nearest sample point of its
     region (ties: lower point id); regions with fewer than ``MIN_POINTS`` valid
     samples get ``DEFAULT_STRESS``; results clipped to [0, 1].  Cells keep all
-    their columns.
-
-    Exact search without all pairs, in one lazy plan.  Points at one place
-    count once.  Square tiles hold about ``per_tile`` points; tiles of level l
-    are 2**l times as wide.  Each tile of cells takes the least level at which a
-    point lies in the 3 x 3 block around it; the cells look there.  A match
-    nearer than that level's tile side is final, as no point outside the block
-    can be closer; the other cells look once more, at the level whose side
-    exceeds their distance.  The small side (points) is spread over levels and
-    neighbours, the cells never are."""
-    pts = points.where(F.col(stress).isNotNull()).select(key, "point_id", F.col("lon").alias("plon"),
-                                                         F.col("lat").alias("plat"), F.col(stress).alias("pstress"))
+    their columns.  Points without a place or a stress are not samples.
+
+    Exact search without all pairs.  Points at one place count once.  A region
+    is cut into square tiles of about ``per_tile`` points or ``CELLS_PER_TILE``
+    cells, whichever are the smaller tiles; tiles of level l are 2**l times as wide.  For each
+    tile the least level is taken at which a point lies in the 3 x 3 block around it; the
+    largest distance from the tile to the best of these points bounds the distance of all its
+    cells.  At the level whose side exceeds the bound the block holds every point within it;
+    those that some place of the tile is near enough to are the tile's candidates.  Only
+    tiles and points take part in this; then each cell reads its tile's candidates, once.
+
+    The candidates are written to the checkpoint folder and measured: up to
+    ``BROADCAST_ENTRIES`` of them are broadcast, so that cells are not shuffled at all.  A
+    tile with more than ``CHUNK`` candidates holds them in several rows, which its cells read
+    one by one.  Without cells there is nothing to return; repeated points count as samples."""
+    pts = points.where(F.col(stress).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    pts = pts.select(key, "point_id", F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.col(stress).alias("pstress"))
     places = pts.groupBy(key, "plon", "plat").agg(F.min(F.struct("point_id", "pstress")).alias("p"), F.count("*").alias("held"))
-    cb = cells.groupBy(key).agg(F.min("lon").alias("cx0"), F.max("lon").alias("cx1"),
+    cb = cells.groupBy(key).agg(F.count("*").alias("cells"), F.min("lon").alias("cx0"), F.max("lon").alias("cx1"),
                                 F.min("lat").alias("cy0"), F.max("lat").alias("cy1"))
     pb = places.groupBy(key).agg(F.sum("held").alias("samples"), F.count("*").alias("places"), F.min("plon").alias("px0"),
                                  F.max("plon").alias("px1"), F.min("plat").alias("py0"), F.max("plat").alias("py1"))
-    ntiles = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("places") / float(per_tile))))
-    geo = cb.join(pb, key, "left").select(
-        key, (F.coalesce("samples", F.lit(0)) >= MIN_POINTS).alias("enough"), ntiles.alias("ntiles"),
-        F.least("cx0", "px0").alias("ox"), F.least("cy0", "py0").alias("oy"),
-        F.greatest(F.greatest("cx1", "px1") - F.least("cx0", "px0"),
-                   F.greatest("cy1", "py1") - F.least("cy0", "py0"), F.lit(1e-9)).alias("extent"))
-    geo = geo.select(key, "enough", "ox", "oy", (F.col("extent") / F.col("ntiles")).alias("t0"),
-                     (F.ceil(F.log2("ntiles")) + 1).cast("int").alias("top"))
+    width, height = F.col("cx1") - F.col("cx0"), F.col("cy1") - F.col("cy0")
+    geo = cb.join(pb, key, "left").withColumns({
+        "tiles": F.greatest(F.lit(1.0), F.col("places") / float(per_tile), F.col("cells") / float(CELLS_PER_TILE)),
+        "ox": F.least("cx0", "px0"), "oy": F.least("cy0", "py0"),
+        "extent": F.greatest(F.greatest("cx1", "px1") - F.least("cx0", "px0"), F.greatest("cy1", "py1") - F.least("cy0", "py0"), F.lit(1e-9))})
+    geo = geo.withColumn("t0", F.greatest(F.sqrt(width * height / F.col("tiles")), width / F.col("tiles"), height / F.col("tiles"),
+                                          F.col("extent") / F.lit(2.0 ** 40)))
+    geo = cut_lineage(geo.select(key, (F.coalesce("samples", F.lit(0)) >= MIN_POINTS).alias("enough"), "ox", "oy", "t0", "cx0", "cx1", "cy0", "cy1",
+                                 F.greatest(F.lit(0), F.ceil(F.log2(F.col("extent") / F.col("t0"))) + 1).cast("int").alias("top")))
 
     def tile(x, origin):
         return F.floor((F.col(x) - F.col(origin)) / F.col("t0")).cast("long")
@@ -112,35 +133,69 @@ def nearest_stress(cells: DataFrame, points: DataFrame, key: str = "region_id",
     p = places.join(geo.where("enough"), key).withColumns({"ix": tile("plon", "ox"), "iy": tile("plat", "oy")})
     p = p.select(key, "p", "plon", "plat", "ix", "iy", levels).select("*", near)
     block = p.select(key, "level", (up("ix", F.col("level")) + F.col("o.dx")).alias("kx"), (up("iy", F.col("level")) + F.col("o.dy")).alias("ky"),
-                     F.col("p.point_id").alias("__id"), F.col("p.pstress").alias("__s"), "plon", "plat")
+                     F.col("p.point_id").alias("id"), F.col("p.pstress").alias("s"), "plon", "plat")
+
+    at = geo.where("enough").withColumn("ix", F.explode(F.sequence(tile("cx0", "ox"), tile("cx1", "ox")))).repartition(key, "ix")
+    at = at.withColumn("iy", F.explode(F.sequence(tile("cy0", "oy"), tile("cy1", "oy")))).select(key, "ix", "iy", "ox", "oy", "t0", "top")
+    spread = at.select(key, "ix", "iy", levels).withColumns({"kx": up("ix", F.col("level")), "ky": up("iy", F.col("level"))})
+    least = spread.join(block.select(key, "level", "kx", "ky").distinct(), [key, "level", "kx", "ky"], "left_semi")
+    least = least.groupBy(key, "ix", "iy").agg(F.min("level").alias("level"))
+    at = at.join(least, [key, "ix", "iy"])
+
+    def sides(axis, origin, place):
+        """Least and largest distance along one axis from a tile (a little widened, for rounding) to a point."""
+        low, high = F.col(origin) + (F.col(axis) - 1e-6) * F.col("t0"), F.col(origin) + (F.col(axis) + 1 + 1e-6) * F.col("t0")
+        return (F.greatest(F.lit(0.0), low - F.col(place), F.col(place) - high), F.greatest(F.abs(low - F.col(place)), F.abs(high - F.col(place))))
+
+    def around(tiles):
+        tiles = tiles.withColumns({"kx": up("ix", F.col("level")), "ky": up("iy", F.col("level"))})
+        return tiles.join(block, [key, "level", "kx", "ky"])
+
+    (x_min, x_max), (y_min, y_max) = sides("ix", "ox", "plon"), sides("iy", "oy", "plat")
+    tile_columns = [key, "ix", "iy", "ox", "oy", "t0", "top"]
+    bound = around(at).groupBy(*tile_columns, "level").agg(F.min(x_max * x_max + y_max * y_max).alias("d2"))
+    level = F.least(F.col("top"), F.greatest(F.col("level"), F.ceil(F.log2(F.sqrt("d2") / F.col("t0"))).cast("int")))
+    found = around(bound.withColumn("level", level)).where(x_min * x_min + y_min * y_min <= F.col("d2") * (1 + 1e-9))
+    found = found.withColumn("n", F.count("*").over(S.Window.partitionBy(key, "ix", "iy")))
+    found = found.withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / float(CHUNK)).cast("long")))
+    candidates = cut_lineage(found.groupBy(key, "ix", "iy", "chunk").agg(
+        F.collect_list(F.struct("plon", "plat", "id", "s")).alias("__near"), (F.max("n") > CHUNK).alias("__parts")))
+    size = F.size("__near")
+    held = candidates.agg(*(F.coalesce(F.sum(F.when(w, size)), F.lit(0)).alias(n) for n, w in (("few", size <= FEW), ("many", size > FEW))),
+                          F.coalesce(F.max("__parts"), F.lit(False)).alias("parts")).first()
+    regions = geo.agg(F.count("*").alias("all"), F.count_if(~F.col("enough")).alias("without")).first()
 
     own = cells.columns
-    c = cells.join(geo, key).withColumns({"__ix": F.when(F.col("enough"), tile("lon", "ox")).otherwise(F.col("col").cast("long")),
-                                          "__iy": F.when(F.col("enough"), tile("lat", "oy")).otherwise(F.col("row").cast("long"))})
-    at = c.where("enough").select(key, "__ix", "__iy", "top").distinct().select(key, "__ix", "__iy", levels)
-    at = at.withColumns({"kx": up("__ix", F.col("level")), "ky": up("__iy", F.col("level"))})
-    at = at.join(block.select(key, "level", "kx", "ky").distinct(), [key, "level", "kx", "ky"], "left_semi")
-    at = at.groupBy(key, "__ix", "__iy").agg(F.min("level").alias("level"))
-    c = c.join(at, [key, "__ix", "__iy"], "left").withColumn("level", F.coalesce("level", F.lit(-1)))
-
-    def look(rows, level, best):
-        """Best (d2, id, stress) of the points in the block around each row at ``level``."""
-        rows = rows.withColumns({"level": level, "kx": F.when(level >= 0, up("__ix", level)).otherwise(F.col("__ix")),
-                                 "ky": F.when(level >= 0, up("__iy", level)).otherwise(F.col("__iy"))})
-        j = rows.join(block, [key, "level", "kx", "ky"], "left")
-        dx, dy = F.col("lon") - F.col("plon"), F.col("lat") - F.col("plat")
-        found = F.when(F.col("__id").isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), F.col("__id").alias("id"), F.col("__s").alias("s")))
-        keep = [x for x in rows.columns if x not in ("kx", "ky")]
-        return j.groupBy(*keep).agg(F.min(found).alias(best))
-
-    first = look(c, F.col("level"), "__b1")
-    side = F.col("t0") * F.pow(F.lit(2.0), F.col("level"))
-    far = F.sqrt("__b1.d2") / side
-    again = F.when(F.col("enough") & (far >= 1) & (F.col("level") < F.col("top")),
-                   F.least(F.col("top"), F.col("level") + F.floor(F.log2(far)).cast("int") + 1)).otherwise(F.lit(-1))
-    second = look(first, again, "__b2")
-    value = F.when(F.col("enough"), S.clip(F.coalesce("__b2.s", "__b1.s"), 0.0, 1.0)).otherwise(F.lit(DEFAULT_STRESS))
-    return second.select(*own, value.alias("stress"))
+    c = cells.join(_small(geo.select(key, *(F.col(x).alias(f"__{x}") for x in ("enough", "ox", "oy", "t0"))), regions["all"]), key)
+    index = {f"__i{a}": F.floor((F.col(x) - F.col(f"__o{a}")) / F.col("__t0")).cast("long") for a, x in (("x", "lon"), ("y", "lat"))}
+    tiled = c.where("__enough").withColumns(index).select(*own, *index)
+    candidates = candidates.select(key, F.col("ix").alias("__ix"), F.col("iy").alias("__iy"), "__near", "__parts")
+
+    def at_distance(q):
+        dx, dy = F.col("lon") - q["plon"], F.col("lat") - q["plat"]
+        return F.struct((dx * dx + dy * dy).alias("d2"), q["id"].alias("id"), q["s"].alias("s"))
+
+    def read(best):
+        return S.clip(best["s"], 0.0, 1.0).alias("stress")
+
+    parts = []
+    if regions["without"]:
+        parts.append(c.where(~F.col("__enough")).select(*own, F.lit(DEFAULT_STRESS).alias("stress")))
+    if held["few"]:  # flat columns, which stay in generated code
+        flat = candidates.where((size <= FEW) & ~F.col("__parts")).select(
+            key, "__ix", "__iy", size.alias("__n"), *(F.get("__near", i).alias(f"__q{i}") for i in range(FEW)))
+        each = [F.when(F.col("__n") > i, at_distance(F.col(f"__q{i}"))) for i in range(FEW)]
+        parts.append(tiled.join(_small(flat, held["few"]), [key, "__ix", "__iy"]).select(*own, read(F.least(*each))))
+    if held["many"]:
+        j = tiled.join(_small(candidates.where((size > FEW) & ~F.col("__parts")), held["many"]), [key, "__ix", "__iy"])
+        parts.append(j.select(*own, read(F.array_min(F.transform("__near", at_distance)))))
+    if held["parts"]:
+        j = tiled.join(_small(candidates.where("__parts"), held["few"] + held["many"]), [key, "__ix", "__iy"])
+        j = j.select(*own, F.array_min(F.transform("__near", at_distance)).alias("__best"))
+        parts.append(j.groupBy(*own).agg(F.min("__best").alias("__best")).select(*own, read(F.col("__best"))))
+    if not parts:
+        return cells.withColumn("stress", F.lit(DEFAULT_STRESS))
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ------------------------------------------------------------ G3 / G4 --

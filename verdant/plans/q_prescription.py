@@ -143,6 +143,46 @@ def q_prescription_summary(spark, sf):
     return out(PM.prescription_summary(cells(spark, sf)), keep=("region_id",))
 
 
+# --- the default resolution of 100 m: some 50 million cells, so only summaries are returned -----
+_NEAREST_100M = """
+pl AS (SELECT region_id, count(*) AS npts, list({'x': lon, 'y': lat, 'i': point_id, 's': stress}) AS pts FROM points WHERE stress IS NOT NULL GROUP BY region_id),
+cs AS (SELECT c.region_id, c.n_regionkey, CASE WHEN coalesce(npts, 0) < 3 THEN 0.5 ELSE least(1.0, greatest(0.0,
+    list_min(list_transform(pts, lambda p: {'d': (c.lon - p.x) * (c.lon - p.x) + (c.lat - p.y) * (c.lat - p.y), 'i': p.i, 's': p.s})).s)) END AS stress
+  FROM cells c LEFT JOIN pl ON c.region_id = pl.region_id)"""
+_COUNTS_100M = RP.rstrip() + ",\n" + ",\n".join([
+    _B, _WH.replace(repr(RES_DEG), repr(100.0 / PM.M_PER_DEG)), _CELLS, _NEAREST_100M,
+    f"rz AS (SELECT *, {_ZONE} AS zone FROM (SELECT *, {_rate_sql()} AS rate FROM cs))",
+    "rc AS MATERIALIZED (SELECT region_id, rate, zone, count(*) AS n FROM rz GROUP BY region_id, rate, zone)"])
+
+
+def cells_100m(spark, sf):
+    return PM.prescription(_regions(spark, sf), FX.points(spark, sf), _crop(), efficiency=EFF)
+
+
+@query("prescription_summary_100m", _COUNTS_100M + """,
+g AS (SELECT region_id, sum(rate * n) AS total, sum(rate * n) / sum(n) AS mean, max(rate) AS mx, sum(CASE WHEN rate > 0 THEN n ELSE 0 END) / sum(n) * 100 AS pct,
+  count(DISTINCT zone) FILTER (WHERE zone > 0) AS zp, CAST(sum(n) AS BIGINT) AS n FROM rc GROUP BY region_id),
+dv AS (SELECT rc.region_id, sum(abs(rate - mean) * rc.n) AS dev FROM rc JOIN g ON rc.region_id = g.region_id GROUP BY rc.region_id)
+SELECT g.region_id, round(total, 4) AS total_irrigation_volume_per_day, round(mean, 6) AS average_irrigation_rate, round(mx, 6) AS maximum_irrigation_rate,
+  round(pct, 6) AS percentage_area_requiring_irrigation, zp AS zones_present, n AS n_cells,
+  round(CASE WHEN mean = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - dev / (n * mean))) END, 6) AS irrigation_uniformity_coefficient
+FROM g JOIN dv ON g.region_id = dv.region_id""")
+def q_prescription_summary_100m(spark, sf):
+    s = PM.prescription_summary(cells_100m(spark, sf)).drop("variable_rate_water_savings_percent")
+    s = s.withColumn("total_irrigation_volume_per_day", S.rnd("total_irrigation_volume_per_day", 4))
+    return out(s, keep=("region_id", "total_irrigation_volume_per_day"))
+
+
+@query("zone_stats_100m", _COUNTS_100M + f""",
+tot AS (SELECT region_id, sum(n) AS n FROM rc GROUP BY region_id),
+zc AS (SELECT region_id, zone, sum(n) AS pc, sum(n * rate) / sum(n) AS ar FROM rc GROUP BY region_id, zone)
+SELECT t.region_id, z AS zone, {_ZNAME} AS name, CAST(coalesce(zc.pc, 0) AS BIGINT) AS pixel_count,
+  round(coalesce(zc.pc, 0) / t.n * 100, 6) AS area_percentage, round(coalesce(zc.ar, 0.0), 6) AS avg_irrigation_rate
+FROM tot t CROSS JOIN range(1, 6) zz(z) LEFT JOIN zc ON t.region_id = zc.region_id AND zz.z = zc.zone""")
+def q_zone_stats_100m(spark, sf):
+    return out(PM.zone_stats(cells_100m(spark, sf)), keep=("region_id", "zone", "name"))
+
+
 @query("uniformity", _SUMMARY_SQL + (
     "SELECT g.region_id, round(CASE WHEN mean = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - dev / (n * mean))) END, 6) "
     "AS irrigation_uniformity_coefficient FROM g JOIN dv ON g.region_id = dv.region_id"))
