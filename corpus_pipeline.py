@@ -5,6 +5,11 @@ groups keep one document; passages that repeat, and passages of the benchmark,
 are cut from the texts; sources are mixed to target weights.  Every stage but
 the last returns the columns of ``documents``, with ``n_chars`` brought up to
 date where a text has changed.
+
+A null or empty text has no letters, so the first stage drops it; rows that repeat an
+id and its text count as one in the second; null ids, sources and other columns pass
+through, a null source being one of its own; an empty table leaves every stage empty.
+Extra columns travel along, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,8 +65,10 @@ def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each pass over a document."""
-    return mixing.realise(mixing.mix(docs)).select(*docs.columns, F.col("_mix.n_tokens").alias("n_tokens"), "pass", "position")
+    """The mixture: a row for each pass over a document, with ``n_tokens``, ``pass``
+    and ``position``, which replace columns of these names."""
+    kept = [c for c in docs.columns if c.lower() not in ("n_tokens", "pass", "position")]
+    return mixing.realise(mixing.mix(docs)).select(*(F.col(f"`{c}`") for c in kept), F.col("_mix.n_tokens").alias("n_tokens"), "pass", "position")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
