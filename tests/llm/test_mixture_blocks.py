@@ -53,3 +53,11 @@ def test_last_pass_against_plain_python(spark, monkeypatch, most):
             want = visited(rows)
             assert {r.doc_id for r in rows if r._mix.part} == want
             assert all(r._mix.copies == (r._mix.passes or 0) + (r.doc_id in want) for r in rows)
+
+
+def test_clashing_names(spark):
+    import corpus_pipeline
+    docs = spark.createDataFrame([(1, "one two", "a", 7, "x", 1.0, 3), (2, None, None, 8, "y", 2.0, 4)], "doc_id long, text string, source string, n_tokens int, pass string, position double, end int")
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    assert sorted(got.columns) == ["doc_id", "end", "n_tokens", "pass", "position", "source", "text"]
+    assert [(r.doc_id, r.n_tokens, r["pass"], r.end) for r in got.collect()] == [(1, 2, 0, 3)]
