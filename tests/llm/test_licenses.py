@@ -117,12 +117,23 @@ ORIGINALS = {
     "BSDpresource": one_line(" ".join(BSD3.split("\n\n")[1:3])), "BSDpre": BSD2.split("\n\n")[1], "BSDsource": BSD2.split("\n\n")[2], "BSDbinary": BSD2.split("\n\n")[3], "BSDname": BSD3.split("\n\n")[4],
     "GPL2plus": GPL.split("\n\n")[0], "GPL3plus": GPL.split("\n\n")[0].replace("version 2", "version 3"), "GPLwarranty": GPL.split("\n\n")[1].split("  See")[0], "GPLdetails": "See the\nGNU General Public License for more details.",
     **{f"{k}plus": GPL.split("\n\n")[0].replace("GNU ", f"GNU {n} ").replace("version 2", f"version {v}") for k, n, v in (("LGPL21", "Lesser", "2.1"), ("LGPL3", "Lesser", "3"), ("AGPL3", "Affero", "3"))},
+    "ISCgrant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "0BSDgrant": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "ISCwarranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.',
+    "BSL1grant": """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:""",
+    "BSL1copy": "(See accompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)",
     "LGPLdetails": "See the GNU Lesser General Public License for more details.", "AGPLdetails": "See the GNU Affero General Public License for more details.",
 }
 NAMINGS = {
     "MITname": "The MIT License (MIT)", "Apache2name": "                                 Apache License\n                           Version 2.0, January 2004", "GPL3name": "This code is released under the GNU General Public License, version 3.",
     "GPL2name": "licensed under the GPLv2", "LGPL3name": "This library is distributed under the terms of the GNU Lesser General Public License v3.", "LGPL21name": "Licensed under the GNU LGPL, version 2.1",
     "AGPL3name": "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "MPL2name": MPL, "BSD3name": "BSD 3-Clause License", "BSD2name": "Released under the 2-clause BSD license.", "CC0name": "Released under CC0 1.0",
+    "ISCname": "SPDX-License-Identifier: ISC", "0BSDname": "License: 0BSD", "EPL2name": "Licensed under EPL-2.0", "BSL1name": "Distributed under the Boost Software License, Version 1.0.",
     **{f"CC{k.replace('-', '')}4name": f"This work is licensed under CC {k} 4.0." for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
 }
 
@@ -149,3 +160,45 @@ def test_unwrapped_texts(scanned):
             assert r.licenses == [name] and not r.unmatched, (name, r)
     near = ["This code is released under the MIT License.", "released under the terms of the GNU GPL v3 or later", "Available under the Apache License 2.0!"]
     assert [r.licenses for r in scanned(near)] == [["MIT"], ["GPL-3.0-or-later"], ["Apache-2.0"]]
+
+
+ISC = ORIGINALS["ISCgrant"] + "\n\n" + ORIGINALS["ISCwarranty"]
+EPL = """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+#: Text, sequence and licences, written by hand.
+NOTICES = [
+    ("// SPDX-License-Identifier: Apache-2.0\npackage x;", "[Apache2name]", ["Apache-2.0"]),
+    ("SPDX-License-Identifier: MIT", "[MITname]", ["MIT"]),
+    ("# SPDX-License-Identifier: GPL-2.0+\nx = 1", "[GPL2plus]", ["GPL-2.0-or-later"]),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only OR BSD-2-Clause) */", "[GPL2name][BSD2name]", ["BSD-2-Clause", "GPL-2.0-only"]),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later OR MPL-2.0 OR Apache-2.0 AND MIT OR ISC", "[LGPL21plus][MPL2name][Apache2name][MITname][ISCname]", ["Apache-2.0", "ISC", "LGPL-2.1-or-later", "MIT", "MPL-2.0"]),
+    ("License: MIT", "[MITname]", ["MIT"]),
+    ("This code is MIT licensed.", "[MITname]", ["MIT"]),
+    ("The library is MIT OR Apache-2.0 licensed.", "[MITname][Apache2name]", ["Apache-2.0", "MIT"]),
+    ("Licensed under the MIT license, see LICENSE.", "[MITname]", ["MIT"]),
+    ("Licensed under the BSD 3-Clause License; see the LICENSE file for details.", "[BSD3name]", ["BSD-3-Clause"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "[Apache2name][MITname]", ["Apache-2.0", "MIT"]),
+    ("This project is dual-licensed under\nthe MIT license and the Apache License 2.0.", "[MITname][Apache2name]", ["Apache-2.0", "MIT"]),
+    ("Released under the GPLv3 or any later version or MIT", "[GPL3plus][MITname]", ["GPL-3.0-or-later", "MIT"]),
+    (ISC, "[ISCgrant][ISCwarranty]", ["ISC"]),
+    (ISC.replace(", provided that the above\ncopyright notice and this permission notice appear in all copies", ""), "[0BSDgrant][ISCwarranty]", ["0BSD"]),
+    (EPL, "[EPL2name]", ["EPL-2.0"]),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt or copy at\nhttps://www.boost.org/LICENSE_1_0.txt)", "[BSL1name][BSL1copy]", ["BSL-1.0"]),
+    (ORIGINALS["BSL1grant"], "[BSL1grant]", ["BSL-1.0"]),
+    ("Licensed under MIT or something else", "", []), ("The licence: MIT was founded in 1861.", "", []), ("This is mitigated, available under stress", "", []), ("GPL-2.0+", "", []),
+    ("Released under\ndnl CC0 1.0", "[CC0name]", ["CC0-1.0"]), ("\x03mit or isc\x04", "", []), ("License: \x03MIT\x04", "[MITname]", ["MIT"]),
+]
+
+
+def test_notices(scanned):
+    for (text, sequence, names), r in zip(NOTICES, scanned([t for t, _, _ in NOTICES]), strict=True):
+        assert (r.sequence, r.licenses) == (sequence, names), (text, r)
+
+
+def test_clues():
+    """No known sentence, and no beginning or end of a notice, is without a clue."""
+    for s in licenses.SENTENCES:
+        assert any(c in s for c in licenses.CLUES) or "under" in s and any(c in s for c in licenses.SHARING), s
+    for head in ("licensed under", "released under", "distributed under", "available under", "spdx license identifier", "license", "licence", "licenses"):
+        assert any(c in head for c in licenses.CLUES) or "under" in head and any(c in head for c in licenses.SHARING), head
