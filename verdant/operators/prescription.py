@@ -66,7 +66,8 @@ def grid(regions: DataFrame, resolution_m: float = 100.0, units: str = "metric",
     r = r.withColumns({"width": F.floor((F.col("maxx") - F.col("minx")) / res).cast("int") + 1,
                        "height": F.floor((F.col("maxy") - F.col("miny")) / res).cast("int") + 1})
     rows = r.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    rows = rows.repartition(key, "row")
+    # a given number of partitions is not coalesced: grid rows are few bytes, but thousands of cells each
+    rows = rows.repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "row")
     cells = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
     return cells.select(key, "row", "col", _linspace("minx", "maxx", "width", "col").alias("lon"),
                         _linspace("miny", "maxy", "height", "row").alias("lat"), "width", "height")
@@ -285,23 +286,31 @@ def field_area_ha(ring, units: str = "metric") -> Column:
     return (maxx - minx) * M_PER_DEG * F.cos(midlat) * (maxy - miny) * 110574.0 / 10000
 
 
+def _applied(cells: DataFrame, key: str, params: dict) -> DataFrame:
+    """Cell counts by region, rate and the rate the equipment can apply."""
+    return rate_counts(cells, key).withColumn("applied", F.least(F.greatest(F.col("rate"), F.lit(params["min_application_rate"])),
+                                                                 F.lit(params["max_application_rate"])))
+
+
 def application_map(cells: DataFrame, areas: DataFrame, key: str = "region_id", params: dict | None = None) -> DataFrame:
     """G5 per region: rates clipped to the equipment range, volume (litres),
     application time (hours at boom x speed / 10 ha per hour), share of
-    cells whose rate is achievable, coverage."""
+    cells whose rate is achievable, coverage; all from the few rates of a region."""
     p = {**EQUIPMENT, **(params or {})}
-    c = cells.withColumn("applied", F.least(F.greatest(F.col("rate"), F.lit(p["min_application_rate"])),
-                                            F.lit(p["max_application_rate"])))
-    g = c.groupBy(key).agg(F.sum("applied").alias("__sum"), F.count("*").alias("__n"),
-                           (F.avg((F.col("rate") <= p["max_application_rate"]).cast("double")) * 100)
-                           .alias("rate_achievability"),
-                           (F.avg((F.col("applied") > 0).cast("double")) * 100).alias("coverage_efficiency"),
-                           F.count_distinct(F.when(F.col("applied") > 0, F.col("applied"))).alias("equipment_zones"))
-    g = g.join(areas, key)
+
+    def share(of):
+        return F.sum(F.when(of, F.col("n")).otherwise(0)) / F.sum("n") * 100
+
+    g = _applied(cells, key, p).groupBy(key).agg(
+        (F.sum(F.col("applied") * F.col("n")) / F.sum("n")).alias("__mean"),
+        share(F.col("rate") <= p["max_application_rate"]).alias("rate_achievability"),
+        share(F.col("applied") > 0).alias("coverage_efficiency"),
+        F.count_distinct(F.when(F.col("applied") > 0, F.col("applied"))).alias("equipment_zones"))
     capacity = p["boom_width_m"] * p["application_speed_kmh"] / 10.0
-    return g.select(key, (F.col("__sum") * F.col("field_area_ha") / F.col("__n") * 10000).alias("total_volume_needed_liters"),
-                    (F.col("field_area_ha") / capacity).alias("estimated_application_time_hours"),
-                    "rate_achievability", "coverage_efficiency", "equipment_zones")
+    return g.join(areas, key).select(
+        key, (F.col("__mean") * F.col("field_area_ha") * 10000).alias("total_volume_needed_liters"),
+        (F.col("field_area_ha") / capacity).alias("estimated_application_time_hours"),
+        "rate_achievability", "coverage_efficiency", "equipment_zones")
 
 
 def equipment_setting(rate, params: dict | None = None) -> Column:
@@ -317,15 +326,23 @@ def equipment_zones(cells: DataFrame, key: str = "region_id", params: dict | Non
     """G5 one zone per distinct applied rate (> 0), numbered by rate order,
     with its cell count and X35 settings."""
     p = {**EQUIPMENT, **(params or {})}
-    c = cells.withColumn("applied", F.least(F.greatest(F.col("rate"), F.lit(p["min_application_rate"])),
-                                            F.lit(p["max_application_rate"])))
-    z = c.where(F.col("applied") > 0).groupBy(key, "applied").agg(F.count("*").alias("area_pixels"))
+    z = _applied(cells, key, p).where(F.col("applied") > 0).groupBy(key, "applied").agg(F.sum("n").alias("area_pixels"))
     w = S.Window.partitionBy(key).orderBy("applied")
     return z.select(key, F.concat(F.lit("zone_"), F.dense_rank().over(w).cast("string")).alias("zone"),
                     F.col("applied").alias("application_rate"), "area_pixels",
                     equipment_setting("applied", p).alias("setting"))
 
 
+def grid_rows(cells: DataFrame, key: str = "region_id") -> DataFrame:
+    """Cell table by region and grid row, for passes along a row: cells, west
+    and east end, latitude, mean stress, mean and greatest rate, cells in each
+    zone.  Rows of a region lie in different tasks."""
+    return cells.groupBy(key, "row").agg(
+        F.count("*").alias("n_cells"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.max("lat").alias("lat"),
+        F.avg("stress").alias("mean_stress"), F.avg("rate").alias("mean_rate"), F.max("rate").alias("max_rate"),
+        *(F.count_if(F.col("zone") == z).alias(f"zone_{z}") for z, *_ in ZONES))
+
+
 # ------------------------------------------------------------ A18 / A19 --
 
 def water_requirement(summary: DataFrame, areas: DataFrame, key: str = "region_id") -> DataFrame:

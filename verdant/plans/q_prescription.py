@@ -183,6 +183,76 @@ def q_zone_stats_100m(spark, sf):
     return out(PM.zone_stats(cells_100m(spark, sf)), keep=("region_id", "zone", "name"))
 
 
+_MEAN_100M = "g AS (SELECT region_id, sum(rate * n) / sum(n) AS mean FROM rc GROUP BY region_id)"
+
+
+@query("application_map_100m", _COUNTS_100M + f""", {_AREA},
+ap AS (SELECT *, least(greatest(rate, 0.5), 20.0) AS applied FROM rc)
+SELECT ap.region_id, round(sum(applied * n) / sum(n) * any_value(field_area_ha) * 10000, 4) AS total_volume_needed_liters,
+  round(any_value(field_area_ha) / (24.0 * 15.0 / 10.0), 6) AS estimated_application_time_hours,
+  round(sum(CASE WHEN rate <= 20.0 THEN n ELSE 0 END) / sum(n) * 100, 6) AS rate_achievability,
+  round(sum(CASE WHEN applied > 0 THEN n ELSE 0 END) / sum(n) * 100, 6) AS coverage_efficiency, count(DISTINCT applied) FILTER (WHERE applied > 0) AS equipment_zones
+FROM ap JOIN area ON ap.region_id = area.region_id GROUP BY ap.region_id""")
+def q_application_map_100m(spark, sf):
+    m = PM.application_map(cells_100m(spark, sf), areas(spark, sf))
+    m = m.withColumn("total_volume_needed_liters", S.rnd("total_volume_needed_liters", 4))
+    return out(m, keep=("region_id", "total_volume_needed_liters"))
+
+
+@query("equipment_setting_100m", _COUNTS_100M + """,
+z AS (SELECT region_id, least(greatest(rate, 0.5), 20.0) AS applied, CAST(sum(n) AS BIGINT) AS area_pixels FROM rc GROUP BY 1, 2)
+SELECT region_id, 'zone_' || CAST(dense_rank() OVER (PARTITION BY region_id ORDER BY applied) AS VARCHAR) AS zone, round(applied, 6) AS application_rate,
+  area_pixels, round(least(3.0, greatest(1.0, applied / 5.0)), 6) AS pressure_bar, round(applied * 24.0 * 15.0 / 60, 6) AS flow_rate_lpm,
+  CASE WHEN applied < 10 THEN 'standard' ELSE 'high_flow' END AS nozzle_selection FROM z WHERE applied > 0""")
+def q_equipment_setting_100m(spark, sf):
+    z = PM.equipment_zones(cells_100m(spark, sf))
+    return out(z.select("region_id", "zone", "application_rate", "area_pixels", "setting.*"), keep=("region_id", "zone"))
+
+
+@query("water_requirement_100m", _COUNTS_100M + f""", {_AREA},
+{_MEAN_100M}
+SELECT g.region_id, round(mean * field_area_ha * 10, 4) AS daily_water_requirement_m3, round(field_area_ha, 6) AS area_ha,
+  round(mean, 6) AS avg_irrigation_rate_mm_day FROM g JOIN area ON g.region_id = area.region_id""")
+def q_water_requirement_100m(spark, sf):
+    w = PM.water_requirement(PM.prescription_summary(cells_100m(spark, sf)), areas(spark, sf))
+    w = w.withColumn("daily_water_requirement_m3", S.rnd("daily_water_requirement_m3", 4))
+    return out(w, keep=("region_id", "daily_water_requirement_m3"))
+
+
+@query("zone_area_totals_100m", _COUNTS_100M + f""", {_AREA},
+tot AS (SELECT region_id, sum(n) AS n FROM rc GROUP BY region_id),
+zc AS (SELECT region_id, zone, sum(n) AS pc FROM rc GROUP BY region_id, zone)
+SELECT z AS zone, {_ZNAME} AS name, round(sum(coalesce(zc.pc, 0) / t.n * 100 / 100 * a.field_area_ha), 4) AS total_area_ha
+FROM tot t JOIN area a ON t.region_id = a.region_id CROSS JOIN range(1, 6) zz(z) LEFT JOIN zc ON t.region_id = zc.region_id AND zz.z = zc.zone GROUP BY z""")
+def q_zone_area_totals_100m(spark, sf):
+    z = PM.zone_area_totals(PM.zone_stats(cells_100m(spark, sf)), areas(spark, sf))
+    return out(z.withColumn("total_area_ha", S.rnd("total_area_ha", 4)), keep=("zone", "name", "total_area_ha"))
+
+
+@query("irrigation_rollup_100m", _COUNTS_100M + f""",
+{_MEAN_100M}
+SELECT round(avg(mean) FILTER (WHERE mean > 0), 6) AS avg_irrigation_rate, count(*) FILTER (WHERE mean > 0) AS total_regions_requiring_irrigation,
+  round(max(mean) FILTER (WHERE mean > 0), 6) AS max_irrigation_rate, round(min(mean) FILTER (WHERE mean > 0), 6) AS min_irrigation_rate,
+  round(coalesce(sum(mean) FILTER (WHERE mean > 0), 0.0) * 1624, 4) AS total_water_requirement_estimate FROM g""")
+def q_irrigation_rollup_100m(spark, sf):
+    rates = PM.prescription_summary(cells_100m(spark, sf)).select("region_id", F.col("average_irrigation_rate").alias("irrigation_rate_mm_day"))
+    r = RU.irrigation_rollup(rates)
+    r = r.withColumn("total_water_requirement_estimate", S.rnd("total_water_requirement_estimate", 4))
+    return out(r, keep=("total_water_requirement_estimate",), cols=[c for c in r.columns if c != "total_water_requirement_estimate"])
+
+
+@query("prescription_rows_100m", _COUNTS_100M.replace("SELECT c.region_id, c.n_regionkey,", "SELECT c.region_id, c.n_regionkey, c.row, c.lon, c.lat,") + """
+SELECT region_id, row, count(*) AS n_cells, round(min(lon), 9) AS west, round(max(lon), 9) AS east, round(max(lat), 9) AS lat, round(avg(stress), 6) AS mean_stress,
+  round(avg(rate), 6) AS mean_rate, round(max(rate), 6) AS max_rate, count(*) FILTER (WHERE zone = 1) AS zone_1, count(*) FILTER (WHERE zone = 2) AS zone_2,
+  count(*) FILTER (WHERE zone = 3) AS zone_3, count(*) FILTER (WHERE zone = 4) AS zone_4, count(*) FILTER (WHERE zone = 5) AS zone_5
+FROM rz GROUP BY region_id, row""")
+def q_prescription_rows_100m(spark, sf):
+    """All cells of G1 to G4 and J7, J8 at 100 m, told by grid row."""
+    r = PM.grid_rows(cells_100m(spark, sf))
+    r = r.withColumns({c: S.rnd(c, 9) for c in ("west", "east", "lat")})
+    return out(r, keep=("region_id", "row", "west", "east", "lat"))
+
+
 @query("uniformity", _SUMMARY_SQL + (
     "SELECT g.region_id, round(CASE WHEN mean = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - dev / (n * mean))) END, 6) "
     "AS irrigation_uniformity_coefficient FROM g JOIN dv ON g.region_id = dv.region_id"))
