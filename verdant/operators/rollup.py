@@ -145,17 +145,18 @@ def province_breakdown(alerts: DataFrame, rule: str = "substring") -> DataFrame:
 def region_ranking(alerts: DataFrame, top: int = 10) -> DataFrame:
     """T2 rank by severity (critical, warning, other), then score desc, then
     region id; the first ``top`` rows with province, crops and the action
-    text.  The ordering window has no partition: it runs over the region
-    dimension only (one row per region)."""
+    text.  Each task keeps its own first ``top`` rows, and only those are merged
+    and numbered."""
     sev = F.when(F.col("alert_level") == "critical", 0).when(F.col("alert_level") == "warning", 1).otherwise(2)
-    w = Window.orderBy(sev, F.desc("alert_score"), F.col("region_id"))
+    order = [sev, F.desc("alert_score"), F.col("region_id")]
+    w = Window.orderBy(*order)
     rec = F.element_at(F.create_map(*[x for k, v in RECOMMENDATION_BY_LEVEL.items() for x in (F.lit(k), F.lit(v))]),
                        F.col("alert_level"))
-    ranked = alerts.select("region_id", "name", "alert_level", "alert_score",
+    ranked = alerts.orderBy(*order).limit(top).select("region_id", "name", "alert_level", "alert_score",
                            F.row_number().over(w).alias("rank"), province_of("region_id").alias("province"),
                            crops_text("region_id").alias("crops"),
                            F.coalesce(rec, F.lit(DEFAULT_RECOMMENDATION)).alias("recommendation"))
-    return ranked.where(F.col("rank") <= top)
+    return ranked
 
 
 def national_area(alerts: DataFrame) -> DataFrame:

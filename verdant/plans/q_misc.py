@@ -23,11 +23,23 @@ from verdant.sources import fixtures as FX
 
 
 # Static dimensions joined to the series that use them ---------------
-@query("dim_crop", DAILY + "SELECT crop, count(*) AS n_rows, " + ", ".join([
-    "CASE crop " + " ".join(f"WHEN '{c}' THEN {v[i]}" for c, v in D.CROPS.items()) + f" END AS {n}"
-    for i, n in ((0, "season_start"), (1, "season_end"), (3, "ndvi_min"), (5, "ndwi_stress"), (6, "cwsi_stress"),
-                 (7, "water_mm_day"))]) + f" FROM (SELECT {FX.SERIES_CROP_SQL} AS crop FROM daily) "
-    "GROUP BY crop")
+# Written out here and not built from the tables under test, so that a wrong value there shows.
+_CROP_VALUES = """crop_values AS (SELECT crop, season_start, season_end, CAST(ndvi_min AS DOUBLE) AS ndvi_min, CAST(ndwi_stress AS DOUBLE) AS ndwi_stress,
+  CAST(cwsi_stress AS DOUBLE) AS cwsi_stress, CAST(water_mm_day AS DOUBLE) AS water_mm_day FROM (VALUES
+    ('soybean', 10, 4, 0.7, 0.3, 0.4, 5.5),
+    ('corn', 9, 3, 0.75, 0.25, 0.35, 6.0),
+    ('wheat', 5, 12, 0.6, 0.35, 0.45, 4.0)) v(crop, season_start, season_end, ndvi_min, ndwi_stress, cwsi_stress, water_mm_day))"""
+_NAMES = ("ndvi_critical, ndvi_warning, ndwi_critical, ndwi_warning, cwsi_critical, cwsi_warning, water_balance_critical, water_balance_warning, "
+          "temp_stress_critical, temp_stress_warning, consecutive_dry_days_critical, consecutive_dry_days_warning")
+_THRESHOLD_VALUES = f"""threshold_values AS (SELECT crop, {", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in _NAMES.split(", "))} FROM (VALUES
+    ('soybean', 0.6, 0.7, 0.2, 0.3, 0.6, 0.4, -30, -15, 35, 32, 14, 10),
+    ('corn', 0.65, 0.75, 0.15, 0.25, 0.5, 0.35, -40, -20, 38, 35, 12, 8),
+    ('wheat', 0.5, 0.65, 0.25, 0.35, 0.65, 0.45, -25, -10, 32, 30, 16, 12)) v(crop, {_NAMES}))"""
+
+
+@query("dim_crop", DAILY.rstrip() + f",\n{_CROP_VALUES}\n"
+       "SELECT c.crop, n_rows, season_start, season_end, ndvi_min, ndwi_stress, cwsi_stress, water_mm_day "
+       f"FROM (SELECT {FX.SERIES_CROP_SQL} AS crop, count(*) AS n_rows FROM daily GROUP BY 1) c LEFT JOIN crop_values v ON c.crop = v.crop")
 def q_dim_crop(spark, sf):
     d = FX.daily(spark, sf).select(FX.series_crop().alias("crop"))
     cnt = d.groupBy("crop").agg(F.count("*").alias("n_rows"))
@@ -37,10 +49,9 @@ def q_dim_crop(spark, sf):
                         "water_mm_day"), keep=("crop",))
 
 
-@query("dim_thresholds", DAILY + "SELECT crop, count(*) AS n_rows, " + ", ".join(
-    "CASE crop " + " ".join(f"WHEN '{c}' THEN {float(v[i])}" for c, v in D.ALERT_THRESHOLDS.items()) + f" END AS {n}"
-    for i, n in enumerate(D.ALERT_THRESHOLD_NAMES)) + f" FROM (SELECT CASE WHEN {FX.SERIES_CROP_SQL} IN "
-    "('soybean', 'corn', 'wheat') THEN " + FX.SERIES_CROP_SQL + " ELSE 'soybean' END AS crop FROM daily) GROUP BY crop")
+@query("dim_thresholds", DAILY.rstrip() + f",\n{_THRESHOLD_VALUES}\n"
+       f"SELECT c.crop, n_rows, {_NAMES} FROM (SELECT CASE WHEN {FX.SERIES_CROP_SQL} IN ('soybean', 'corn', 'wheat') THEN {FX.SERIES_CROP_SQL} "
+       "ELSE 'soybean' END AS crop, count(*) AS n_rows FROM daily GROUP BY 1) c JOIN threshold_values v ON c.crop = v.crop")
 def q_dim_thresholds(spark, sf):
     c = FX.series_crop()
     d = FX.daily(spark, sf).select(F.when(c.isin(list(D.ALERT_THRESHOLDS)), c).otherwise("soybean").alias("crop"))
@@ -48,11 +59,9 @@ def q_dim_thresholds(spark, sf):
     return out(cnt.join(F.broadcast(D.threshold_dim(spark)), "crop"), keep=("crop",))
 
 
-@query("dim_lookup", DAILY + "SELECT series_id, date, " + ", ".join(
-    f"CASE WHEN crop IN ('soybean', 'corn', 'wheat') THEN CASE crop " + " ".join(
-        f"WHEN '{c}' THEN {float(v[D.ALERT_THRESHOLD_NAMES.index(n)])}" for c, v in D.ALERT_THRESHOLDS.items())
-    + f" END ELSE {float(D.ALERT_THRESHOLDS['soybean'][D.ALERT_THRESHOLD_NAMES.index(n)])} END AS {n}"
-    for n in ("ndvi_warning", "temp_stress_critical")) + f" FROM (SELECT *, {FX.SERIES_CROP_SQL} AS crop FROM daily)")
+@query("dim_lookup", DAILY.rstrip() + f",\n{_THRESHOLD_VALUES}\n"
+       f"SELECT series_id, date, ndvi_warning, temp_stress_critical FROM (SELECT *, {FX.SERIES_CROP_SQL} AS c FROM daily) d JOIN threshold_values v "
+       "ON v.crop = CASE WHEN d.c IN ('soybean', 'corn', 'wheat') THEN d.c ELSE 'soybean' END")
 def q_dim_lookup(spark, sf):
     d = FX.daily(spark, sf).withColumn("crop", FX.series_crop())
     return out(d.select("series_id", "date", *[D.crop_threshold(F.col("crop"), n).alias(n)
