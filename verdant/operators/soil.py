@@ -20,9 +20,9 @@ SUMMARY_PROPERTIES = ["sand", "silt", "clay", "bdod", "awc", "ksat"]
 
 def pivot_soil(long_df: DataFrame, properties=SOIL_PROPERTIES) -> DataFrame:
     """A4 one row per (location, depth); property values as columns.
-    The pivot list is fixed, so Spark does not scan for distinct values."""
-    return (long_df.groupBy(*SOIL_KEYS).pivot("property", list(properties))
-                   .agg(F.max("value")))
+    The list is fixed, so one aggregate makes the row: a group holds its columns,
+    not a row for each property."""
+    return long_df.groupBy(*SOIL_KEYS).agg(*[F.max(F.when(F.col("property") == p, F.col("value"))).alias(p) for p in properties])
 
 
 def _percent(df: DataFrame) -> tuple:
