@@ -1,5 +1,6 @@
 """Rows made from a small table, or packed well, are still dealt to many tasks."""
 from verdant.operators import soil as SO
+from verdant.plans import q_stats as QS
 from verdant.sources import fixtures as FX
 
 
@@ -18,3 +19,8 @@ def test_pivot_holds_one_group_for_a_depth(spark):
     told = {r.location_id: r for r in wide.collect()}
     assert wide.columns == [*SO.SOIL_KEYS, *SO.SOIL_PROPERTIES]
     assert told["p"].sand == 3.0 and told["p"].clay is None and told[None].clay is None and len(told) == 2
+
+
+def test_series_are_not_merged_into_few_tasks(spark):
+    from conftest import SF
+    assert QS._a1_input(spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -21,6 +21,8 @@ WH = "OVER (PARTITION BY series_id)"
 
 def _a1_input(spark, sf):
     d = FX.daily_gaps(spark, sf).select("series_id", "date", *_A1)
+    # days pack so well that AQE would merge them into a few tasks, which then sort four times the rows
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "series_id")
     return TSO.anomaly_zscore(d, ["NDVI"])
 
 
