@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdant.operators import models as ML
+from verdant.operators.model_registry import ModelRegistry
+from verdant.plans import q_models as QM
 
 START = dt.date(2020, 1, 1)
 
@@ -85,3 +87,27 @@ def test_only_rows_of_the_fit_are_written(spark, monkeypatch, task):
     own = ML.temporal_split(d)
     again = ML.train(own, task=task, fit_rows=100, numTrees=3, maxDepth=3)[1]
     assert again == pytest.approx(metrics)
+
+
+def test_a_fit_and_its_scoring_make_the_input_once(spark, monkeypatch, tmp_path):
+    i = F.col("id")
+    item = {"l_returnflag": F.when(i % 2 == 0, "A").otherwise("N"), "l_linestatus": F.lit("F"), "l_suppkey": i % 3, "l_partkey": i * 7,
+            "l_linenumber": (i % 5).cast("int"), "l_quantity": (i % 50).cast("double"), "l_extendedprice": (i * 131 % 9000).cast("double"),
+            "l_discount": (i % 11) / 100, "l_tax": (i % 9) / 100, "l_shipdate": F.date_add(F.lit("2020-01-01"), (i / 4).cast("int")).cast("timestamp")}
+    spark.range(400).select(*[x.alias(c) for c, x in item.items()]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = spark.sparkContext.accumulator(0)
+
+    def one(x):
+        made.add(1)
+        return x
+
+    real, forest = QM.model_input, ML.random_forest
+    monkeypatch.setattr(QM, "model_input", lambda *a: real(*a).select("series_id", "date", "NDVI", F.udf(one, "double")("SAVI").alias("SAVI")))
+    monkeypatch.setattr(ML, "random_forest", lambda task, **p: forest(task, numTrees=2, maxDepth=2, **p))
+    monkeypatch.setattr(QM, "ModelRegistry", lambda s: ModelRegistry(s, f"{tmp_path}/registry"))
+    p = QM.q_score(spark, str(tmp_path))
+    told = {(r.series_id, r.date): (r.prediction, r.confidence) for r in p.collect()}
+    assert len(told) == made.value == real(spark, str(tmp_path)).count() == 200
+    assert "parquet" not in p._jdf.queryExecution().executedPlan().toString()
+    again = QM.q_score(spark, str(tmp_path))            # the model is there: nothing is written
+    assert "parquet" in again._jdf.queryExecution().executedPlan().toString() and made.value == 200
