@@ -1,5 +1,6 @@
 """Fits take all rows of their table: nothing is drawn from a large one."""
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from verdant.operators import models as ML
@@ -32,6 +33,19 @@ def test_training_fits_on_all_rows(spark, seen, model, task):
     assert metrics.get("test_accuracy", 1) > 0.9
 
 
+def test_elimination_fits_on_all_rows(spark, monkeypatch):
+    told = []
+
+    class Recorded(RandomForestClassifier):
+        def fit(self, d, params=None):
+            told.append(d.count())
+            return super().fit(d, params)
+
+    monkeypatch.setattr(ML, "RandomForestClassifier", Recorded)
+    assert ML.select_rfe(rows_of(spark, 250), ["x1", "x0"], k=1, step_trees=2) == ["x0"]
+    assert told == [25_000]
+
+
 def test_registered_models_have_no_row_limit(spark, monkeypatch, tmp_path):
     i = F.col("id")
     item = {"l_returnflag": F.lit("A"), "l_linestatus": F.lit("F"), "l_suppkey": i % 3, "l_partkey": i * 7, "l_linenumber": (i % 5).cast("int"),
