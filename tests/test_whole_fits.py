@@ -33,6 +33,11 @@ def test_training_fits_on_all_rows(spark, seen, model, task):
     assert metrics.get("test_accuracy", 1) > 0.9
 
 
+def test_search_fits_on_all_rows(spark, seen):
+    ML.tune(rows_of(spark, 30), grid={"numTrees": [1], "maxDepth": [2]}, n_splits=2)
+    assert sorted(seen) == [1_000, 2_000]
+
+
 def test_elimination_fits_on_all_rows(spark, monkeypatch):
     told = []
 
