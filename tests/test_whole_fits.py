@@ -87,3 +87,14 @@ def test_parts_of_a_fit(spark, monkeypatch):
     more = ML.in_tasks(spark.range(0, 1_000, 1, 1), "id")
     assert more.rdd.getNumPartitions() == cores * -(-1_000 // (100 * cores)) and more.count() == 1_000
     more.unpersist()
+
+
+def test_rows_without_a_date_are_fitted_too(spark, seen):
+    d = rows_of(spark, 20).where("series_id < '3'")
+    d = d.withColumn("date", F.when(F.dayofmonth("date") != 3, F.col("date"))).withColumn("day", F.dayofmonth("date"))
+    n = d.count()
+    assert d.where("date IS NULL").count() == n / 20
+    assert len(ML.tune(d, grid={"numTrees": [1], "maxDepth": [2]}, n_splits=1)[2]) == 1
+    _, metrics, told = ML.train(d)
+    assert seen == [n / 2, n - told.count()] and metrics["test_accuracy"] > 0.9
+    assert ML.select_rfe(d, ["x1", "x0", "day"], k=1, step_trees=5) == ["x0"]
