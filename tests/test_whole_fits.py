@@ -87,6 +87,8 @@ def test_parts_of_a_fit(spark, monkeypatch):
     more = ML.in_tasks(spark.range(0, 1_000, 1, 1), "id")
     assert more.rdd.getNumPartitions() == cores * -(-1_000 // (100 * cores)) and more.count() == 1_000
     more.unpersist()
+    large = ML.in_tasks(spark.range(0, 1_000, 1, cores), "id")
+    assert "Exchange" not in large._jdf.queryExecution().executedPlan().toString() and not large.is_cached and large.count() == 1_000
 
 
 def test_rows_without_a_date_are_fitted_too(spark, seen):
